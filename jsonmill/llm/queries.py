@@ -37,8 +37,16 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
+    "op3_simhash": op3_simhash,
     "op4_line_dedup": op4_line_dedup,
     "op6_decontaminate": op6_decontaminate,
 }
