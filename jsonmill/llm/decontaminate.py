@@ -40,6 +40,20 @@ def _hinted(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _short_windows(size: int):
+    """Each window of `size` words of w, itself the run that is probed."""
+    return F.transform(
+        F.sequence(F.lit(0), F.col("n") - size),
+        lambda i: F.struct(
+            F.xxhash64(F.lit(100 + size), *[F.get(F.col("w"), i + j) for j in range(size)]).alias("h"),
+            i.alias("p"),
+            F.lit(size).alias("len"),
+            i.alias("from"),
+            F.slice("w", i + 1, F.lit(size)).alias("ctx"),
+        ),
+    )
+
+
 def find_hits(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -113,21 +127,7 @@ def find_hits(
             ).otherwise(F.array().cast("array<struct<h:long,p:int,len:int,from:int,ctx:array<string>>>"))
         )
     for s in short:
-        kinds.append(
-            F.when(
-                F.col("n") >= s,
-                F.transform(
-                    F.sequence(F.lit(0), F.col("n") - s),
-                    lambda i, s=s: F.struct(
-                        F.xxhash64(F.lit(100 + s), *[F.get(F.col("w"), i + j) for j in range(s)]).alias("h"),
-                        i.alias("p"),
-                        F.lit(s).alias("len"),
-                        i.alias("from"),
-                        F.slice("w", i + 1, F.lit(s)).alias("ctx"),
-                    ),
-                ),
-            ).otherwise(F.array().cast("array<struct<h:long,p:int,len:int,from:int,ctx:array<string>>>"))
-        )
+        kinds.append(F.when(F.col("n") >= s, _short_windows(s)).otherwise(F.array().cast("array<struct<h:long,p:int,len:int,from:int,ctx:array<string>>>")))
     asked = words.select("row", "id", "n", F.explode(F.concat(*kinds)).alias("a")).select("row", "id", "n", "a.*")
     if probes:
         probe = probes[0]

@@ -44,11 +44,30 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _is_kind(kind: str):
+    return lambda x: x["kind"] == kind
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import BASE, secret_spans
+
+    found = secret_spans(table(spark, sf_dir, "documents"))
+    text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    base = F.filter("spans", lambda x: x["kind"].isin(*BASE))
+    return found.select(
+        "doc_id",
+        *[F.array_size(F.filter("spans", _is_kind(k))).cast("long").alias(f"n_{k}") for k in BASE],
+        F.sha2(text(base).cast("binary"), 256).alias("base_sha256"),
+        text(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op3_simhash": op3_simhash,
     "op4_line_dedup": op4_line_dedup,
     "op6_decontaminate": op6_decontaminate,
+    "op10_secrets": op10_secrets,
 }
 
 
