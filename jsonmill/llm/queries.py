@@ -51,6 +51,17 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import materialize, remove_path
+    from .warc import archive_path, read_archives, write_archives
+
+    path = archive_path(spark)
+    write_archives(table(spark, sf_dir, "pages"), path)
+    read = materialize(read_archives(spark, path), "warc-read")
+    remove_path(spark, path)
+    return read.filter("gap_reason IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def _is_kind(kind: str):
     return lambda x: x["kind"] == kind
 
@@ -75,6 +86,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_line_dedup": op4_line_dedup,
     "op6_decontaminate": op6_decontaminate,
+    "op9_warc": op9_warc,
     "op10_secrets": op10_secrets,
 }
 
