@@ -23,6 +23,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs).select("doc_id", "source", "text", "n_lines", "n_lines_dropped")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract_main_text
+
+    out = extract_main_text(table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_hits
 
@@ -94,6 +101,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op4_line_dedup": op4_line_dedup,
+    "op5_html": op5_html,
     "op6_decontaminate": op6_decontaminate,
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
