@@ -58,6 +58,16 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # a row without an id is never learned from
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(True))
+    scored = score(docs, train(docs, ~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, score
 
@@ -103,6 +113,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_html": op5_html,
     "op6_decontaminate": op6_decontaminate,
+    "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_warc": op9_warc,
     "op10_secrets": op10_secrets,
