@@ -1 +1 @@
-
+"""Column and DataFrame operators on JSON text."""
