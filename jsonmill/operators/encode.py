@@ -31,7 +31,7 @@ def marshal(value: Column, options: Options = STD) -> Column:
     """
     text = F.substring(F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"}), 6, 1 << 30)
     text = F.left(text, F.length(text) - 1)
-    return html_escape(text) if options.escape_html else text
+    return (html_escape(text) if options.escape_html else text).alias("marshal")
 
 
 def _plain(x: Any, kind: T.DataType) -> Any:
@@ -98,7 +98,7 @@ def marshal_exact(value: Column, schema: T.DataType | str, options: Options = ST
         return pd.Series([encode_typed(_plain(x, kind), options) for x in rows], dtype=object)
 
     run.__annotations__ = {"batch": pd.DataFrame, "return": pd.Series}
-    return F.pandas_udf(run, "string")(F.struct(value.alias("v")))
+    return F.pandas_udf(run, "string")(F.struct(value.alias("v"))).alias("marshal")
 
 
 def marshal_indent(value: Column, schema: T.DataType | str, prefix: str = "", by: str = "\t", options: Options = STD) -> Column:
