@@ -103,7 +103,7 @@ def marshal_exact(value: Column, schema: T.DataType | str, options: Options = ST
 
 def marshal_indent(value: Column, schema: T.DataType | str, prefix: str = "", by: str = "\t", options: Options = STD) -> Column:
     p, b = prefix.encode(), by.encode()
-    return column(lambda j: strict.indent(j.encode(), p, b).decode(), "string")(marshal_exact(value, schema, options))
+    return column(lambda j: strict.indent(j.encode(), p, b).decode(), "string")(marshal_exact(value, schema, options)).alias("marshal")
 
 
 def object_of(*fields: tuple, options: Options = STD) -> Column:
