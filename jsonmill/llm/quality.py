@@ -15,7 +15,7 @@ from .common import WS, split_words
 #: What counts as a symbol, a separator of menus, the end of a sentence, and boilerplate.
 SYMBOLS = r"[#*$%&|<>]"
 SEPARATORS = r"[|»›·•]"
-SENTENCE_END = r"[.!?…:;\"'”’»)\]][\x20\x09-\x0D]*$"
+SENTENCE_END = r"[.!?…:;\"'”’»)\]]([\x20\x09-\x0D]|$)"
 BOILERPLATE = (
     r"(?i)(all rights reserved|privacy policy|terms of (use|service)|cookie policy|we use cookies|enable javascript"
     r"|lorem ipsum|click here|subscribe to our newsletter|sign up for|log in to|powered by|read more$)"
@@ -33,7 +33,7 @@ def line_fails(line: Column) -> Column:
     """Whether a line that has a word breaks a rule.
 
     Punctuation: more than one symbol or more than one exclamation mark for two
-    words, or no sentence end.  Navigation: three separators or more.
+    words, or no word that ends a sentence.  Navigation: three separators or more.
     Boilerplate: a phrase of the list.
     """
     n = _line_words(line)
