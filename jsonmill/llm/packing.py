@@ -13,6 +13,7 @@ import sys
 import types
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ WINDOWS = 64
 MAX_GAP = 64
 END_ID = 2
 #: Words whose ids a worker remembers; the memory is emptied when full.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 800_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -40,13 +41,29 @@ CONTROLS = re.compile("[\x1c-\x1f]")
 OTHER_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 
 
+class _Numbers(dict):
+    """Numbers words as they come and lists the new ones."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = len(self)
+        self.new.append(word)
+        return k
+
+
 class WordTokenizer:
     """Ids of texts, word by word with a memory of words.
 
-    Exact for tokenizers that drop white space and never join pieces over it.
+    Exact for tokenizers that drop white space and case and never join pieces
+    over white space or over the line between letters and punctuation: a word of
+    plain letters and one last mark is its letters' ids and that mark's id.
     """
 
     SEPARATOR = "<|endoftext|>"
+    MARKS = ",.;:!?"
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
         from tokenizers import Tokenizer
@@ -54,46 +71,67 @@ class WordTokenizer:
         self.own = Tokenizer.from_file(path)
         self.separator = self.own.token_to_id(self.SEPARATOR)
         self.cache_words = cache_words
+        self.marks = {m: self.own.encode(m, add_special_tokens=False).ids[0] for m in self.MARKS}
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts = np.zeros(1, dtype=np.int64)  # word k has the ids arena[starts[k]:starts[k + 1]]
+        self.words, self.stems = _Numbers(), _Numbers()
+        self.stem = np.zeros(0, dtype=np.int64)  # of each word, and the id of its mark or -1
+        self.mark = np.zeros(0, dtype=np.int64)
+        self.starts = np.zeros(1, dtype=np.int64)  # stem k has the ids arena[starts[k]:starts[k + 1]]
         self.arena = np.zeros(0, dtype=np.uint32)
 
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if "<|" not in w]
-        ids: list[np.ndarray] = []
-        for at in range(0, len(plain), 20_000):
-            got = np.array(self.own.encode_batch_fast([self.SEPARATOR.join(plain[at : at + 20_000])], add_special_tokens=False)[0].ids, dtype=np.uint32)
+    def _learn(self) -> None:
+        stem, mark = [], []
+        for w in self.words.new:
+            m = -1
+            if w.isascii():
+                w = w.lower()
+                if w[-1] in self.marks and w[:-1].isalpha():
+                    w, m = w[:-1], self.marks[w[-1]]
+            stem.append(self.stems[w])
+            mark.append(m)
+        self.stem = np.concatenate((self.stem, np.array(stem, dtype=np.int64)))
+        self.mark = np.concatenate((self.mark, np.array(mark, dtype=np.int64)))
+        new, sizes, ids = self.stems.new, [], []
+        self.words.new, self.stems.new = [], []
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            joined = self.SEPARATOR.join("" if "<|" in w else w for w in part)
+            got = np.array(self.own.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.uint32)
             cut = np.flatnonzero(got == self.separator)
-            ids.append(np.diff(np.concatenate(([-1], cut, [len(got)]))) - 1)
-            ids.append(got[got != self.separator])
-        odd = [w for w in words if "<|" in w]
-        for w in odd:
-            got = np.array(self.own.encode(w, add_special_tokens=False).ids, dtype=np.uint32)
-            ids += [np.array([len(got)]), got]
-        base = len(self.known)
-        self.known.update(zip(plain + odd, range(base, base + len(words)), strict=True))
-        if ids:
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(ids[0::2]))])
-            self.arena = np.concatenate([self.arena, *ids[1::2]])
+            n = np.diff(np.concatenate(([-1], cut, [len(got)]))) - 1
+            got = got[got != self.separator]
+            for k in [k for k, w in enumerate(part) if "<|" in w]:  # may be a special token's own string
+                odd = np.array(self.own.encode(part[k], add_special_tokens=False).ids, dtype=np.uint32)
+                got = np.insert(got, int(n[:k].sum()), odd)
+                n[k] = len(odd)
+            sizes.append(n)
+            ids.append(got)
+        if new:
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
+            self.arena = np.concatenate([self.arena, *ids])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, offsets of the texts in them)."""
+        if len(self.words) > self.cache_words:
+            self.clear()
         words = [OTHER_SPACE.split(t) if CONTROLS.search(t) else t.split() for t in texts]
         words = [[w for w in ws if w] if "" in ws else ws for ws in words]
-        new = {w for ws in words for w in ws} - self.known.keys()
-        if len(new) + len(self.known) > self.cache_words:
-            self.clear()
-            new = {w for ws in words for w in ws}
-        if new:
-            self._learn(list(new))
-        index = np.fromiter((k for ws in words for k in map(self.known.__getitem__, ws)), dtype=np.int64, count=sum(map(len, words)))
-        first, n = self.starts[index], self.starts[index + 1] - self.starts[index]
-        ends = np.cumsum(n)
-        ids = self.arena[np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        per_text = np.concatenate(([0], np.cumsum([len(ws) for ws in words]))).astype(np.int64)
+        sizes = list(map(len, words))
+        index = np.fromiter(map(self.words.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=sum(sizes))
+        if self.words.new:
+            self._learn()
+        stem, mark = self.stem[index], self.mark[index]
+        first, n = self.starts[stem], self.starts[stem + 1] - self.starts[stem]
+        whole = n + (mark >= 0)
+        ends = np.cumsum(whole)
+        total = int(ends[-1]) if len(ends) else 0
+        # where a mark stands, the place after the stem's ids is read first and then set
+        at = np.repeat(first - (ends - whole), whole) + np.arange(total)
+        ids = self.arena[np.minimum(at, max(len(self.arena) - 1, 0))] if total else self.arena[:0]
+        ids[ends[mark >= 0] - 1] = mark[mark >= 0]
+        per_text = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
         return ids, np.concatenate(([0], ends))[per_text]
 
 
