@@ -238,3 +238,26 @@ def with_defaults(value: Column, **defaults: Any) -> Column:
     for name, d in defaults.items():
         value = value.withField(name, F.coalesce(value[name], F.lit(d)))
     return value
+
+
+def number_text(json: Column, path: str) -> Column:
+    """The digits of a number as they stand, null for anything else."""
+    from .navigate import path_exact
+
+    raw = path_exact(json, path)
+    return F.when(raw.rlike(r"^-?[0-9]"), raw)
+
+
+def fixed_array(items: Column, size: int, zero: Column) -> Column:
+    """An array of exactly `size`: what is beyond is dropped, what is missing is zero; null stays null."""
+    return F.when(items.isNotNull(), F.slice(F.concat(items, F.array_repeat(zero, size)), 1, size))
+
+
+def any_tree(json: Column, use_number: bool = False) -> Column:
+    """The document as it decodes into a free tree and is written again: keys sorted, the last of equal ones, numbers as doubles (or as their text).
+
+    struct<value, error, offset>.
+    """
+    from .exact import as_bytes, result
+
+    return result(lambda j: strict.encode(strict.decode(as_bytes(j), use_number)).encode())(json)

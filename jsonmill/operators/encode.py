@@ -34,6 +34,16 @@ def marshal(value: Column, options: Options = STD) -> Column:
     return (html_escape(text) if options.escape_html else text).alias("marshal")
 
 
+def marshal_to(prefix: Column, value: Column, options: Options = STD) -> Column:
+    """The prefix with the value's JSON after it."""
+    return F.concat(prefix, marshal(value, options))
+
+
+def marshal_any(v: Column) -> Column:
+    """JSON of a VARIANT: keys sorted."""
+    return F.when(v.isNotNull(), F.to_json(v))
+
+
 def _plain(x: Any, kind: T.DataType) -> Any:
     """A pandas or Row value as what strict.encode takes; structs keep their field order."""
     if x is None:

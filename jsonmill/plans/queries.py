@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import registry
@@ -307,6 +307,51 @@ def struct_encoder(spark, table):
     return table("region").select("r_regionkey", build(v).alias("doc"), registry.encode_as("region.name", F.col("r_name")).alias("own"))
 
 
+@query("""SELECT event_id, '{"a":[1,1e+21,"\\u003c"],"b":' || json_extract_string(props, '$.k') || '}' AS tree, '{"a":[1.0,1e21,"\\u003c"],"b":' || json_extract_string(props, '$.k') || '}' AS numbers FROM events""")
+def any_tree(spark, table):
+    k = navigate.raw(F.col("props"), "k")
+    doc = F.concat(F.lit('{"b":0, "b" : '), k, F.lit(',"a":[1.0,1e21,"<"]}'))
+    return props(table).select("event_id", decode.any_tree(doc)["value"].alias("tree"), decode.any_tree(doc, use_number=True)["value"].alias("numbers"))
+
+
+@query("SELECT event_id, '1.50' AS text, json_extract_string(props, '$.k') AS k, true AS none FROM events")
+def number_text(spark, table):
+    doc = F.concat(F.lit('{"n":1.50,"s":"2","p":'), F.col("props"), F.lit("}"))
+    return props(table).select("event_id", decode.number_text(doc, "n").alias("text"), decode.number_text(doc, "p.k").alias("k"), decode.number_text(doc, "s").isNull().alias("none"))
+
+
+@query("SELECT o_custkey AS custkey, coalesce(list(o_orderkey ORDER BY o_orderkey)[1], 0)::BIGINT AS a, coalesce(list(o_orderkey ORDER BY o_orderkey)[2], 0)::BIGINT AS b, 3::BIGINT AS n FROM orders GROUP BY 1")
+def fixed_array(spark, table):
+    ids = F.transform(iterate.elements(navigate.get_path(F.col("doc"), "orders")), lambda x: F.try_variant_get(x, "$.id", "bigint"))
+    three = decode.fixed_array(ids, 3, F.lit(0).cast("bigint"))
+    return customers(table).select("custkey", three[0].alias("a"), three[1].alias("b"), F.size(three).cast("bigint").alias("n"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, 'hi' AS bytes, 'one' AS named, event_id AS deep FROM events")
+def decode_rules(spark, table):
+    """Map keys that are numbers, base64, embedded fields of which the shallow one counts."""
+    doc = F.concat(F.lit('{"m":{"'), F.col("event_id"), F.lit('":"one","x":"y"},"bytes":"aGk=","K":'), navigate.raw(F.col("props"), "k"), F.lit(',"deep":'), F.col("event_id"), F.lit("}"))
+    inner = decode.schema(("k", "string"), ("deep", "bigint"))
+    target = decode.schema(("k", "bigint"), ("bytes", "binary"), ("m", "map<bigint,string>"), decode.Field("", embed=inner))
+    v = F.col("r.value")
+    r = props(table).select("event_id", decode.unmarshal_exact(doc, target).alias("r"))
+    return r.select("event_id", v["k"].alias("k"), v["bytes"].cast("string").alias("bytes"), F.element_at(v["m"], F.col("event_id")).alias("named"), v["deep"].alias("deep"))
+
+
+@query("""SELECT n_nationkey, '[' || chr(10) || '>  {' || chr(10) || '>    "name": "' || n_name || '<"' || chr(10) || '>  }' || chr(10) || '>]' AS pretty, 'x{"name":"' || n_name || '<"}' AS fast, '{"a":"' || n_name || '","b":1}' AS any FROM nation""")
+def marshal_options(spark, table):
+    v = F.struct(F.concat("n_name", F.lit("<")).alias("name"))
+    pretty = encode.marshal_indent(F.array(v), "array<struct<name:string>>", ">", "  ", encode.FAST)
+    free = F.try_parse_json(F.concat(F.lit('{"b":1,"a":"'), F.col("n_name"), F.lit('"}')))
+    return table("nation").select("n_nationkey", pretty.alias("pretty"), encode.marshal_to(F.lit("x"), v, encode.FAST).alias("fast"), encode.marshal_any(free).alias("any"))
+
+
+@query("SELECT r_regionkey, r_name AS first, 'last' AS last FROM region")
+def first_key(spark, table):
+    doc = F.concat(F.lit('{"a.b":"'), F.col("r_name"), F.lit('","a.b":"last"}'))
+    return table("region").select("r_regionkey", navigate.as_string(navigate.first_key(doc, "a.b")).alias("first"), navigate.as_string(navigate.get(F.try_parse_json(doc), "a.b")).alias("last"))
+
+
 # --- sources, sinks, streams ------------------------------------------------------------------
 
 
@@ -333,6 +378,28 @@ def array_elements(spark, table):
     return ndjson.read_values(spark, path, elements=True).filter("error IS NULL").select(F.from_json("value", "id bigint, name string").alias("r")).select("r.id", "r.name")
 
 
+@query("SELECT event_id, true AS in_order FROM events")
+def lines_in_order(spark, table):
+    path = scratch(spark, "ordered")
+    rows = table("events").select("event_id", F.to_json(F.struct("event_id")).alias("doc"))
+    # one file, so that the order of its lines is known; it is read in blocks of Spark's choice
+    rows.coalesce(1).sortWithinPartitions("event_id").select("doc").write.text(path)
+    back = ndjson.in_order(spark, path).withColumn("event_id", F.from_json("value", "event_id bigint")["event_id"])
+    w = Window.partitionBy("file", "block").orderBy("seq")
+    return back.select("event_id", F.coalesce(F.lag("event_id").over(w) < F.col("event_id"), F.lit(True)).alias("in_order"))
+
+
+@query("SELECT n_nationkey AS id, (length('{\"id\":' || n_nationkey || '}'))::BIGINT AS size, true AS whole FROM nation")
+def value_offsets(spark, table):
+    path = scratch(spark, "values")
+    table("nation").select(F.concat(F.lit('{"id":'), F.col("n_nationkey"), F.lit("} ")).alias("value")).write.text(path)
+    found = ndjson.read_values(spark, path).filter("error IS NULL")
+    docs = ndjson.read_documents(spark, path).select(F.col("value").alias("text"), F.col("file").alias("whole_file"))
+    both = found.join(docs, F.regexp_extract("file", r"[^/]+$", 0) == F.regexp_extract("whole_file", r"[^/]+$", 0))
+    same = F.substring("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")) == F.col("value")
+    return both.select(F.from_json("value", "id bigint")["id"].alias("id"), (F.col("end") - F.col("start")).alias("size"), same.alias("whole"))
+
+
 @query("SELECT event_type, count(*)::BIGINT AS n, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS k FROM events GROUP BY 1")
 def stream_lines(spark, table):
     source, out, state = scratch(spark, "in"), scratch(spark, "out"), scratch(spark, "state")

@@ -18,6 +18,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return df.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).filter(F.trim(F.col("value"), F.lit(" \t\r\n")) != "")
 
 
+def in_order(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of read_lines with seq, sorted as they stand in the files: by file, block and place in the block."""
+    df = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq")
+    )
+    return df.filter(F.trim(F.col("value"), F.lit(" \t\r\n")) != "").orderBy("file", "block", "seq")
+
+
 def good_and_bad(lines: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """The lines that are documents, and those that are not with the fault's message and offset."""
     from ..operators.validate import syntax_error
