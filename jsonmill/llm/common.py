@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,7 +70,34 @@ def split_words(c: Column, gap: str = WS) -> Column:
     return F.array_remove(F.split(c, gap), "")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """df with a broadcast hint if a count proves it has max_rows rows at most; else Spark joins it as it sees fit."""
+#: Ids of 8 bytes that a join sends to all executors at most.
+BROADCAST_IDS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_IDS) -> DataFrame:
+    """df (a stored table) with a broadcast hint if a count proves it has max_rows rows at most; else Spark joins it as it sees fit."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
+
+
+#: Rows of texts that a Python worker is handed at once at most.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session, so that workers that read texts stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after which the worker, which lives on, gives Arrow's free memory back."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return wrapped

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, lower_ascii, split_words
+from .common import broadcast_if_small, fresh, lower_ascii, materialize, split_words
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -190,5 +190,5 @@ def find_hits(
 def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the contaminated ones, columns unchanged.  Rows that share an id go together, null ids too."""
     bad = fresh(docs, "bad")
-    hits = find_hits(docs, benchmark, id_col, text_col).filter("n_hit > 0").select(F.col(id_col).alias(bad)).distinct()
-    return docs.join(hits, docs[id_col].eqNullSafe(F.col(bad)), "left_anti")
+    hits = materialize(find_hits(docs, benchmark, id_col, text_col).filter("n_hit > 0").select(F.col(id_col).alias(bad)).distinct(), "contaminated")
+    return docs.join(broadcast_if_small(hits), docs[id_col].eqNullSafe(F.col(bad)), "left_anti")

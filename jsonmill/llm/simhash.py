@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import broadcast_if_small, fresh, materialize, releasing, small_batches
 
 BITS = 64
 RADIUS = 3
@@ -54,8 +54,9 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and fp (the fingerprint's 64 bits as a signed long) per row."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(
-        _fingerprint_batches, "id long, fp long"
+        releasing(_fingerprint_batches), "id long, fp long"
     )
 
 
@@ -302,7 +303,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """id_col, fp, component_id and group_size... one row per input row.
+    """id_col, fp and component_id, one row per input row.
 
     Equal fingerprints are one node, so exact copies never meet in pairs.  Null
     texts count as empty: fingerprint zero, linked like any other.  A row
@@ -324,8 +325,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     """docs with one row of each group of near-duplicates, that with the least id; rows without an id stay."""
     found = materialize(near_duplicates(docs, id_col, text_col, radius).select(F.col(id_col).cast("long").alias("id"), "component_id"), "near-dup")
     gone = fresh(docs, "gone")
-    drop = found.filter("id <> component_id").select(F.col("id").alias(gone)).distinct()
-    out = docs.join(drop, docs[id_col] == F.col(gone), "left_anti")
+    drop = materialize(found.filter("id <> component_id").select(F.col("id").alias(gone)).distinct(), "near-dup-gone")
+    out = docs.join(broadcast_if_small(drop), docs[id_col] == F.col(gone), "left_anti")
     again = found.filter("id = component_id").groupBy("id").count().filter("count > 1").select(F.col("id").alias(gone))
     if again.isEmpty():
         return out
