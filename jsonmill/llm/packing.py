@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import releasing, small_batches
+
 CAPACITY = 4096
 WINDOWS = 64
 #: A window is emitted with so many free places at most; a larger gap takes the head of the piece that did not fit.
 MAX_GAP = 64
 END_ID = 2
 #: Words whose ids a worker remembers; the memory is emptied when full.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -262,7 +264,8 @@ def pack(
     ignored; an empty table gives no piece.  tokenizer is a path that every
     executor can read.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    out = rows.mapInArrow(_pack_batches(tokenizer or tokenizer_path(), capacity, windows, max_gap, end_id), SCHEMA.format(kind=kind))
+    out = rows.mapInArrow(releasing(_pack_batches(tokenizer or tokenizer_path(), capacity, windows, max_gap, end_id)), SCHEMA.format(kind=kind))
     return out.withColumnRenamed("id", id_col)

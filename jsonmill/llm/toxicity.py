@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, releasing, small_batches
 
 #: Insults to start from.
 SEEDS = """
@@ -118,7 +118,7 @@ def _count_batches(model: Model):
                 if not hits(a, f)[1]:
                     counts["p", "", y] += 1
                     counts.update(("s", x, y) for x in {w[:k] for w in words for k in range(STEM_LEAST, min(len(w), STEM_MOST) + 1)})
-                if len(counts) > 500_000:
+                if len(counts) > 100_000:
                     yield flush(counts)
         yield flush(counts)
 
@@ -175,10 +175,11 @@ def training_ids(labels: DataFrame, id_col: str = "doc_id", label_col: str = "to
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS) -> Model:
     """The model from the bounded training sample; without labels of both kinds the built-in one."""
+    small_batches(docs.sparkSession)
     ids = F.broadcast(training_ids(labels, id_col, label_col, rows))  # `rows` pairs of numbers at most
     sample = materialize(docs.join(ids, docs[id_col] == ids["label_id"]).select(F.col(text_col).alias("t"), "toxic"), "toxicity-sample")
     model = Model()
-    sent = sample.mapInArrow(_count_batches(model), "kind string, word string, toxic int, n long")
+    sent = sample.mapInArrow(releasing(_count_batches(model)), "kind string, word string, toxic int, n long")
     of = lambda y: F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0))
     counts = materialize(sent.groupBy("kind", "word").agg(of(1).alias("k1"), of(0).alias("k0")), "toxicity-counts")
     texts = {r["kind"]: (r["k1"], r["k0"]) for r in counts.filter("kind IN ('t', 'p')").collect()}
@@ -194,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         lift = F.log((F.col("k1") + 0.5) / (r1 + 1)) - F.log((F.col("k0") + 0.5) / (r0 + 1))
         rows = counts.filter(F.col("kind") == "s").filter((F.col("k1") >= max(8, 0.01 * r1)) & (lift >= STEM_LIFT)).collect()  # few: each is in a share of bounded texts
         model.weights |= {f"{w}*": x for w, x in choose_stems([(r["word"], r["k1"], r["k0"]) for r in rows], r1, r0).items()}
-    got = sample.mapInArrow(_feature_batches(model), "toxic int, total double, words long").toPandas()
+    got = sample.mapInArrow(releasing(_feature_batches(model)), "toxic int, total double, words long").toPandas()
     total = got["total"].to_numpy()
     x = np.column_stack([np.ones(len(got)), np.log1p(total), np.log1p(100 * total / np.maximum(got["words"].to_numpy(), 1))])
     y, b = got["toxic"].to_numpy().astype(float), np.zeros(3)
@@ -211,18 +212,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 # --- scoring ----------------------------------------------------------------------------------
 
 
-def _score_batches(model: Model):
+def _score_batches(model: Model, text: int, keep: list[int]):
+    """The columns numbered `keep` with score and n_hits; the one numbered `text` is scored."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = model.matcher()
         for b in batches:
             scores, numbers = [], []
-            for t in b.column(0):
+            for t in b.column(text):
                 f = fold(t.as_py() or "")
                 total, n = hits(a, f)
                 scores.append(model.score(total, len(f.split()) if n else 1))
                 numbers.append(n)
-            passed = [b.column(k) for k in range(1, b.num_columns)]
-            yield pa.RecordBatch.from_arrays([*passed, pa.array(scores, pa.float64()), pa.array(numbers, pa.int64())], names=[*b.schema.names[1:], "score", "n_hits"])
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(k) for k in keep), pa.array(scores, pa.float64()), pa.array(numbers, pa.int64())], names=[*(b.schema.names[k] for k in keep), "score", "n_hits"]
+            )
 
     return run
 
@@ -237,7 +241,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = dict(docs.dtypes)[id_col]
     return (
         docs.select(F.col(text_col).alias("t"), F.col(id_col).alias("id"))
-        .mapInArrow(_score_batches(model), f"id {kind}, score double, n_hits long")
+        .mapInArrow(releasing(_score_batches(model, 0, [1])), f"id {kind}, score double, n_hits long")
         .select(F.col("id").alias(id_col), "score", "n_hits")
     )
 
@@ -246,8 +250,7 @@ def remove_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_
     """docs without the rows that score 0.5 or more, columns unchanged."""
     model = fit(docs, labels, id_col, text_col)
     names = [f"c{k}" for k in range(len(docs.columns))]
-    plain = docs.toDF(*names).withColumn("t", F.col(names[docs.columns.index(text_col)]))
-    scored = plain.select("t", *names).mapInArrow(
-        _score_batches(model), ", ".join(f"{n} {k}" for n, (_, k) in zip(names, docs.dtypes, strict=True)) + ", score double, n_hits long"
+    scored = docs.toDF(*names).mapInArrow(
+        releasing(_score_batches(model, docs.columns.index(text_col), list(range(len(names))))), ", ".join(f"{n} {k}" for n, (_, k) in zip(names, docs.dtypes, strict=True)) + ", score double, n_hits long"
     )
     return scored.filter("score < 0.5").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
