@@ -3,8 +3,9 @@
 A page is a stream of tags and text slots.  Runs of equal neighbours become
 repeated groups; the streams of a host are aligned one after another, and what
 only some have becomes optional.  The result is a union-free regular expression
-for the host, its wrapper.  Its slots tell in which region the host keeps its
-articles, and a page's text comes from the page's slots of that region.
+for the host, its wrapper.  Each page is matched to it, and a text that stands
+in the same slot of most pages of a host is template.  A page's text comes from
+the blocks that are not, of the regions in which the host's pages vary.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +50,9 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"(?i)(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPACE = re.compile(r"\s")
 LONGEST_REPEAT = 12
-MAX_CONSTANT = 200
 REGIONS = ("article", "main", "body", "out")
+#: A slot's text is template if it is in half of the host's pages that have the slot, in so many different surroundings at least.
+LEAST_PAGES = 3
 
 
 @dataclass
@@ -152,13 +155,35 @@ def tokenize(page: str) -> Stream:
 # An item is a tag, a slot, or ("+", items) for a group that repeats.
 
 
-def fold(items: list) -> list:
-    """Neighbouring repeats of up to LONGEST_REPEAT items become groups, again and again, inner ones first."""
-    again = True
+def _numbered(items: list) -> list[list[list[int]]]:
+    """Of each item its leaves (the slots inside it), each with its own number only."""
+    out, n = [], 0
+    for x in items:
+        k = _leaves(x)
+        out.append([[n + j] for j in range(k)])
+        n += k
+    return out
+
+
+def _leaves(x) -> int:
+    return sum(map(_leaves, x[1])) if isinstance(x, tuple) else int(x[0] == "#")
+
+
+def _joined(parts: list[list[list[int]]]) -> list[list[int]]:
+    """The leaves of repetitions of one item, as those of the item."""
+    return [sum(same, []) for same in zip(*parts, strict=True)]
+
+
+def fold_slots(items: list) -> tuple[list, list[list[int]]]:
+    """Neighbouring repeats of up to LONGEST_REPEAT items become groups, again and again, inner ones first.
+
+    Also, of each leaf of the result, in order, the numbers of the slots it stands for.
+    """
+    src, again = _numbered(items), True
     while again:
         again = False
         for w in range(1, LONGEST_REPEAT + 1):
-            out, k, n = [], 0, len(items)
+            out, own, k, n = [], [], 0, len(items)
             while k < n:
                 r = 1
                 if k + w < n and items[k] == items[k + w] and items[k : k + w] == items[k + w : k + 2 * w]:
@@ -168,33 +193,56 @@ def fold(items: list) -> list:
                 if r > 1:
                     one = block[0] if w == 1 and isinstance(block[0], tuple) else ("+", tuple(block))
                     out.append(one)
+                    own.append(_joined([sum(src[k + j * w : k + (j + 1) * w], []) for j in range(r)]))
                     k, again = k + r * w, True
                 else:
                     out.append(items[k])
+                    own.append(src[k])
                     k += 1
-            items = out
-    return items
+            items, src = out, own
+    return items, sum(src, [])
+
+
+def fold(items: list) -> list:
+    return fold_slots(items)[0]
 
 
 def _groups(items: list) -> set:
     return {x for x in items if isinstance(x, tuple)}
 
 
-def _regroup(items: list, groups: set) -> list:
-    """Single occurrences of known groups become these groups, so that one row meets many."""
+def _regroup_slots(items: list, src: list, groups: set) -> tuple[list, list]:
+    """Single occurrences of known groups become these groups, so that one row meets many; src follows."""
     for g in sorted(groups, key=lambda g: (-len(g[1]), repr(g))):
-        body, out, k = list(g[1]), [], 0
+        body, out, own, k = list(g[1]), [], [], 0
         while k < len(items):
             if items[k] == body[0] and items[k : k + len(body)] == body:
-                k += len(body)
-                if not out or out[-1] != g:
-                    out.append(g)
+                leaves, one, k = sum(src[k : k + len(body)], []), g, k + len(body)
             else:
-                if not (items[k] == g and out and out[-1] == g):
-                    out.append(items[k])
-                k += 1
-        items = out
-    return items
+                leaves, one, k = src[k], items[k], k + 1
+            if one == g and out and out[-1] == g:
+                own[-1] = _joined([own[-1], leaves])
+            else:
+                out.append(one)
+                own.append(leaves)
+        items, src = out, own
+    return items, src
+
+
+def _regroup(items: list, groups: set) -> list:
+    return _regroup_slots(items, _numbered(items), groups)[0]
+
+
+def match(items: list, wrapper: list) -> list[int]:
+    """Of each leaf of a folded page the number of the wrapper's leaf it is aligned with; -1 if none."""
+    found, (items, src) = [-1] * sum(map(_leaves, items)), _regroup_slots(items, _numbered(items), _groups(wrapper))
+    own = _numbered(wrapper)
+    for a, b, n in SequenceMatcher(None, wrapper, items, autojunk=False).get_matching_blocks():
+        for k in range(n):
+            for slot, leaves in zip(own[a + k], src[b + k], strict=True):
+                for x in leaves:
+                    found[x] = slot[0]
+    return found
 
 
 def align(a: list[tuple], b: list[tuple]) -> list[tuple]:
@@ -251,24 +299,113 @@ def content_regions(wrapper: list[tuple]) -> tuple[str, ...]:
     return tuple(r for r in REGIONS[:3] if r in found)
 
 
-def extract(stream: Stream, order: tuple[str, ...]) -> str:
-    """The blocks of the first region of `order` in which the page has any text."""
+def extract(stream: Stream, order: tuple, template: list[bool] | None = None) -> str:
+    """The blocks of the first step of `order` (a region, or several) in which the page has any text that is not template.
+
+    A block goes only if all of its slots are template.
+    """
     own = [x[1:] for x in stream.items if x[0] == "#"]
-    for region in order:
+    template = template or [False] * len(own)
+    for step in order:
+        regions_ = (step,) if isinstance(step, str) else step
         blocks: list[list[str]] = []
-        for r, t, new in zip(own, stream.texts, stream.breaks, strict=True):
-            if r == region:
-                if new or not blocks:
-                    blocks.append([])
-                blocks[-1].append(t)
-            elif new:
+        varies: list[bool] = []
+        for r, t, new, same in zip(own, stream.texts, stream.breaks, template, strict=True):
+            if new or (not blocks and r in regions_):
                 blocks.append([])
-        texts = [" ".join("".join(b).split()) for b in blocks]
+                varies.append(False)
+            if r in regions_:
+                blocks[-1].append(t)
+                varies[-1] |= not same
+        texts = [" ".join("".join(b).split()) for b, v in zip(blocks, varies, strict=True) if v]
         if any(texts):
             return "\n\n".join(t for t in texts if t)
     return ""
 
 
+def choose(mass: dict[str, int], n_pages: int, found: tuple[str, ...]) -> tuple:
+    """The order for extract(), from the characters of each region that are not template.
+
+    A region that varies as much as all better ones together is read with them;
+    'out' counts only on hosts whose other regions never vary.
+    """
+    varying = [r for r in REGIONS[:3] if mass.get(r)]
+    if n_pages < LEAST_PAGES:
+        return found
+    if not varying:
+        return (*found, "out") if mass.get("out") else found
+    first = varying[:1]
+    for r in varying[1:]:
+        if mass[r] >= sum(mass[x] for x in first):
+            first.append(r)
+    return (tuple(first), *found)
+
+
+class Host:
+    """What is known of one host: its wrapper, and once they are counted its template texts and regions."""
+
+    def __init__(self, known: str | None):
+        x = json.loads(known or "{}")
+        wrapper = _load(x.get("wrapper", "[]"))
+        self.items = [i for i, _ in wrapper]
+        self.template = {(t["slot"], t["h"]) for t in x.get("template") or ()}
+        self.order = choose({m["region"]: m["mass"] for m in x.get("mass") or ()}, x.get("n_pages") or 0, content_regions(wrapper))
+        self.matched: dict[tuple, list[int]] = {}
+
+    def slots(self, stream: Stream) -> list[int]:
+        """The wrapper's slot of each slot of the page; below zero (one number a region) what it does not have."""
+        own = [x[1:] for x in stream.items if x[0] == "#"]
+        out = [-2 - REGIONS.index(r) for r in own]
+        items, leaves = fold_slots(stream.items)
+        key = tuple(items)
+        if key not in self.matched:
+            if len(self.matched) >= 2_000:
+                self.matched.clear()
+            self.matched[key] = match(items, self.items)
+        for slot, numbers in zip(self.matched[key], leaves, strict=True):
+            if slot >= 0:
+                for n in numbers:
+                    out[n] = slot
+        return out
+
+    def text(self, page: str) -> str:
+        stream = tokenize(page)
+        if not self.template:
+            return extract(stream, self.order)
+        return extract(stream, self.order, [(s, h) in self.template or not n for s, (h, n) in zip(self.slots(stream), map(_digest, stream.texts), strict=True)])
+
+
+def _digest(text: str) -> tuple[int, int]:
+    """Digest (signed) and length of a slot's text, white space made one space."""
+    t = " ".join(text.split())
+    h = xxhash.xxh64_intdigest(t)
+    return h - (1 << 64) if h >> 63 else h, len(t)
+
+
+def slot_rows(host: Host, page: str) -> set[tuple[int, str | None, int | None, int, int]]:
+    """(slot, region, digest, length, surroundings) of a page's texts; without digest of its slots, and at -1 of the page.
+
+    A text's surroundings are the longest and the least of the other texts, so
+    that copies and near copies of one article are mostly counted as one page.
+    """
+    stream = tokenize(page)
+    regions_ = [x[1:] for x in stream.items if x[0] == "#"]
+    rows = [(s, r, *d) for s, r, d in zip(host.slots(stream), regions_, map(_digest, stream.texts), strict=True) if d[1]]
+    pool = {(n, h) for _, r, h, n in rows if r != "out"} or {(n, h) for _, r, h, n in rows}
+    longest = sorted(pool, reverse=True)[:2]
+    least = sorted(pool, key=lambda x: x[1])[:2]
+
+    def around(text: tuple[int, int] | None) -> int:
+        a = next((x[1] for x in longest if x != text), 0)
+        b = next((x[1] for x in least if x != text), 0)
+        return ((3 * a + b + (1 << 63)) & ((1 << 64) - 1)) - (1 << 63)
+
+    out: set = {(-1, None, None, 0, around(None))}
+    for s, r, h, n in rows:
+        out |= {(s, r, h, n, around((n, h))), (s, r, None, 0, around(None))}
+    return out
+
+
 # --- on Spark ---------------------------------------------------------------------------------
 
 
@@ -334,45 +471,95 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
     return parts.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_merge_batches, "host string, wrapper string")
 
 
-def _extract_batches(wrappers: dict[str, str] | None):
+def _known(wrappers: dict[str, str] | None):
+    """From a row's first column to its Host."""
+    hosts: dict[str, Host] = {}
+
+    def get(key: str | None) -> Host:
+        text = wrappers.get(key) if wrappers is not None else key
+        if (text or "") not in hosts:
+            if len(hosts) > 1_000:
+                hosts.clear()
+            hosts[text or ""] = Host(text)
+        return hosts[text or ""]
+
+    return get
+
+
+def _slot_batches(wrappers: dict[str, str] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders: dict[str, tuple[str, ...]] = {}
+        get = _known(wrappers)
         for b in batches:
-            texts = []
-            for key, page in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                key = wrappers.get(key, "[]") if wrappers is not None else key or "[]"
-                if key not in orders:
-                    if len(orders) > 10_000:
-                        orders.clear()
-                    orders[key] = content_regions(_load(key))
-                texts.append(extract(tokenize(page.as_py() or ""), orders[key]))
-            yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), pa.array(texts, pa.string())], names=["id", "url", "text"])
+            rows = []
+            for key, host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                rows += [(host, *x) for x in slot_rows(get(key), page.as_py() or "")]
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["host", "slot", "region", "h", "size", "around"])
 
     return run
 
 
+def learn(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """host and known (JSON: wrapper, template, mass, n_pages) of every host, from all of its pages.
+
+    Texts are counted by (host, slot, digest) with partial sums, so neither a
+    hot host nor a hot text gathers rows in one task.
+    """
+    wrappers = materialize(infer_wrappers(pages, url_col, html_col).select("host", F.to_json(F.struct("wrapper")).alias("known"), "wrapper"), "wrappers")
+    rows, known = _with_known(pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("html")), wrappers)
+    rows = rows.mapInArrow(_slot_batches(known), "host string, slot int, region string, h long, size long, around long")
+    once = rows.groupBy("host", "slot", "region", "h", "size", "around").agg(F.count(F.lit(1)).alias("rows"))
+    texts = materialize(once.groupBy("host", "slot", "region", "h", "size").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows")), "slots")
+    totals = texts.filter("h IS NULL").select("host", "slot", F.col("n").alias("total"))
+    template = materialize(
+        texts.filter(F.col("h").isNotNull() & (F.col("n") >= LEAST_PAGES)).join(totals, ["host", "slot"]).filter("2 * n >= total"), "template"
+    )
+    chars = F.sum(F.col("size") * F.col("rows"))
+    mass = texts.filter("h IS NOT NULL").groupBy("host", "region").agg(chars.alias("mass"))
+    constant = template.groupBy("host", "region").agg(chars.alias("constant"))
+    mass = mass.join(constant, ["host", "region"], "left").withColumn("mass", F.col("mass") - F.coalesce("constant", F.lit(0)))
+    return (
+        wrappers.select("host", "wrapper")
+        .join(mass.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("region", "mass"))).alias("mass")), "host", "left")
+        .join(template.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", "h"))).alias("template")), "host", "left")
+        .join(totals.filter("slot = -1").select("host", F.col("total").alias("n_pages")), "host", "left")
+        .select("host", F.to_json(F.struct("wrapper", "template", "mass", "n_pages")).alias("known"))
+    )
+
+
 #: Wrappers of so many hosts at most, and of so many characters in all, are sent to all executors.
 BROADCAST_HOSTS, BROADCAST_CHARS = 5_000, 16_000_000
 
 
+def _with_known(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, dict[str, str] | None]:
+    """rows (host and others) behind the key for _known(), and what that takes."""
+    size = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("known")), F.lit(0)).alias("c")).first()
+    if size["n"] <= BROADCAST_HOSTS and size["c"] <= BROADCAST_CHARS:
+        return rows.select(F.col("host").alias("key"), "*"), {r["host"]: r["known"] for r in known.collect()}
+    return rows.join(known.select("host", "known"), "host", "left").select(F.col("known").alias("key"), *rows.columns), None
+
+
+def _extract_batches(wrappers: dict[str, str] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = _known(wrappers)
+        for b in batches:
+            texts = [get(key).text(page.as_py() or "") for key, page in zip(b.column(0).to_pylist(), b.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(3), b.column(4), pa.array(texts, pa.string())], names=["id", "url", "text"])
+
+    return run
+
+
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id_col, url and text (empty if none) per input row.
 
     Null html is empty; a null or odd url belongs to the host ''; null and
     repeated ids stay rows of their own; pages of any length are read whole;
-    other input columns are ignored; an empty table gives none.
+    other input columns are ignored; an empty table gives none.  On hosts with
+    too few different pages (LEAST_PAGES) nothing is template.
     """
     kind = dict(pages.dtypes)
-    wrappers = materialize(infer_wrappers(pages, url_col, html_col), "wrappers")
+    known = materialize(learn(pages, url_col, html_col), "hosts")
     rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("html"), F.col(id_col).alias("id"), F.col(url_col).alias("url"))
-    size = wrappers.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("wrapper")), F.lit(0)).alias("c")).first()
-    if size["n"] <= BROADCAST_HOSTS and size["c"] <= BROADCAST_CHARS:
-        known, first = {r["host"]: r["wrapper"] for r in wrappers.collect()}, "host"
-    else:
-        known, first = None, "wrapper"
-        rows = rows.join(wrappers, "host", "left")
-    return (
-        rows.select(first, "html", "id", "url")
-        .mapInArrow(_extract_batches(known), f"id {kind[id_col]}, url {kind[url_col]}, text string")
-        .select(F.col("id").alias(id_col), "url", "text")
-    )
+    rows, sent = _with_known(rows, known)
+    return rows.mapInArrow(_extract_batches(sent), f"id {kind[id_col]}, url {kind[url_col]}, text string").select(F.col("id").alias(id_col), "url", "text")

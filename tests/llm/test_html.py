@@ -71,3 +71,27 @@ def test_whole_table_against_a_plain_reading(spark):
         inner = re.search(r"<article>(.*?)(</article>|$)", pages[r.page_id], re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<(?!/?(p|h1)\b)[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)\b[^>]*>", inner)]
         assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+def test_constant_texts_and_content_without_known_names(spark):
+    rows, want = [], {}
+    for i in range(12):
+        story = [f"Story {i} part {k} of its own." for k in range(1 + i % 3)]
+        body = "".join(f"<p>{x}</p>" for x in story)
+        top = "<div id=x1><span>Home</span><span>About us</span></div>"
+        rows += [(i, "http://plain.example/a", f"<body>{top}<div id=x2><p>Our site wishes you a nice day.</p>{body}</div><div id=x3>&copy; Plain</div>")]
+        want[i] = "\n\n".join(story)
+        # the tags mislead: the article is a constant teaser, the story is in the body, and a date is part of a block
+        rows += [(100 + i, "http://odd.example/a", f"<body><article><p>Read our best offers.</p></article><div>{body}</div><p>Day <b>{i}</b></p>")]
+        want[100 + i] = "\n\n".join([*story, f"Day {i}"])
+        # the names mislead: everything is in a widget
+        rows += [(200 + i, "http://names.example/a", f"<body><div class=widget><p>Menu</p>{body}</div>")]
+        want[200 + i] = "\n\n".join(story)
+        # copies of one article are no template
+        rows += [(300 + i, "http://copies.example/a", f"<article><p>Same text of all the copies.</p><p>And its end.</p></article><div class=ad>{i}</div>")]
+        want[300 + i] = "Same text of all the copies.\n\nAnd its end."
+        # the story is spread over an article and the main part
+        rows += [(400 + i, "http://two.example/a", f"<main><article><p>Head {i}</p></article><div>{body}</div><div>Constant</div></main>")]
+        want[400 + i] = "\n\n".join([f"Head {i}", *story])
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: (got[k], want[k]) for k in want if got[k] != want[k]} == {}
