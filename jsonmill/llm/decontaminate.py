@@ -20,11 +20,11 @@ BROADCAST_ROWS = 2_000_000
 
 
 def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """size, win (its words, space-joined) and items (the ids as strings, distinct) of every window of every item."""
+    """size, win (its words, space-joined) and items (the ids as strings, distinct; an item without an id adds none) of every window of every item."""
     w = benchmark.select(
         F.col(item_col).cast("string").alias("item"), split_words(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), GAP).alias("w")
     ).select("item", "w", F.least(F.size("w"), F.lit(window)).alias("size"))
-    every = w.filter("size > 0 AND item IS NOT NULL").select(
+    every = w.filter("size > 0").select(
         "item",
         "size",
         F.explode(
@@ -66,8 +66,8 @@ def find_hits(
     """One row per input row: id_col, n_words, n_hit, n_items, items (sorted), spans.
 
     spans are the [start, end) word positions that windows cover, merged and in
-    order.  Null texts have no words; items that are null or have no word
-    hit nothing; null and repeated ids stay rows of their own; equal items
+    order.  Null texts have no words; items whose text is null or has no word
+    hit nothing; items without an id hit, but are not in n_items and items; null and repeated ids stay rows of their own; equal items
     share their windows; other input columns are ignored.
     """
     wins = item_windows(benchmark, item_col, item_text_col, window).persist()

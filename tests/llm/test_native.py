@@ -101,3 +101,12 @@ def test_decontamination(spark, short):
     assert find_hits(docs.limit(0), bench).count() == 0
     none = find_hits(docs, bench.limit(0)).collect()
     assert len(none) == len(texts) and all(r.n_hit == 0 for r in none)
+
+
+def test_items_without_an_id_hit(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"so {text} eleven twelve"), (2, "b c d"), (3, "nothing")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, text + " eleven"), (7, text), (None, "b c d"), (None, None)], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, list(r["items"]), [tuple(s) for s in r.spans]) for r in find_hits(docs, bench).collect()}
+    assert got == {1: (11, 1, ["7"], [(1, 12)]), 2: (3, 0, [], [(0, 3)]), 3: (0, 0, [], [])}
+    assert [r.doc_id for r in remove_documents(docs, bench).collect()] == [3]
