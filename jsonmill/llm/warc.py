@@ -125,38 +125,94 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
     return record, start + size + 4
 
 
-def _member(data: bytes, at: int) -> tuple[list[Record], int]:
-    """The records of the gzip member at `at`."""
-    d = zlib.decompressobj(31)
-    try:
-        inner = d.decompress(data[at:]) + d.flush()
-    except zlib.error as e:
-        raise Damaged(f"gzip: {e}") from None
-    if not d.eof:
-        raise Damaged("gzip: member cut off")
-    end, records, k = len(data) - len(d.unused_data), [], 0
-    while k < len(inner):
-        r, k = _parse(inner, k)
-        records.append(Record(at, end - at, r.fields, r.block))
-    if not records:
-        raise Damaged("gzip: member without record")
-    return records, end
+#: Bytes of a gzip member that are decompressed at once.
+PIECE = 1 << 16
+
 
+def _inflate(data: bytes, at: int, want: int | None = None) -> tuple[bytes, int, str | None]:
+    """What the gzip member at `at` decompresses to as far as it is whole, where the reading ended, and what is wrong.
 
-def read_records(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
-    """The records of an archive in order, and (offset, length, reason) of each gap that had to be left out."""
-    at = 0
+    With `want` it ends at the first byte that brings so much content.
+    """
+    d, out, size, view = zlib.decompressobj(31), [], 0, memoryview(data)
+    while at < len(data) and not d.eof:
+        before, piece = d.copy(), view[at : at + PIECE]
+        try:
+            got = d.decompress(piece)
+            if want is None or size + len(got) < want:
+                out.append(got)
+                size += len(got)
+                at += len(piece) - len(d.unused_data)
+                continue
+        except zlib.error:
+            pass
+        d = before  # byte by byte up to the place
+        for k in range(len(piece)):
+            try:
+                got = d.decompress(piece[k : k + 1])
+            except zlib.error as e:
+                return b"".join(out), at + k, f"gzip: {e}"
+            out.append(got)
+            size += len(got)
+            if want is not None and size >= want:
+                return b"".join(out), at + k + 1, None
+        at += len(piece)
+    return b"".join(out), at, None if d.eof else "gzip: member cut off"
+
+
+def _checked(r: Record) -> bool:
+    """Whether the block has a digest, which _parse() has compared."""
+    return r.fields.get("warc-block-digest", "").startswith("sha1:")
+
+
+def _member(data: bytes, at: int) -> tuple[list[Record | tuple[int, int, str]], int, str | None]:
+    """The records of the gzip member at `at` and the gaps between them, where they end, and why the rest of it is no good.
+
+    Content before damage to the compressed bytes may be wrong as well: of it
+    only records with a block digest are taken.
+    """
+    inner, end, wrong = _inflate(data, at)
+    found = list(read_records(inner, inside=True))
+    if wrong and wrong != "gzip: member cut off":
+        found = [r for r in found if isinstance(r, tuple) or _checked(r)]
+    records = [r for r in found if not isinstance(r, tuple)]
+    if not records:
+        raise Damaged(wrong or next((f"gzip: {r[2]}" for r in found), "gzip: member without record"))
+    if wrong:
+        last = records[-1].offset + records[-1].size
+        found = [r for r in found if not isinstance(r, tuple) or r[0] < last]
+        end = _inflate(data, at, last)[1]
+        # the last bits of a member that was cut off can come from the first bytes of what follows
+        further = _NEXT.search(data, max(at + 1, end - 8), end + 10)
+        end = min(end, further.start()) if further else end
+    out: list[Record | tuple[int, int, str]] = []
+    for r in found:
+        if isinstance(r, tuple):
+            out.append((at, end - at, f"gzip: bytes {r[0]} to {r[0] + r[1]} of the member: {r[2]}"))
+        else:
+            out.append(Record(at, end - at, r.fields, r.block))
+    return out, end, wrong
+
+
+def read_records(data: bytes, inside: bool = False) -> Iterator[Record | tuple[int, int, str]]:
+    """The records of an archive in order, and (offset, length, reason) of each gap that had to be left out.
+
+    A gap inside a gzip member has the member's offset and length.  inside: data
+    is the content of a member, which has plain records only.
+    """
+    at, marks = 0, _VERSION_LINE if inside else _NEXT
     gap: tuple[int, str] | None = None
     while at < len(data):
+        wrong = None
         try:
-            if data.startswith(b"\x1f\x8b\x08", at):
-                found, end = _member(data, at)
+            if not inside and data.startswith(b"\x1f\x8b\x08", at):
+                found, end, wrong = _member(data, at)
             else:
                 one, end = _parse(data, at)
                 found = [one]
         except Damaged as e:
             gap = gap or (at, str(e))
-            further = _NEXT.search(data, at + 1)
+            further = marks.search(data, at + 1)
             at = further.start() if further else len(data)
             continue
         if gap:
@@ -164,6 +220,10 @@ def read_records(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
             gap = None
         yield from found
         at = end
+        if wrong:
+            gap = (end, wrong)
+            further = marks.search(data, end)
+            at = further.start() if further else len(data)
     if gap:
         yield gap[0], len(data) - gap[0], gap[1]
 

@@ -79,3 +79,27 @@ def test_odd_rows(spark, tmp_path):
     (tmp_path / "a" / f".{files[0].name}.crc").unlink(missing_ok=True)
     hurt = read_archives(spark, path).collect()
     assert [r for r in hurt if r.gap_reason] and len([r for r in hurt if not r.gap_reason]) == len(rows) - 1
+
+
+def ids(found):
+    return [int(r.fields["warc-record-id"].strip("<>").rsplit(":", 1)[1]) for r in found if not isinstance(r, tuple)]
+
+
+def test_members_of_many_records_are_salvaged():
+    rng = random.Random(2)
+    records = [encode_record(i, "u", rng.randbytes(3000)) for i in range(60)]
+    hurt = list(records)
+    hurt[20] = hurt[20][:-50] + b"?" + hurt[20][-49:]  # its digest differs
+    got = list(read_records(gzip_member(b"".join(hurt))))
+    assert ids(got) == [i for i in range(60) if i != 20] and len([x for x in got if isinstance(x, tuple)]) == 1
+    whole = gzip_member(b"".join(records))
+    cut = whole[: len(whole) * 3 // 4]
+    assert len(cut) > 1 << 16
+    after = gzip_member(encode_record(99, "u", b"after"))
+    for data, last in ((cut, []), (cut + after, [99]), (whole[:-8] + bytes(8), []), (whole[:-8] + bytes(8) + after, [99])):
+        got = list(read_records(data))
+        n = len(ids(got)) - len(last)
+        assert ids(got) == [*range(n), *last] and n >= (44 if data.startswith(cut) and not data.startswith(whole[:-8]) else 60)
+        gaps = [x for x in got if isinstance(x, tuple)]
+        assert len(gaps) == 1 and gaps[0][0] == next(r for r in got if not isinstance(r, tuple)).size
+        assert sum(s for _, s in {(r.offset, r.size) if not isinstance(r, tuple) else r[:2] for r in got}) == len(data)
