@@ -1,11 +1,13 @@
 """Language-model scores by logistic context mixing over bits.
 
 Words of a dictionary are coded along a Huffman tree, all others letter by
-letter along another, so a text is a series of bits.  Predictors with hashed
-contexts, counted over all training texts (words) and their whole vocabulary (letters), give each bit several probabilities;
-a mixer with weights that a gate selects joins them, and a last table corrects
-the result.  Weights and table adapt while a text is read, in stretches of
-SEGMENT bits, many stretches in step.  The sum of the bits' costs is the total.
+letter along another, so a text is a series of bits.  Counts in tables of
+hashed contexts (the words and letters before, with the place in the tree) give
+each bit several predictions.  A mixer adds them up with weights that a gate
+selects; the weights are fitted on training rows that the tables had not
+counted.  While a text is read its own weights move on from there, and a table
+of what the predictions missed so far corrects the next ones.  A word outside
+the dictionary costs its spelling and its count among all training words.
 """
 
 from __future__ import annotations
@@ -21,31 +23,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, releasing, small_batches
 
-#: Words of the dictionary: a fixed bound of what is broadcast.
-WORDS = 1 << 18
-#: A word below this share of all tokens costs less spelled than in the dictionary.
-SPELLED = 5e-8
+#: Words of the dictionary at most (a fixed bound of what is broadcast), and how often each must have been met.
+WORDS, LEAST = 1 << 17, 4
 #: The counted word of a text's end; no word holds white space.
 END = b"\n"
 SMOOTH = 0.1
 
-#: Words coded bit by bit down to this many tree nodes; what lies below follows the plain counts.
-NODES = 1024
-#: Contexts of words: the word before (the most frequent ones their own, others hashed) and the last very frequent word.
-OWN_PREVIOUS, PREVIOUS, FREQUENT = 256, 512, 64
-#: Contexts of letters: two letters before, then three and five, hashed.
-LETTERS, RANKS, LETTER_NODES = 257, 64, 64
-CONTEXTS = (PREVIOUS, FREQUENT + 1, RANKS * RANKS, 1 << 14, 1 << 17)
-#: How often the longest context must have been met for the mixer's gate to trust it.
-OFTEN = 8
+#: Slots of a table of word or letter contexts at most, as powers of two; fewer tokens get fewer slots.
+WORD_SLOTS, LETTER_SLOTS = 22, 20
+#: The last of so many most frequent words is a context of its own.
+FREQUENT = 64
+LETTERS = 257
+#: How many letters before make a context.
+ORDERS = (1, 2, 3, 4, 6)
+#: What is added to both counts of a slot.
+PRIOR = 0.4
+#: Predictions are kept in these units, beside two bits for how often the slot was met.
+UNIT = 0.0125
 CHUNK = 1 << 16
 
-SEGMENT, STEP = 4096, 128
-GATES, BUCKETS = 5, 8
-RATE, TABLE_RATE, TABLE_SHARE = 0.04, 0.25, 0.2
-SLICE = 100_000
+#: One in so many training rows is kept from the tables until the weights are fitted on it.
+FIT_SHARE, FIT_ROUNDS = 16, 4
+#: A text's own weights move after so many bits, later after each quarter of what was read.
+BLOCK = 64
+RATE, DECAY, FARTHEST = 0.004, 1000.0, 2.0
+#: Bits a text must have had in a bucket of predictions until half of what they missed corrects the next.
+BUCKETS, BUCKET_PRIOR = 12, 200.0
+#: Texts that are read in step.
+TEXTS = 256
 
 
 # --- codes ------------------------------------------------------------------------------------
@@ -53,105 +60,79 @@ SLICE = 100_000
 
 @dataclass
 class Tree:
-    """A Huffman tree down to its first nodes, numbered by depth.
+    """A Huffman tree; the bits and nodes of symbol s are [start[s], start[s + 1]), the root is node 0."""
 
-    Symbol s ends in leaf[s]; what lies deeper costs below[s], a natural
-    logarithm.  The bits and nodes of leaf k are [start[k], start[k + 1]).
-    """
-
-    leaf: np.ndarray
-    below: np.ndarray
     start: np.ndarray
     nodes: np.ndarray
     bits: np.ndarray
-    ones: np.ndarray  # the probability of a one at each node by the counts
-
-    @property
-    def leaves(self) -> int:
-        return len(self.start) - 1
+    ones: np.ndarray  # the logistic of the probability of a one at each node by the counts
 
 
-def huffman(counts: np.ndarray, most: int) -> Tree:
-    """The tree of two symbols or more with at most `most` nodes kept."""
+def huffman(counts: np.ndarray) -> Tree:
+    """The tree of two symbols or more."""
     n = len(counts)
     heap = [(int(c), k) for k, c in enumerate(counts)]
     heapq.heapify(heap)
-    children: list[tuple[int, int, int, int]] = []
-    while len(heap) > 1:
+    parent, side = np.zeros(2 * n - 1, dtype=np.int32), np.zeros(2 * n - 1, dtype=np.uint8)
+    ones = np.zeros(n - 1, dtype=np.float32)
+    for k in range(n, 2 * n - 1):
         a, x = heapq.heappop(heap)
         b, y = heapq.heappop(heap)
-        children.append((x, y, a, b))
-        heapq.heappush(heap, (a + b, n + len(children) - 1))
-    end = np.zeros(n + len(children), dtype=np.int64)  # of each symbol and node, where the kept part ends above it
-    below = np.zeros(n + len(children), dtype=np.float64)
-    order, ones, paths, at = [n + len(children) - 1], [], {}, {n + len(children) - 1: ()}
-    for k, node in enumerate(order):  # breadth first
-        x, y, a, b = children[node - n]
-        one = (b + 0.05) / (a + b + 0.1)
-        path = at.pop(node, None)
-        if k < most:
-            ones.append(one)
-        for child, bit in ((x, 0), (y, 1)):
-            if k < most:
-                end[child] = 2 * k + bit
-                paths[2 * k + bit] = at[child] = (*path, (k, bit))
-            else:
-                end[child] = end[node]
-                below[child] = below[node] + np.log(one if bit else 1 - one)
-            if child >= n:
-                order.append(child)
-            else:
-                at.pop(child, None)
-    keys, leaf = np.unique(end[:n], return_inverse=True)
-    own = [paths[int(k)] for k in keys]
-    flat = [step for path in own for step in path]
-    return Tree(
-        leaf.astype(np.int32),
-        below[:n].astype(np.float32),
-        np.concatenate(([0], np.cumsum([len(path) for path in own]))),
-        np.array([k for k, _ in flat], dtype=np.int32),
-        np.array([bit for _, bit in flat], dtype=np.uint8),
-        np.array(ones, dtype=np.float32),
-    )
-
-
-def expand(tree: Tree, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(which leaf of the row, node, bit, depth) of every bit."""
-    n = tree.start[leaves + 1] - tree.start[leaves]
-    which = np.repeat(np.arange(len(leaves), dtype=np.int32), n)
+        parent[x] = parent[y] = k
+        side[y] = 1
+        ones[2 * n - 2 - k] = np.log((b + 0.05) / (a + 0.05))
+        heapq.heappush(heap, (a + b, k))
+    at, row, steps = np.arange(n), np.arange(n), []
+    while len(at):
+        up = parent[at]
+        steps.append((row, 2 * n - 2 - up, side[at]))
+        row, at = row[up < 2 * n - 2], up[up < 2 * n - 2]
+    rows, nodes, bits = (np.concatenate([s[k] for s in reversed(steps)]) for k in range(3))
+    order = np.argsort(rows, kind="stable")  # from the root down
+    return Tree(np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=n)))), nodes[order].astype(np.int32), bits[order], ones)
+
+
+def expand(tree: Tree, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(which symbol of the row, node, bit, depth) of every bit."""
+    n = tree.start[symbols + 1] - tree.start[symbols]
+    which = np.repeat(np.arange(len(symbols), dtype=np.int32), n)
     depth = np.arange(len(which), dtype=np.int32) - np.repeat((np.cumsum(n) - n).astype(np.int32), n)
-    at = tree.start[leaves][which] + depth
+    at = tree.start[symbols][which] + depth
     return which, tree.nodes[at], tree.bits[at], depth
 
 
-def hashed(size: int, *parts: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(parts[0]), dtype=np.uint64)
+def mixed_up(*parts: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of each row."""
+    h = np.zeros(len(parts[0]), dtype=np.uint32)
     for p in parts:
-        h = (h + p.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return (h & np.uint64(size - 1)).astype(np.int64)
+        h = (h + p.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+    return h
+
+
+def slot(context: np.ndarray, node: np.ndarray, size: int) -> np.ndarray:
+    h = (context ^ (node.astype(np.uint32) * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(16)
+    return h & np.uint32(size - 1)
 
 
 @dataclass
 class Words:
-    """What coding needs: the dictionary, the trees of words and letters, and the letters' ranks by frequency."""
+    """What coding needs: the dictionary, the trees of words and letters, and the sizes of their tables."""
 
     index: dict[bytes, int]
     words: Tree
     letters: Tree
-    rank: np.ndarray
-
-    def __post_init__(self) -> None:
-        self.trees = (self.words,) * 2 + (self.letters,) * 3
-        self.first = np.concatenate(([0], np.cumsum([c * t.leaves for c, t in zip(CONTEXTS, self.trees, strict=True)])))
+    word_slots: int
+    letter_slots: int
 
     def plain(self) -> tuple:
         """As nothing but arrays and a dict, which a worker can read without this package on its path."""
-        return self.index, *(tuple(vars(t).values()) for t in (self.words, self.letters)), self.rank
+        return self.index, *(tuple(vars(t).values()) for t in (self.words, self.letters)), self.word_slots, self.letter_slots
 
     @classmethod
     def of(cls, plain: tuple) -> Words:
-        return cls(plain[0], Tree(*plain[1]), Tree(*plain[2]), plain[3])
+        return cls(plain[0], Tree(*plain[1]), Tree(*plain[2]), *plain[3:])
 
     @property
     def end(self) -> int:
@@ -161,22 +142,28 @@ class Words:
     def escape(self) -> int:
         return len(self.index) + 1
 
+    def kind(self, of_words: bool) -> tuple[Tree, int, int]:
+        """Tree, number of tables and their slots."""
+        return (self.words, 3, self.word_slots) if of_words else (self.letters, len(ORDERS), self.letter_slots)
+
+
+def slots_for(n: int, most: int) -> int:
+    return 1 << min(most, max(10, int(n).bit_length() + 3))
+
 
 def words_of(known: list[bytes], counts: np.ndarray, letters: np.ndarray) -> Words:
-    """counts: of the known words, of ends, of all other words; letters: of the bytes and of words' ends."""
-    rank = np.full(LETTERS + 1, RANKS - 1, dtype=np.int64)  # the last rank is shared
-    rank[np.argsort(-letters, kind="stable")[: RANKS - 1]] = np.arange(RANKS - 1)
-    return Words({w: k for k, w in enumerate(known)}, huffman(counts, NODES), huffman(letters, LETTER_NODES), rank)
+    """counts: of the known words, of ends, of all other words; letters: of the bytes and of words' ends in the vocabulary."""
+    return Words({w: k for k, w in enumerate(known)}, huffman(counts), huffman(letters), slots_for(counts.sum(), WORD_SLOTS), slots_for(letters.sum(), LETTER_SLOTS))
 
 
 @dataclass
 class Symbols:
-    """A stream of symbols: whose text each is of, and its contexts in the tables `tables`."""
+    """A stream of symbols: the text each is of, the unit its cost is added to, and hashes of its contexts."""
 
     text: np.ndarray
+    unit: np.ndarray
     symbol: np.ndarray
     contexts: list[np.ndarray]
-    tables: tuple[int, ...]
 
 
 def streams(own: Words, tokens: list[list[bytes]]) -> tuple[Symbols, Symbols, list[bytes]]:
@@ -190,20 +177,19 @@ def streams(own: Words, tokens: list[list[bytes]]) -> tuple[Symbols, Symbols, li
     symbols = np.full(n, own.end, dtype=np.int64)
     symbols[~is_end] = np.fromiter(map(own.index.get, flat, repeat(own.escape)), dtype=np.int64, count=len(flat))
     rest = list(compress(flat, (symbols[~is_end] == own.escape).tolist()))
-    first = np.concatenate(([True], is_end[:-1]))[:n]
-    before = np.where(first, own.end, np.concatenate(([own.end], symbols))[:n])
-    previous = np.where(before < OWN_PREVIOUS, before, OWN_PREVIOUS + hashed(PREVIOUS - OWN_PREVIOUS, before))
+    place, start = np.arange(n), np.repeat(text_ends - sizes, sizes)
+    before = np.where(place > start, np.concatenate(([own.end], symbols))[:n], own.end)
+    earlier = np.where(place > start + 1, np.concatenate(([own.end] * 2, symbols))[:n], own.end)
     # the last of the most frequent words before each place, within the text
-    place = np.arange(n)
     seen = np.maximum.accumulate(np.where(before < FREQUENT, place, -1)) if n else place
-    start = np.repeat(text_ends - sizes, sizes)
     recent = np.where(seen >= start, before[np.maximum(seen, 0)], FREQUENT) if n else place
-    sizes, letters = spelled(own, rest)
+    words = Symbols(text, text, symbols, [mixed_up(recent), mixed_up(before), mixed_up(before, earlier)])
+    sizes, letters = spelled(rest)
     letters.text = np.repeat(text[symbols == own.escape], sizes)
-    return Symbols(text, symbols, [previous, recent], (0, 1)), letters, rest
+    return words, letters, rest
 
 
-def spelled(own: Words, words: list[bytes]) -> tuple[np.ndarray, Symbols]:
+def spelled(words: list[bytes]) -> tuple[np.ndarray, Symbols]:
     """The words' sizes, an end counted, and their letters."""
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
     ends = np.cumsum(sizes)
@@ -212,13 +198,13 @@ def spelled(own: Words, words: list[bytes]) -> tuple[np.ndarray, Symbols]:
     inside[ends - 1] = False
     letters[inside] = np.frombuffer(b"".join(words), dtype=np.uint8)
     at = np.arange(len(letters)) - np.repeat(ends - sizes, sizes)
-    ahead = np.concatenate((np.full(5, LETTERS), letters))
-    b1, b2, b3, b4, b5 = (np.where(at >= k, ahead[5 - k : len(ahead) - k], LETTERS) for k in range(1, 6))
-    two, three, five = own.rank[b1] * RANKS + own.rank[b2], hashed(CONTEXTS[3], b1, b2, b3), hashed(CONTEXTS[4], b1, b2, b3, b4, b5)
-    return sizes, Symbols(np.zeros(0, dtype=np.int32), letters, [two, three, five], (2, 3, 4))
+    ahead = np.concatenate((np.full(ORDERS[-1], LETTERS), letters))
+    past = [np.where(at >= k, ahead[ORDERS[-1] - k : len(ahead) - k], LETTERS) for k in range(1, ORDERS[-1] + 1)]
+    unit = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    return sizes, Symbols(unit, unit, letters, [mixed_up(*past[:k]) for k in ORDERS])
 
 
-# --- training ---------------------------------------------------------------------------------
+# --- tables -----------------------------------------------------------------------------------
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -252,11 +238,24 @@ def _letter_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(LETTERS)), pa.array(total)], names=["k", "n"])
 
 
-def add_counts(own: Words, s: Symbols, counts: np.ndarray) -> None:
-    """Counts each symbol by the leaf it ends in, in each of its contexts."""
-    for k, c in zip(s.tables, s.contexts, strict=True):
-        a, z, tree = int(own.first[k]), int(own.first[k + 1]), own.trees[k]
-        np.add.at(counts[a:z], c * tree.leaves + tree.leaf[s.symbol], 1)
+def add_counts(own: Words, s: Symbols, of_words: bool, counts: np.ndarray) -> None:
+    """Counts the bits of s in the tables: counts[(table * slots + slot) * 2 + bit]."""
+    tree, _, size = own.kind(of_words)
+    which, node, bit, _ = expand(tree, s.symbol)
+    for k, c in enumerate(s.contexts):
+        np.add.at(counts[k * size * 2 : (k + 1) * size * 2], (slot(c[which], node, size) * np.uint32(2) + bit).astype(np.intp), np.int32(1))
+
+
+def _packed(k: int, salt: int, of_words: bool, part: np.ndarray) -> pa.RecordBatch:
+    """A chunk of counts in the narrowest type that holds it."""
+    top = int(part.max())
+    kind = "<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<i8"
+    row = [pa.array([of_words]), pa.array([k]), pa.array([salt], pa.int32()), pa.array([part.astype(kind).tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(row, names=["of_words", "k", "salt", "counts"])
+
+
+def _unpacked(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(data, dtype={1: "<u1", 2: "<u2", 8: "<i8"}[len(data) // size])
 
 
 def _table_batches(shared, of_words: bool):
@@ -266,148 +265,179 @@ def _table_batches(shared, of_words: bool):
         from pyspark import TaskContext
 
         own = Words.of(shared.value)
-        counts = np.zeros(int(own.first[-1]), dtype=np.int32)
+        _, tables, size = own.kind(of_words)
+        counts = np.zeros(tables * size * 2, dtype=np.int32)
         for b in batches:
-            if of_words:
-                for a in range(0, b.num_rows, 500):
-                    add_counts(own, streams(own, [tokens_of(t) for t in b.column(0).slice(a, 500).to_pylist()])[0], counts)
-            else:
-                add_counts(own, spelled(own, [w for w in b.column(0).to_pylist() if w != END])[1], counts)
-        salt = TaskContext.get().partitionId() % 16
-        for k in range(0, len(counts), CHUNK):
-            part = counts[k : k + CHUNK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([salt], pa.int32()), pa.array([part.astype("<i8").tobytes()], pa.binary())], names=["k", "salt", "counts"])
+            for a in range(0, b.num_rows, TEXTS if of_words else 50_000):
+                if of_words:
+                    s = streams(own, [tokens_of(t) for t in b.column(0).slice(a, TEXTS).to_pylist()])[0]
+                else:
+                    s = spelled([w for w in b.column(0).slice(a, 50_000).to_pylist() if w != END])[1]
+                add_counts(own, s, of_words, counts)
+        salt, step = TaskContext.get().partitionId() % 16, min(CHUNK, size)
+        for k in range(0, len(counts), step):
+            if counts[k : k + step].any():
+                yield _packed(k, salt, of_words, counts[k : k + step])
 
     return run
 
 
-def _sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by k and salt; one sum is held at a time."""
-    now, total = None, None
-    for b in batches:
-        for k, s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            if now is not None and now != (k, s):
-                yield pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([now[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["k", "salt", "counts"])
-                total = None
-            one = np.frombuffer(x.as_py(), dtype="<i8")
-            total, now = one.copy() if total is None else total + one, (k, s)
-    if now is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([now[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["k", "salt", "counts"])
+def _sum_batches(words_chunk: int, letters_chunk: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by table, k and salt; one sum is held at a time."""
+        now, total = None, None
+        for b in batches:
+            for key, x in zip(zip(*(b.column(k).to_pylist() for k in range(3)), strict=True), b.column(3), strict=True):
+                if now is not None and now != key:
+                    yield _packed(now[1], now[2], now[0], total)
+                    total = None
+                one = _unpacked(x.as_py(), words_chunk if key[0] else letters_chunk)
+                total, now = one.astype(np.int64) if total is None else total + one, key
+        if now is not None:
+            yield _packed(now[1], now[2], now[0], total)
 
+    return run
 
-def stretch(p: np.ndarray) -> np.ndarray:
-    p = np.clip(p, 1e-6, 1 - 1e-6)
-    return np.log(p / (1 - p)).astype(np.float32)
 
+@dataclass
+class Tables:
+    """words[k][slot] and letters[k][slot]: a prediction in UNITs, shifted by two bits for how often the slot was met."""
 
-#: Stretched probabilities are kept as bytes, in these units.
-UNIT = 0.11
+    words: list[np.ndarray]
+    letters: list[np.ndarray]
 
 
-@dataclass
-class Tables:
-    """stretched[k][context, node]: the stretched probability of a one; often: whether the longest letter context is well known."""
-
-    stretched: list[np.ndarray]
-    often: np.ndarray
-
-
-def tables_of(own: Words, counts: np.ndarray) -> Tables:
-    """The counts as probabilities, leaning on the node's own share where they are few."""
-    out, often = [], np.zeros(0, dtype=bool)
-    for k, tree in enumerate(own.trees):
-        n = len(tree.ones)
-        above = np.zeros((2, tree.leaves, n), dtype=np.float32)  # of each leaf the nodes above it and the bits taken there
-        which, node, bit, _ = expand(tree, np.arange(tree.leaves))
-        above[bit, which, node] = 1
-        weight = 8 if k < 2 else 0.5
-        rows = counts[int(own.first[k]) : int(own.first[k + 1])].reshape(CONTEXTS[k], -1)
-        table = np.empty((CONTEXTS[k], n), dtype=np.int8)
-        for a in range(0, CONTEXTS[k], 1 << 13):
-            c = rows[a : a + (1 << 13)].astype(np.float32)
-            x = stretch((c @ above[1] + weight * tree.ones) / (c @ (above[0] + above[1]) + weight))
-            table[a : a + (1 << 13)] = np.clip(np.round(x / UNIT), -127, 127)
-        out.append(table)
-        often = rows.sum(axis=1) >= OFTEN
-    return Tables(out, often)
+def _values(counts: np.ndarray, tables: int) -> list[np.ndarray]:
+    out = []
+    for c in np.array_split(counts, tables):
+        n0, n1 = c[0::2].astype(np.float32), c[1::2].astype(np.float32)
+        n, value = n0 + n1, np.round(np.log((n1 + PRIOR) / (n0 + PRIOR)) / UNIT)
+        out.append((np.clip(value, -4000, 4000).astype(np.int16) << 2) | ((n > 0).astype(np.int16) + (n > 2) + (n > 8)))
+    return out
+
+
+def tables_of(words: np.ndarray, letters: np.ndarray) -> Tables:
+    return Tables(_values(words, 3), _values(letters, len(ORDERS)))
 
 
 # --- mixing -----------------------------------------------------------------------------------
 
 
-#: Weights a stretch of bits begins with, by gate: words by depth, then letters by how well their longest context is known.
-START = np.array([[0.0, 0.5, 0.5, 0.0]] * 3 + [[0.4, 0.6, 0.0, 0.0], [0.0, 0.1, 0.9, 0.0]], dtype=np.float32)
+def gates(of_words: bool) -> int:
+    return 48 if of_words else 16
+
+
+def inputs(own: Words, tables: Tables, s: Symbols, of_words: bool, which, node, depth) -> tuple[list[np.ndarray], np.ndarray]:
+    """The predictions of every bit, the last one constant, and its gate: by how often its longer contexts were met, and the depth of a word's bit."""
+    tree, _, size = own.kind(of_words)
+    found = [t[slot(c[which], node, size)] for t, c in zip(tables.words if of_words else tables.letters, s.contexts, strict=True)]
+    x = [tree.ones[node]] if of_words else []
+    x += [(v >> 2).astype(np.float32) * np.float32(UNIT) for v in found]
+    x.append(np.full(len(node), 0.3, dtype=np.float32))
+    gate = (found[-1] & 3) * 4 + (found[-2] & 3)
+    if of_words:
+        gate = gate * 3 + np.minimum(depth >> 2, 2).astype(np.int16)
+    return x, gate
+
 
+def block_edges(longest: int) -> np.ndarray:
+    edges = [BLOCK]
+    while edges[-1] < longest:
+        edges.append(edges[-1] + max(BLOCK, edges[-1] // 4))
+    return np.array(edges)
 
-def cost(tree: Tree, tables: Tables, s: Symbols, a: int, z: int, n_texts: int) -> np.ndarray:
-    """The logarithm of the probability of symbols a to z down to their leaves, by text."""
-    total = np.zeros(n_texts)
-    which, node, bit, depth = expand(tree, tree.leaf[s.symbol[a:z]])
+
+def costs(own: Words, tables: Tables, weights: np.ndarray, s: Symbols, of_words: bool, units: int) -> np.ndarray:
+    """The natural logarithm of the probability of each unit of s, whose texts are in order.
+
+    The bits of a text are taken in blocks; weights[gate] and the text's own
+    difference from them stay as they are within one.
+    """
+    total = np.zeros(units)
+    which, node, bit, depth = expand(own.kind(of_words)[0], s.symbol)
     if not len(bit):
         return total
-    text = s.text[a:z][which]
-    if len(s.tables) == 2:
-        x, gate = [stretch(tree.ones)[node]], np.minimum(depth // 3, 2)
-    else:
-        x, gate = [], 3 + tables.often[s.contexts[-1][a:z][which]]
-    unit = np.float32(UNIT)
-    for k, c in zip(s.tables, s.contexts, strict=True):
-        x.append(tables.stretched[k].ravel()[c[a:z][which] * tables.stretched[k].shape[1] + node] * unit)
-    new = np.concatenate(([True], text[1:] != text[:-1]))
-    place = np.arange(len(bit))
-    at = place - np.maximum.accumulate(np.where(new, place, 0))
-    head = np.flatnonzero(new | (at % SEGMENT == 0))
-    size = np.diff(np.append(head, len(bit)))
-    order = np.argsort(-size, kind="stable")
-    head, size = head[order], size[order]
-    lanes = len(head)
-    w = [np.tile(START[:, j], lanes) for j in range(4)]  # for each lane and gate
-    middle = (np.arange(BUCKETS) - (BUCKETS - 1) / 2).astype(np.float32)
-    table = np.tile((1 / (1 + np.exp(-middle))).astype(np.float32), lanes * GATES)
-    sums, inside = np.zeros(lanes), np.arange(STEP)
-    gate, bit = gate.astype(np.int32), bit.astype(np.float32)
-    for t in range(0, int(size[0]), STEP):
-        n = int(np.searchsorted(-size, -t, side="left"))  # lanes longer than t
-        left = np.minimum(size[:n] - t, STEP)
-        ok = (inside < left[:, None]).ravel()
-        k = (head[:n, None] + t + inside).ravel()[ok]
-        row = np.repeat(np.arange(n, dtype=np.int32) * GATES, left) + gate[k]
-        y, x0, x1, x2 = bit[k], x[0][k], x[1][k], x[2][k]
-        score = w[0][row] * x0 + w[1][row] * x1 + w[2][row] * x2 + w[3][row]
-        p = 1 / (1 + np.exp(-score))
-        cell = row * BUCKETS + np.clip(score + BUCKETS / 2, 0, BUCKETS - 1).astype(np.int32)
-        q = table[cell]
-        # the table speaks within its range only: its ends hold bits of very different odds
-        final = np.where(np.abs(score) < BUCKETS / 2 - 1, p + TABLE_SHARE * (q - p), p)
-        bits = np.log(np.maximum(1 - np.abs(y - final), 1e-9))
-        sums[:n] += np.add.reduceat(bits, np.cumsum(left) - left, dtype=np.float64)
-        gap = y - p
-        for j, v in enumerate((x0, x1, x2)):
-            w[j][: n * GATES] += (RATE / STEP) * np.bincount(row, weights=gap * v, minlength=n * GATES).astype(np.float32)
-        w[3][: n * GATES] += (RATE / STEP) * np.bincount(row, weights=gap, minlength=n * GATES).astype(np.float32)
-        table[: n * GATES * BUCKETS] += (TABLE_RATE / STEP) * np.bincount(cell, weights=y - q, minlength=n * GATES * BUCKETS).astype(np.float32)
-    np.add.at(total, text[head], sums)
-    return total
-
-
-def log10_probability(own: Words, tables: Tables, tokens: list[list[bytes]]) -> np.ndarray:
-    """Of each text: the cost of its words, of what lies below the cut of their tree, and of the letters of the others."""
-    return _log10(own, tables, *streams(own, tokens)[:2], len(tokens))
-
-
-def _log10(own: Words, tables: Tables, words: Symbols, letters: Symbols, n: int) -> np.ndarray:
-    total = np.zeros(n)
-    for s, tree in ((words, own.words), (letters, own.letters)):
-        total += np.bincount(s.text, weights=tree.below[s.symbol], minlength=n)
-        for a in range(0, len(s.symbol), SLICE):
-            total += cost(tree, tables, s, a, min(a + SLICE, len(s.symbol)), n)
-    return total / np.log(10)
+    text = s.text[which]
+    texts, rows = np.unique(text, return_inverse=True)
+    first = np.searchsorted(text, texts)
+    at = np.arange(len(bit)) - first[rows]
+    block = np.searchsorted(block_edges(int(at.max()) + 1), at, side="right").astype(np.int16)
+    order = np.argsort(block, kind="stable")
+    which, node, bit, depth, rows = which[order], node[order], bit[order].astype(np.float32), depth[order], rows[order].astype(np.int32)
+    x, gate = inputs(own, tables, s, of_words, which, node, depth)
+    w = np.ascontiguousarray(weights.T.astype(np.float32))
+    moved = np.zeros((len(x), len(texts)), dtype=np.float32)
+    missed, met = np.zeros(len(texts) * BUCKETS, dtype=np.float32), np.full(len(texts) * BUCKETS, BUCKET_PRIOR, dtype=np.float32)
+    seen = np.zeros(len(texts), dtype=np.float32)
+    logs = np.empty(len(bit), dtype=np.float32)
+    cuts = np.concatenate(([0], np.cumsum(np.bincount(block))))
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        r, g, y = rows[a:z], gate[a:z], bit[a:z]
+        score = sum((w[j][g] + moved[j][r]) * x[j][a:z] for j in range(len(x)))
+        p = 1 / (1 + np.exp(-np.clip(score, -14, 14)))
+        cell = r * BUCKETS + np.clip(score + BUCKETS / 2, 0, BUCKETS - 1).astype(np.int32)
+        final = np.clip(p + missed[cell] / met[cell], 1e-6, 1 - 1e-6)
+        logs[a:z] = np.log(1 - np.abs(y - final))
+        heads = np.concatenate(([0], np.flatnonzero(np.diff(r)) + 1))  # the rows of a block are in order
+        own_rows, gap = r[heads], y - p
+        rate = RATE / (1 + seen[own_rows] / DECAY)
+        for j in range(len(x)):
+            moved[j][own_rows] = np.clip(moved[j][own_rows] + rate * np.add.reduceat(gap * x[j][a:z], heads), -FARTHEST, FARTHEST)
+        seen[own_rows] += np.diff(np.append(heads, z - a))
+        missed += np.bincount(cell, weights=gap, minlength=len(missed)).astype(np.float32)
+        met += np.bincount(cell, minlength=len(met))
+    return np.bincount(s.unit[which], weights=logs, minlength=units)
+
+
+def start_weights(of_words: bool) -> np.ndarray:
+    k = 5 if of_words else len(ORDERS) + 1
+    out = np.full((gates(of_words), k), 0.25)
+    out[:, -1] = 0
+    return out
+
+
+def newton_sums(own: Words, tables: Tables, weights: np.ndarray, s: Symbols, of_words: bool) -> np.ndarray:
+    """Of each gate the gradient and the second derivatives of the log-likelihood, and the log-likelihood itself."""
+    which, node, bit, depth = expand(own.kind(of_words)[0], s.symbol)
+    x, gate = inputs(own, tables, s, of_words, which, node, depth)
+    k = len(x)
+    out = np.zeros((gates(of_words), k + k * k + 2))
+    order = np.argsort(gate, kind="stable")
+    x, y = np.stack([v[order] for v in x], axis=1), bit[order]
+    cuts = np.searchsorted(gate[order], np.arange(len(out) + 1))
+    for g in range(len(out)):
+        a, z = cuts[g], cuts[g + 1]
+        if a == z:
+            continue
+        xs = x[a:z].astype(np.float64)
+        p = 1 / (1 + np.exp(-np.clip(xs @ weights[g], -14, 14)))
+        out[g, :k] = xs.T @ (y[a:z] - p)
+        out[g, k:-2] = ((xs * (p * (1 - p))[:, None]).T @ xs).ravel()
+        out[g, -2:] = np.log(1 - np.abs(y[a:z] - p)).sum(), z - a
+    return out
+
+
+def newton_step(weights: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    k, out = weights.shape[1], weights.copy()
+    start = start_weights(len(weights) == gates(True))
+    for g in range(len(out)):
+        step = np.linalg.solve(sums[g, k:-2].reshape(k, k) + 20.0 * np.eye(k), sums[g, :k] - 20.0 * (out[g] - start[g]))
+        out[g] += step * min(1.0, 1.0 / max(np.abs(step).max(), 1e-9))
+    return out
 
 
 # --- on Spark ---------------------------------------------------------------------------------
 
 
+@dataclass
+class Rest:
+    """Of the words outside the dictionary: tokens, their absolute discount, and the weight that spelling gets."""
+
+    tokens: int
+    discount: float
+    spelling: float
+
+
 @dataclass
 class Model:
     counts: DataFrame  # w, n of all training tokens
@@ -417,80 +447,136 @@ class Model:
     shared: object  # own, as sent to the executors
     dictionary_counts: np.ndarray
     tables: Tables
+    weights: tuple[np.ndarray, np.ndarray]  # of words, of letters
+    rest: Rest
 
     def base(self, c):
         """The smoothed unigram's log10 probability of a token seen c times."""
         return np.log10((c + SMOOTH) / (self.train_tokens + SMOOTH * (self.distinct + 1)))
 
 
-def train(docs: DataFrame, learned, text_col: str = "text", words: int = WORDS) -> Model:
+def _sum_tables(own: Words, shared, texts: DataFrame, vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The tables of texts and vocabulary, a fixed number of slots: partial sums by task, then by salt, then whole."""
+    spark = texts.sparkSession
+    few = max(2 * spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // 4)
+    kinds = "of_words boolean, k long, salt int, counts binary"
+    parts = texts.coalesce(few).mapInArrow(releasing(_table_batches(shared, True)), kinds)
+    parts = parts.unionByName(vocabulary.coalesce(few).mapInArrow(releasing(_table_batches(shared, False)), kinds))
+    sums = _sum_batches(min(CHUNK, own.word_slots), min(CHUNK, own.letter_slots))
+    for by in (["of_words", "k", "salt"], ["of_words", "k"]):
+        parts = parts.withColumn("salt", F.col("salt") if "salt" in by else F.lit(0)).repartition(*by).sortWithinPartitions("of_words", "k", "salt").mapInArrow(sums, kinds)
+    out = {of_words: np.zeros(own.kind(of_words)[1] * own.kind(of_words)[2] * 2, dtype=np.int64) for of_words in (True, False)}
+    for r in parts.toLocalIterator():
+        part = _unpacked(r["counts"], min(CHUNK, own.kind(r["of_words"])[2]))
+        out[r["of_words"]][r["k"] : r["k"] + len(part)] = part
+    return out[True], out[False]
+
+
+def _fit_batches(shared, more, weights: np.ndarray, of_words: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, tables = Words.of(shared.value), Tables(*more.value)
+        total: np.ndarray | float = 0.0
+        for b in batches:
+            for a in range(0, b.num_rows, TEXTS if of_words else 20_000):
+                if of_words:
+                    s = streams(own, [tokens_of(t) for t in b.column(0).slice(a, TEXTS).to_pylist()])[0]
+                else:
+                    s = spelled([w for w in b.column(0).slice(a, 20_000).to_pylist() if w != END])[1]
+                total = total + newton_sums(own, tables, weights, s, of_words)
+        if not isinstance(total, float):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["k", "v"])
+
+    return run
+
+
+def _fit(rows: DataFrame, shared, more, of_words: bool) -> np.ndarray:
+    """Gate weights by Newton steps; Spark adds up the derivatives, a fixed number of sums, over all rows."""
+    weights = start_weights(of_words)
+    k = weights.shape[1]
+    for _ in range(FIT_ROUNDS):
+        sums = np.zeros((len(weights), k + k * k + 2))
+        for r in rows.mapInArrow(releasing(_fit_batches(shared, more, weights, of_words)), "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+            sums.flat[r["k"]] = r["v"]
+        weights = newton_step(weights, sums)
+    return weights
+
+
+def train(docs: DataFrame, learned, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS) -> Model:
     """The model of the rows of docs for which the column expression `learned` holds.
 
     All of them are counted.  To the driver come the dictionary (`words` words
-    at most) and the tables (a fixed number of slots), never the vocabulary.
+    at most) and the tables (a bounded number of slots), never the vocabulary.
+    Null texts count as empty, repeated rows as rows of their own; without any
+    row the model knows nothing and spells every word by even odds.
     """
     spark = docs.sparkSession
-    texts = docs.filter(learned).select(F.col(text_col).alias("t"))
-    counts = materialize(texts.mapInArrow(_count_batches, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")), "lm-counts")
-    size = counts.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") == 1, 1)).alias("once")).first()
+    small_batches(spark)
+    texts = docs.filter(learned).select(F.col(text_col).alias("t"), F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(FIT_SHARE)).alias("part"))
+    counts = materialize(texts.select("t").mapInArrow(releasing(_count_batches), "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")), "lm-counts")
+    no_end = F.col("w") != F.lit(END)
+    met = lambda k: F.count(F.when(no_end & (F.col("n") == k), 1))
+    size = counts.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), met(1).alias("once"), met(2).alias("twice")).first()
     ends = counts.filter(F.col("w") == F.lit(END)).first()
-    top = counts.filter((F.col("w") != F.lit(END)) & (F.col("n") >= SPELLED * size["n"])).orderBy(F.desc("n"), "w").limit(words).toArrow()
+    top = counts.filter(no_end & (F.col("n") >= LEAST)).orderBy(F.desc("n"), "w").limit(words).toArrow()
     numbers = top.column("n").to_numpy()
     n_end = ends["n"] if ends else 0
-    # the tokens outside the dictionary, and as many new words as there are words seen once
-    n_rest = size["n"] - n_end - int(numbers.sum()) + size["once"]
+    n_rest, v_rest = size["n"] - n_end - int(numbers.sum()), size["v"] - bool(ends) - len(numbers)
+    discount = size["once"] / (size["once"] + 2 * size["twice"]) if size["once"] else 0.5
     letters = np.ones(LETTERS, dtype=np.int64)
     for r in counts.mapInArrow(_letter_batches, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
         letters[r["k"]] += r["n"]
     own = words_of(top.column("w").to_pylist(), np.concatenate((numbers, [n_end + 1, n_rest + 1])), letters)
     shared = spark.sparkContext.broadcast(own.plain())
-    few = max(2 * spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // 4)
-    kinds = "k long, salt int, counts binary"
-    parts = texts.coalesce(few).mapInArrow(_table_batches(shared, True), kinds).unionByName(counts.select("w").coalesce(few).mapInArrow(_table_batches(shared, False), kinds))
-    for by in (["k", "salt"], ["k"]):
-        parts = parts.withColumn("salt", F.col("salt") if "salt" in by else F.lit(0)).repartition(*by).sortWithinPartitions("k", "salt").mapInArrow(_sum_batches, kinds)
-    table = np.zeros(int(own.first[-1]), dtype=np.int64)
-    for r in parts.toLocalIterator():
-        part = np.frombuffer(r["counts"], dtype="<i8")
-        table[r["k"] : r["k"] + len(part)] = part
-    return Model(counts, int(size["n"]), int(size["v"]), own, shared, numbers, tables_of(own, table))
+    vocabulary = counts.select("w", F.pmod(F.xxhash64("w"), F.lit(FIT_SHARE)).alias("part"))
+    kept = materialize(texts.filter("part = 0").select("t"), "lm-fit")
+    words_kept = vocabulary.filter("part = 0").select("w")
+    sums = _sum_tables(own, shared, texts.filter("part <> 0").select("t"), vocabulary.filter("part <> 0").select("w"))
+    tables = tables_of(*sums)
+    more = spark.sparkContext.broadcast((tables.words, tables.letters))
+    weights = _fit(kept, shared, more, True), _fit(words_kept, shared, more, False)
+    more.unpersist()
+    last = _sum_tables(own, shared, kept, words_kept)
+    tables = tables_of(*(a + b for a, b in zip(sums, last, strict=True)))
+    return Model(counts, int(size["n"]), int(size["v"]), own, shared, numbers, tables, weights, Rest(n_rest, discount, discount * v_rest + 1))
+
+
+def log10_probabilities(own: Words, tables: Tables, weights: tuple[np.ndarray, np.ndarray], found: Symbols, letters: Symbols, texts: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text its words, an escape for those outside the dictionary, and of each of these its spelling."""
+    return costs(own, tables, weights[0], found, True, texts) / np.log(10), costs(own, tables, weights[1], letters, False, words) / np.log(10)
 
 
 def _score_batches(shared, more):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, (stretched, often, base) = Words.of(shared.value), more.value
-        tables = Tables(stretched, often)
+        own, (in_words, in_letters, weights, base) = Words.of(shared.value), more.value
+        tables = Tables(in_words, in_letters)
         row = TaskContext.get().partitionId() << 40
         for b in batches:
-            for a in range(0, b.num_rows, 500):
-                part = b.slice(a, 500)
+            for a in range(0, b.num_rows, TEXTS):
+                part = b.slice(a, TEXTS)
                 tokens = [tokens_of(t) for t in part.column(1).to_pylist()]
                 n = len(tokens)
                 found, letters, rest = streams(own, tokens)
-                scores = _log10(own, tables, found, letters, n)
+                m = len(rest)
+                scores, spelling = log10_probabilities(own, tables, weights, found, letters, n, m)
                 rows, outside = np.arange(row, row + n), found.symbol == own.escape
                 plain = np.bincount(found.text, weights=base[found.symbol], minlength=n)
                 inner = np.bincount(found.text[~outside], minlength=n) - 1
-                times = Counter(zip(found.text[outside].tolist(), rest, strict=True))
-                words = [w for _, w in times]
-                w_rows = np.fromiter((k for k, _ in times), dtype=np.int64, count=len(times)) + row
                 row += n
-                m = len(words)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate((rows, w_rows))),
+                        pa.array(np.concatenate((rows, rows[found.text[outside]]))),
                         # a text's own row gets a key that no word has
-                        pa.array([b"\n%d" % r for r in rows.tolist()] + words, pa.binary()),
+                        pa.array([b"\n%d" % r for r in rows.tolist()] + rest, pa.binary()),
                         pa.concat_arrays([part.column(0).cast(pa.int64()), pa.nulls(m, pa.int64())]),
                         pa.array([len(t) + 1 for t in tokens] + [None] * m, pa.int64()),
-                        pa.array(np.concatenate((inner, np.fromiter(times.values(), dtype=np.int64, count=m)))),
+                        pa.concat_arrays([pa.array(inner, pa.int64()), pa.nulls(m, pa.int64())]),
                         pa.concat_arrays([pa.array(plain, pa.float64()), pa.nulls(m, pa.float64())]),
-                        pa.concat_arrays([pa.array(scores, pa.float64()), pa.nulls(m, pa.float64())]),
+                        pa.array(np.concatenate((scores, spelling))),
                         pa.array([sum(map(len, t)) + len(t) + 1 for t in tokens] + [None] * m, pa.int64()),
                     ],
-                    names=["row", "w", "id", "n_tokens", "times", "plain", "score", "n_bytes"],
+                    names=["row", "w", "id", "n_tokens", "inner", "plain", "cost", "n_bytes"],
                 )
 
     return run
@@ -502,28 +588,32 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     Null text counts as empty: its end is its only token.  Null and repeated ids
     stay rows of their own; other columns are ignored; texts of any length are
-    read whole.  Frequent words' counts come with the dictionary, all others
-    by a join with the counted words.
+    read whole, and a text's score does not depend on the rows beside it; an
+    empty table gives none.  Frequent words' counts come with the dictionary,
+    all others by a join with the counted words.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     ends = model.counts.filter(F.col("w") == F.lit(END)).first()
     # of the dictionary's words, the end, and 0 for the words that the join adds
     base = np.concatenate((model.base(model.dictionary_counts.astype(float)), [model.base(float(ends["n"]) if ends else 0.0), 0.0]))
-    shared = model.shared
-    more = spark.sparkContext.broadcast((model.tables.stretched, model.tables.often, base))
+    more = spark.sparkContext.broadcast((model.tables.words, model.tables.letters, model.weights, base))
     sent = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(
-        _score_batches(shared, more), "row long, w binary, id long, n_tokens long, times long, plain double, score double, n_bytes long"
+        releasing(_score_batches(model.shared, more)), "row long, w binary, id long, n_tokens long, inner long, plain double, cost double, n_bytes long"
     )
     counts = model.counts.select(F.col("w").alias("known"), F.col("n").alias("c"))
     joined = sent.join(counts, F.col("w") == F.col("known"), "left")
-    own = F.col("n_tokens").isNotNull()
-    unit = float(model.train_tokens + SMOOTH * (model.distinct + 1))
+    own, unit = F.col("n_tokens").isNotNull(), float(model.train_tokens + SMOOTH * (model.distinct + 1))
+    # a word outside the dictionary: its discounted count, and the share of all discounts that its spelling has
+    spelled_share = F.log10(F.lit(model.rest.spelling / (model.rest.tokens + 1))) + F.col("cost")
+    counted = F.greatest(F.coalesce("c", F.lit(0)) - F.lit(model.rest.discount), F.lit(0.0)) / F.lit(float(model.rest.tokens + 1))
+    word_cost = F.when(counted > 0, F.log10(counted + F.pow(F.lit(10.0), spelled_share))).otherwise(spelled_share)
     out = joined.groupBy("row").agg(
         F.max("id").alias(id_col),
         F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.when(own | F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.when(own, F.col("plain")).otherwise(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + SMOOTH) / unit))).alias("base_score"),
-        F.max("score").alias("score"),
+        F.sum(F.when(own, F.col("inner")).otherwise(F.col("c").isNotNull().cast("long"))).alias("n_known"),
+        F.sum(F.when(own, F.col("plain")).otherwise(F.log10((F.coalesce("c", F.lit(0)) + SMOOTH) / unit))).alias("base_score"),
+        F.sum(F.when(own, F.col("cost")).otherwise(word_cost)).alias("score"),
         F.max("n_bytes").alias("n_bytes"),
     )
     end_known = 1 if ends else 0
