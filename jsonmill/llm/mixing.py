@@ -142,6 +142,11 @@ class Words:
     def escape(self) -> int:
         return len(self.index) + 1
 
+    @property
+    def chunks(self) -> tuple[int, int]:
+        """Counts in a chunk of the tables of words and of letters."""
+        return min(CHUNK, self.word_slots), min(CHUNK, self.letter_slots)
+
     def kind(self, of_words: bool) -> tuple[Tree, int, int]:
         """Tree, number of tables and their slots."""
         return (self.words, 3, self.word_slots) if of_words else (self.letters, len(ORDERS), self.letter_slots)
@@ -274,7 +279,7 @@ def _table_batches(shared, of_words: bool):
                 else:
                     s = spelled([w for w in b.column(0).slice(a, 50_000).to_pylist() if w != END])[1]
                 add_counts(own, s, of_words, counts)
-        salt, step = TaskContext.get().partitionId() % 16, min(CHUNK, size)
+        salt, step = TaskContext.get().partitionId() % 16, own.chunks[0 if of_words else 1]
         for k in range(0, len(counts), step):
             if counts[k : k + step].any():
                 yield _packed(k, salt, of_words, counts[k : k + step])
@@ -307,17 +312,21 @@ class Tables:
     letters: list[np.ndarray]
 
 
-def _values(counts: np.ndarray, tables: int) -> list[np.ndarray]:
-    out = []
-    for c in np.array_split(counts, tables):
-        n0, n1 = c[0::2].astype(np.float32), c[1::2].astype(np.float32)
-        n, value = n0 + n1, np.round(np.log((n1 + PRIOR) / (n0 + PRIOR)) / UNIT)
-        out.append((np.clip(value, -4000, 4000).astype(np.int16) << 2) | ((n > 0).astype(np.int16) + (n > 2) + (n > 8)))
-    return out
+def values(counts: np.ndarray) -> np.ndarray:
+    """A table's predictions from its counts of zeros and ones in turn."""
+    n0, n1 = counts[0::2].astype(np.float32), counts[1::2].astype(np.float32)
+    n, value = n0 + n1, np.round(np.log((n1 + PRIOR) / (n0 + PRIOR)) / UNIT)
+    return (np.clip(value, -4000, 4000).astype(np.int16) << 2) | ((n > 0).astype(np.int16) + (n > 2) + (n > 8))
 
 
-def tables_of(words: np.ndarray, letters: np.ndarray) -> Tables:
-    return Tables(_values(words, 3), _values(letters, len(ORDERS)))
+def _value_batches(words_chunk: int, letters_chunk: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = [words_chunk if w else letters_chunk for w in b.column(0).to_pylist()]
+            found = [values(_unpacked(x.as_py(), n)).astype("<i2").tobytes() for n, x in zip(sizes, b.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], names=["of_words", "k", "part"])
+
+    return run
 
 
 # --- mixing -----------------------------------------------------------------------------------
@@ -455,21 +464,31 @@ class Model:
         return np.log10((c + SMOOTH) / (self.train_tokens + SMOOTH * (self.distinct + 1)))
 
 
-def _sum_tables(own: Words, shared, texts: DataFrame, vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The tables of texts and vocabulary, a fixed number of slots: partial sums by task, then by salt, then whole."""
-    spark = texts.sparkSession
-    few = max(2 * spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // 4)
-    kinds = "of_words boolean, k long, salt int, counts binary"
-    parts = texts.coalesce(few).mapInArrow(releasing(_table_batches(shared, True)), kinds)
-    parts = parts.unionByName(vocabulary.coalesce(few).mapInArrow(releasing(_table_batches(shared, False)), kinds))
-    sums = _sum_batches(min(CHUNK, own.word_slots), min(CHUNK, own.letter_slots))
+KINDS = "of_words boolean, k long, salt int, counts binary"
+
+
+def _table_parts(shared, texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Each task's counts of texts and vocabulary, by chunks of the tables."""
+    few = max(2 * texts.sparkSession.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // 4)
+    parts = texts.coalesce(few).mapInArrow(releasing(_table_batches(shared, True)), KINDS)
+    return parts.unionByName(vocabulary.coalesce(few).mapInArrow(releasing(_table_batches(shared, False)), KINDS))
+
+
+def _summed(own: Words, parts: DataFrame) -> DataFrame:
+    """The sum of each chunk, first by salt, then whole."""
+    sums = _sum_batches(*own.chunks)
     for by in (["of_words", "k", "salt"], ["of_words", "k"]):
-        parts = parts.withColumn("salt", F.col("salt") if "salt" in by else F.lit(0)).repartition(*by).sortWithinPartitions("of_words", "k", "salt").mapInArrow(sums, kinds)
-    out = {of_words: np.zeros(own.kind(of_words)[1] * own.kind(of_words)[2] * 2, dtype=np.int64) for of_words in (True, False)}
-    for r in parts.toLocalIterator():
-        part = _unpacked(r["counts"], min(CHUNK, own.kind(r["of_words"])[2]))
-        out[r["of_words"]][r["k"] : r["k"] + len(part)] = part
-    return out[True], out[False]
+        parts = parts.withColumn("salt", F.col("salt") if "salt" in by else F.lit(0)).repartition(*by).sortWithinPartitions("of_words", "k", "salt").mapInArrow(sums, KINDS)
+    return parts
+
+
+def _tables(own: Words, sums: DataFrame) -> Tables:
+    """The predictions, a bounded number of slots, on the driver."""
+    flat = {of_words: np.zeros(own.kind(of_words)[1] * own.kind(of_words)[2], dtype=np.int16) for of_words in (True, False)}
+    for r in sums.mapInArrow(_value_batches(*own.chunks), "of_words boolean, k long, part binary").toLocalIterator():
+        part = np.frombuffer(r["part"], dtype="<i2")
+        flat[r["of_words"]][r["k"] // 2 : r["k"] // 2 + len(part)] = part
+    return Tables(*(np.split(flat[w], own.kind(w)[1]) for w in (True, False)))
 
 
 def _fit_batches(shared, more, weights: np.ndarray, of_words: bool):
@@ -530,13 +549,12 @@ def train(docs: DataFrame, learned, text_col: str = "text", id_col: str = "doc_i
     vocabulary = counts.select("w", F.pmod(F.xxhash64("w"), F.lit(FIT_SHARE)).alias("part"))
     kept = materialize(texts.filter("part = 0").select("t"), "lm-fit")
     words_kept = vocabulary.filter("part = 0").select("w")
-    sums = _sum_tables(own, shared, texts.filter("part <> 0").select("t"), vocabulary.filter("part <> 0").select("w"))
-    tables = tables_of(*sums)
+    sums = materialize(_summed(own, _table_parts(shared, texts.filter("part <> 0").select("t"), vocabulary.filter("part <> 0").select("w"))), "lm-tables")
+    tables = _tables(own, sums)
     more = spark.sparkContext.broadcast((tables.words, tables.letters))
     weights = _fit(kept, shared, more, True), _fit(words_kept, shared, more, False)
     more.unpersist()
-    last = _sum_tables(own, shared, kept, words_kept)
-    tables = tables_of(*(a + b for a, b in zip(sums, last, strict=True)))
+    tables = _tables(own, _summed(own, sums.unionByName(_table_parts(shared, kept, words_kept))))
     return Model(counts, int(size["n"]), int(size["v"]), own, shared, numbers, tables, weights, Rest(n_rest, discount, discount * v_rest + 1))
 
 

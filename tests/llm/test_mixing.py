@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jsonmill.llm import mixing, queries
-from jsonmill.llm.mixing import Symbols, add_counts, block_edges, costs, expand, gates, huffman, log10_probabilities, newton_step, newton_sums, score, slot, spelled, start_weights, streams, tables_of, tokens_of, train, words_of
+from jsonmill.llm.mixing import Symbols, add_counts, block_edges, costs, expand, gates, huffman, log10_probabilities, newton_step, newton_sums, score, slot, spelled, start_weights, streams, tokens_of, train, words_of
 
 
 def small_model():
@@ -18,7 +18,8 @@ def small_model():
     in_words, in_letters = np.zeros(3 * own.word_slots * 2, dtype=np.int32), np.zeros(len(mixing.ORDERS) * own.letter_slots * 2, dtype=np.int32)
     add_counts(own, streams(own, [words])[0], True, in_words)
     add_counts(own, spelled(sorted(counts))[1], False, in_letters)
-    return own, tables_of(in_words, in_letters), (start_weights(True), start_weights(False))
+    tables = mixing.Tables([mixing.values(c) for c in np.split(in_words, 3)], [mixing.values(c) for c in np.split(in_letters, len(mixing.ORDERS))])
+    return own, tables, (start_weights(True), start_weights(False))
 
 
 def test_trees():
