@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import materialize, releasing, small_batches
 
 #: Words of the dictionary at most (a fixed bound of what is broadcast), and how often each must have been met.
-WORDS, LEAST = 1 << 17, 4
+WORDS, LEAST = 1 << 18, 4
 #: The counted word of a text's end; no word holds white space.
 END = b"\n"
 SMOOTH = 0.1
@@ -37,7 +37,7 @@ WORD_SLOTS, LETTER_SLOTS = 22, 20
 FREQUENT = 64
 LETTERS = 257
 #: How many letters before make a context.
-ORDERS = (1, 2, 3, 4, 6)
+ORDERS = (2, 3, 4, 6)
 #: What is added to both counts of a slot.
 PRIOR = 0.4
 #: Predictions are kept in these units, beside two bits for how often the slot was met.
@@ -45,14 +45,14 @@ UNIT = 0.0125
 CHUNK = 1 << 16
 
 #: One in so many training rows is kept from the tables until the weights are fitted on it.
-FIT_SHARE, FIT_ROUNDS = 16, 4
+FIT_SHARE, FIT_ROUNDS = 32, 3
 #: A text's own weights move after so many bits, later after each quarter of what was read.
 BLOCK = 64
 RATE, DECAY, FARTHEST = 0.004, 1000.0, 2.0
 #: Bits a text must have had in a bucket of predictions until half of what they missed corrects the next.
 BUCKETS, BUCKET_PRIOR = 12, 200.0
 #: Texts that are read in step.
-TEXTS = 256
+TEXTS = 64
 
 
 # --- codes ------------------------------------------------------------------------------------
@@ -111,9 +111,9 @@ def mixed_up(*parts: np.ndarray) -> np.ndarray:
 
 
 def slot(context: np.ndarray, node: np.ndarray, size: int) -> np.ndarray:
-    h = (context ^ (node.astype(np.uint32) * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35)
-    h ^= h >> np.uint32(16)
-    return h & np.uint32(size - 1)
+    """Where a context's counts of a node, hashed, are."""
+    h = (context ^ node) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))) & np.uint32(size - 1)
 
 
 @dataclass
@@ -163,16 +163,15 @@ def words_of(known: list[bytes], counts: np.ndarray, letters: np.ndarray) -> Wor
 
 @dataclass
 class Symbols:
-    """A stream of symbols: the text each is of, the unit its cost is added to, and hashes of its contexts."""
+    """A stream of symbols: the text, or word, each is of, and hashes of its contexts."""
 
     text: np.ndarray
-    unit: np.ndarray
     symbol: np.ndarray
     contexts: list[np.ndarray]
 
 
-def streams(own: Words, tokens: list[list[bytes]]) -> tuple[Symbols, Symbols, list[bytes]]:
-    """The words of texts with their ends, the letters of the words outside the dictionary, and these words."""
+def streams(own: Words, tokens: list[list[bytes]]) -> tuple[Symbols, list[bytes]]:
+    """The words of texts with their ends, and those outside the dictionary."""
     sizes = np.array([len(t) + 1 for t in tokens], dtype=np.int64)
     n, text_ends = int(sizes.sum()), np.cumsum(sizes)
     text = np.repeat(np.arange(len(tokens), dtype=np.int32), sizes)
@@ -188,14 +187,12 @@ def streams(own: Words, tokens: list[list[bytes]]) -> tuple[Symbols, Symbols, li
     # the last of the most frequent words before each place, within the text
     seen = np.maximum.accumulate(np.where(before < FREQUENT, place, -1)) if n else place
     recent = np.where(seen >= start, before[np.maximum(seen, 0)], FREQUENT) if n else place
-    words = Symbols(text, text, symbols, [mixed_up(recent), mixed_up(before), mixed_up(before, earlier)])
-    sizes, letters = spelled(rest)
-    letters.text = np.repeat(text[symbols == own.escape], sizes)
-    return words, letters, rest
+    words = Symbols(text, symbols, [mixed_up(recent), mixed_up(before), mixed_up(before, earlier)])
+    return words, rest
 
 
-def spelled(words: list[bytes]) -> tuple[np.ndarray, Symbols]:
-    """The words' sizes, an end counted, and their letters."""
+def spelled(words: list[bytes]) -> Symbols:
+    """The letters and ends of words."""
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
     ends = np.cumsum(sizes)
     letters = np.full(int(sizes.sum()), LETTERS - 1, dtype=np.int64)
@@ -205,8 +202,7 @@ def spelled(words: list[bytes]) -> tuple[np.ndarray, Symbols]:
     at = np.arange(len(letters)) - np.repeat(ends - sizes, sizes)
     ahead = np.concatenate((np.full(ORDERS[-1], LETTERS), letters))
     past = [np.where(at >= k, ahead[ORDERS[-1] - k : len(ahead) - k], LETTERS) for k in range(1, ORDERS[-1] + 1)]
-    unit = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
-    return sizes, Symbols(unit, unit, letters, [mixed_up(*past[:k]) for k in ORDERS])
+    return Symbols(np.repeat(np.arange(len(words), dtype=np.int32), sizes), letters, [mixed_up(*past[:k]) for k in ORDERS])
 
 
 # --- tables -----------------------------------------------------------------------------------
@@ -247,8 +243,9 @@ def add_counts(own: Words, s: Symbols, of_words: bool, counts: np.ndarray) -> No
     """Counts the bits of s in the tables: counts[(table * slots + slot) * 2 + bit]."""
     tree, _, size = own.kind(of_words)
     which, node, bit, _ = expand(tree, s.symbol)
+    hashed = node.astype(np.uint32) * np.uint32(0x85EBCA6B)
     for k, c in enumerate(s.contexts):
-        np.add.at(counts[k * size * 2 : (k + 1) * size * 2], (slot(c[which], node, size) * np.uint32(2) + bit).astype(np.intp), np.int32(1))
+        np.add.at(counts[k * size * 2 : (k + 1) * size * 2], (slot(c.take(which), hashed, size) * np.uint32(2) + bit).astype(np.intp), np.int32(1))
 
 
 def _packed(k: int, salt: int, of_words: bool, part: np.ndarray) -> pa.RecordBatch:
@@ -277,7 +274,7 @@ def _table_batches(shared, of_words: bool):
                 if of_words:
                     s = streams(own, [tokens_of(t) for t in b.column(0).slice(a, TEXTS).to_pylist()])[0]
                 else:
-                    s = spelled([w for w in b.column(0).slice(a, 50_000).to_pylist() if w != END])[1]
+                    s = spelled([w for w in b.column(0).slice(a, 50_000).to_pylist() if w != END])
                 add_counts(own, s, of_words, counts)
         salt, step = TaskContext.get().partitionId() % 16, own.chunks[0 if of_words else 1]
         for k in range(0, len(counts), step):
@@ -339,14 +336,15 @@ def gates(of_words: bool) -> int:
 def inputs(own: Words, tables: Tables, s: Symbols, of_words: bool, which, node, depth) -> tuple[list[np.ndarray], np.ndarray]:
     """The predictions of every bit, the last one constant, and its gate: by how often its longer contexts were met, and the depth of a word's bit."""
     tree, _, size = own.kind(of_words)
-    found = [t[slot(c[which], node, size)] for t, c in zip(tables.words if of_words else tables.letters, s.contexts, strict=True)]
-    x = [tree.ones[node]] if of_words else []
+    hashed = node.astype(np.uint32) * np.uint32(0x85EBCA6B)
+    found = [t.take(slot(c.take(which), hashed, size).astype(np.intp)) for t, c in zip(tables.words if of_words else tables.letters, s.contexts, strict=True)]
+    x = [tree.ones.take(node)] if of_words else []
     x += [(v >> 2).astype(np.float32) * np.float32(UNIT) for v in found]
     x.append(np.full(len(node), 0.3, dtype=np.float32))
     gate = (found[-1] & 3) * 4 + (found[-2] & 3)
     if of_words:
         gate = gate * 3 + np.minimum(depth >> 2, 2).astype(np.int16)
-    return x, gate
+    return x, gate.astype(np.intp)
 
 
 def block_edges(longest: int) -> np.ndarray:
@@ -356,46 +354,61 @@ def block_edges(longest: int) -> np.ndarray:
     return np.array(edges)
 
 
-def costs(own: Words, tables: Tables, weights: np.ndarray, s: Symbols, of_words: bool, units: int) -> np.ndarray:
-    """The natural logarithm of the probability of each unit of s, whose texts are in order.
+def text_costs(own: Words, tables: Tables, weights: np.ndarray, s: Symbols, texts: int) -> np.ndarray:
+    """The natural logarithm of the probability of each text's words, s, which are in the texts' order.
 
     The bits of a text are taken in blocks; weights[gate] and the text's own
     difference from them stay as they are within one.
     """
-    total = np.zeros(units)
-    which, node, bit, depth = expand(own.kind(of_words)[0], s.symbol)
+    which, node, bit, depth = expand(own.words, s.symbol)
     if not len(bit):
-        return total
-    text = s.text[which]
-    texts, rows = np.unique(text, return_inverse=True)
-    first = np.searchsorted(text, texts)
-    at = np.arange(len(bit)) - first[rows]
+        return np.zeros(texts)
+    rows = s.text.take(which)
+    first = np.searchsorted(rows, np.arange(texts))
+    at = np.arange(len(bit)) - first.take(rows)
     block = np.searchsorted(block_edges(int(at.max()) + 1), at, side="right").astype(np.int16)
     order = np.argsort(block, kind="stable")
-    which, node, bit, depth, rows = which[order], node[order], bit[order].astype(np.float32), depth[order], rows[order].astype(np.int32)
-    x, gate = inputs(own, tables, s, of_words, which, node, depth)
+    which, node, bit, depth, rows = which.take(order), node.take(order), bit.take(order).astype(np.float32), depth.take(order), rows.take(order).astype(np.intp)
+    x, gate = inputs(own, tables, s, True, which, node, depth)
     w = np.ascontiguousarray(weights.T.astype(np.float32))
-    moved = np.zeros((len(x), len(texts)), dtype=np.float32)
-    missed, met = np.zeros(len(texts) * BUCKETS, dtype=np.float32), np.full(len(texts) * BUCKETS, BUCKET_PRIOR, dtype=np.float32)
-    seen = np.zeros(len(texts), dtype=np.float32)
+    moved = np.zeros((len(x), texts), dtype=np.float32)
+    missed, met = np.zeros(texts * BUCKETS, dtype=np.float32), np.full(texts * BUCKETS, BUCKET_PRIOR, dtype=np.float32)
+    seen = np.zeros(texts, dtype=np.float32)
     logs = np.empty(len(bit), dtype=np.float32)
     cuts = np.concatenate(([0], np.cumsum(np.bincount(block))))
     for a, z in zip(cuts[:-1], cuts[1:], strict=True):
         r, g, y = rows[a:z], gate[a:z], bit[a:z]
-        score = sum((w[j][g] + moved[j][r]) * x[j][a:z] for j in range(len(x)))
-        p = 1 / (1 + np.exp(-np.clip(score, -14, 14)))
+        heads = np.concatenate(([0], np.flatnonzero(r[1:] != r[:-1]) + 1))  # the rows of a block are in order
+        own_rows, sizes = r[heads], np.diff(np.append(heads, z - a))
+        score = np.zeros(z - a, dtype=np.float32)
+        for j in range(len(x)):
+            v = w[j].take(g)
+            v += np.repeat(moved[j].take(own_rows), sizes)
+            v *= x[j][a:z]
+            score += v
+        np.clip(score, -14, 14, out=score)
+        p = 1 / (1 + np.exp(-score))
         cell = r * BUCKETS + np.clip(score + BUCKETS / 2, 0, BUCKETS - 1).astype(np.int32)
-        final = np.clip(p + missed[cell] / met[cell], 1e-6, 1 - 1e-6)
+        final = np.clip(p + (missed / met).take(cell), 1e-6, 1 - 1e-6)
         logs[a:z] = np.log(1 - np.abs(y - final))
-        heads = np.concatenate(([0], np.flatnonzero(np.diff(r)) + 1))  # the rows of a block are in order
-        own_rows, gap = r[heads], y - p
+        gap = y - p
         rate = RATE / (1 + seen[own_rows] / DECAY)
         for j in range(len(x)):
             moved[j][own_rows] = np.clip(moved[j][own_rows] + rate * np.add.reduceat(gap * x[j][a:z], heads), -FARTHEST, FARTHEST)
-        seen[own_rows] += np.diff(np.append(heads, z - a))
+        seen[own_rows] += sizes
         missed += np.bincount(cell, weights=gap, minlength=len(missed)).astype(np.float32)
         met += np.bincount(cell, minlength=len(met))
-    return np.bincount(s.unit[which], weights=logs, minlength=units)
+    return np.bincount(rows, weights=logs, minlength=texts)
+
+
+def word_costs(own: Words, tables: Tables, weights: np.ndarray, s: Symbols, words: int) -> np.ndarray:
+    """The natural logarithm of the probability of each word's letters, s; no word touches another."""
+    which, node, bit, depth = expand(own.letters, s.symbol)
+    x, gate = inputs(own, tables, s, False, which, node, depth)
+    w = np.ascontiguousarray(weights.T.astype(np.float32))
+    score = sum((w[j].take(gate) * x[j] for j in range(len(x))), np.zeros(len(bit), dtype=np.float32))
+    p = np.clip(1 / (1 + np.exp(-np.clip(score, -14, 14))), 1e-6, 1 - 1e-6)
+    return np.bincount(s.text.take(which), weights=np.log(1 - np.abs(bit - p)), minlength=words)
 
 
 def start_weights(of_words: bool) -> np.ndarray:
@@ -500,7 +513,7 @@ def _fit_batches(shared, more, weights: np.ndarray, of_words: bool):
                 if of_words:
                     s = streams(own, [tokens_of(t) for t in b.column(0).slice(a, TEXTS).to_pylist()])[0]
                 else:
-                    s = spelled([w for w in b.column(0).slice(a, 20_000).to_pylist() if w != END])[1]
+                    s = spelled([w for w in b.column(0).slice(a, 20_000).to_pylist() if w != END])
                 total = total + newton_sums(own, tables, weights, s, of_words)
         if not isinstance(total, float):
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["k", "v"])
@@ -558,9 +571,9 @@ def train(docs: DataFrame, learned, text_col: str = "text", id_col: str = "doc_i
     return Model(counts, int(size["n"]), int(size["v"]), own, shared, numbers, tables, weights, Rest(n_rest, discount, discount * v_rest + 1))
 
 
-def log10_probabilities(own: Words, tables: Tables, weights: tuple[np.ndarray, np.ndarray], found: Symbols, letters: Symbols, texts: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+def log10_probabilities(own: Words, tables: Tables, weights: tuple[np.ndarray, np.ndarray], found: Symbols, rest: list[bytes], texts: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each text its words, an escape for those outside the dictionary, and of each of these its spelling."""
-    return costs(own, tables, weights[0], found, True, texts) / np.log(10), costs(own, tables, weights[1], letters, False, words) / np.log(10)
+    return text_costs(own, tables, weights[0], found, texts) / np.log(10), word_costs(own, tables, weights[1], spelled(rest), len(rest)) / np.log(10)
 
 
 def _score_batches(shared, more):
@@ -575,9 +588,9 @@ def _score_batches(shared, more):
                 part = b.slice(a, TEXTS)
                 tokens = [tokens_of(t) for t in part.column(1).to_pylist()]
                 n = len(tokens)
-                found, letters, rest = streams(own, tokens)
+                found, rest = streams(own, tokens)
                 m = len(rest)
-                scores, spelling = log10_probabilities(own, tables, weights, found, letters, n, m)
+                scores, spelling = log10_probabilities(own, tables, weights, found, rest, n)
                 rows, outside = np.arange(row, row + n), found.symbol == own.escape
                 plain = np.bincount(found.text, weights=base[found.symbol], minlength=n)
                 inner = np.bincount(found.text[~outside], minlength=n) - 1

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jsonmill.llm import mixing, queries
-from jsonmill.llm.mixing import Symbols, add_counts, block_edges, costs, expand, gates, huffman, log10_probabilities, newton_step, newton_sums, score, slot, spelled, start_weights, streams, tokens_of, train, words_of
+from jsonmill.llm.mixing import Symbols, add_counts, block_edges, expand, gates, huffman, log10_probabilities, mixed_up, newton_step, newton_sums, score, slot, spelled, start_weights, streams, text_costs, tokens_of, train, word_costs, words_of
 
 
 def small_model():
@@ -17,7 +17,7 @@ def small_model():
     own = words_of(ranked, np.array([*(counts[w] for w in ranked), 4, 3]), np.bincount(np.frombuffer(b"".join(counts), dtype=np.uint8), minlength=257) + 1)
     in_words, in_letters = np.zeros(3 * own.word_slots * 2, dtype=np.int32), np.zeros(len(mixing.ORDERS) * own.letter_slots * 2, dtype=np.int32)
     add_counts(own, streams(own, [words])[0], True, in_words)
-    add_counts(own, spelled(sorted(counts))[1], False, in_letters)
+    add_counts(own, spelled(sorted(counts)), False, in_letters)
     tables = mixing.Tables([mixing.values(c) for c in np.split(in_words, 3)], [mixing.values(c) for c in np.split(in_letters, len(mixing.ORDERS))])
     return own, tables, (start_weights(True), start_weights(False))
 
@@ -41,62 +41,70 @@ def test_a_symbol_has_probability_one_in_all(of_words):
     zeros = np.zeros(1, dtype=np.int32)
     for c in (0, 12345):
         contexts = [np.full(1, c, dtype=np.uint32)] * (3 if of_words else len(mixing.ORDERS))
-        total = sum(math.exp(costs(own, tables, weights[0 if of_words else 1], Symbols(zeros, zeros, np.array([k]), contexts), of_words, 1)[0]) for k in range(n))
+        cost = text_costs if of_words else word_costs
+        total = sum(math.exp(cost(own, tables, weights[0 if of_words else 1], Symbols(zeros, np.array([k]), contexts), 1)[0]) for k in range(n))
         assert abs(total - 1) < 1e-3
 
 
 def both(own, tables, weights, texts):
-    found, letters, rest = streams(own, texts)
-    a, b = log10_probabilities(own, tables, weights, found, letters, len(texts), len(rest))
-    owner = found.text[found.symbol == own.escape]
-    return a + np.bincount(owner, weights=b, minlength=len(texts)), b
+    found, rest = streams(own, texts)
+    a, b = log10_probabilities(own, tables, weights, found, rest, len(texts))
+    return a + np.bincount(found.text[found.symbol == own.escape], weights=b, minlength=len(texts))
 
 
 def test_texts_do_not_touch_each_other():
     own, tables, weights = small_model()
     texts = [b"the cat sat".split(), [], b"unheard of words \xc3\xa9".split(), b"the dog did too".split() * 40_000, [b"x" * 20_000], b"dog zebra did".split() * 50_000]
     assert sum(map(len, texts)) > 300_000
-    together = both(own, tables, weights, texts)[0]
-    alone = np.array([both(own, tables, weights, [t])[0][0] for t in texts])
+    together = both(own, tables, weights, texts)
+    alone = np.array([both(own, tables, weights, [t])[0] for t in texts])
     assert np.allclose(together, alone, rtol=1e-5) and (together < 0).all()
-    assert both(own, tables, weights, [])[0].shape == (0,)
+    assert both(own, tables, weights, []).shape == (0,)
 
 
-def slow_costs(own, tables, weights, s, of_words, units):
-    """Bit by bit, in plain numbers."""
+def bits_of(own, tables, weights, s, of_words):
+    """For each bit of s: its text or word, itself, the predictions and the weights, in plain numbers."""
     tree, _, size = own.kind(of_words)
-    total, state = [0.0] * units, {}
-    edges = block_edges(1 << 22).tolist()
     for i, sym in enumerate(s.symbol.tolist()):
-        t = int(s.text[i])
-        now = state.setdefault(t, {"at": 0, "edge": 0, "moved": None, "grad": None, "missed": Counter(), "met": Counter(), "next": [], "seen": 0})
         for depth, at in enumerate(range(int(tree.start[sym]), int(tree.start[sym + 1]))):
-            node, y = int(tree.nodes[at]), int(tree.bits[at])
-            if now["at"] == edges[now["edge"]]:  # a block is over
-                rate = mixing.RATE / (1 + now["seen"] / mixing.DECAY)
-                now["moved"] = [min(max(m + rate * g, -mixing.FARTHEST), mixing.FARTHEST) for m, g in zip(now["moved"], now["grad"])]
-                for cell, gap in now["next"]:
-                    now["missed"][cell] += gap
-                    now["met"][cell] += 1
-                now |= {"seen": now["at"], "grad": [0.0] * len(now["grad"]), "next": [], "edge": now["edge"] + 1}
-            now["at"] += 1
+            node = int(tree.nodes[at])
             x, often = [float(tree.ones[node])] if of_words else [], []
             for k, c in enumerate(s.contexts):
-                v = int((tables.words if of_words else tables.letters)[k][slot(c[i : i + 1], np.array([node]), size)[0]])
+                h = np.array([node], dtype=np.uint32) * np.uint32(0x85EBCA6B)
+                v = int((tables.words if of_words else tables.letters)[k][slot(c[i : i + 1], h, size)[0]])
                 x.append((v >> 2) * mixing.UNIT)
                 often.append(v & 3)
-            x.append(0.3)
             gate = often[-1] * 4 + often[-2]
-            gate = gate * 3 + min(depth // 4, 2) if of_words else gate
-            if now["moved"] is None:
-                now["moved"], now["grad"] = [0.0] * len(x), [0.0] * len(x)
-            z = sum((weights[gate, j] + now["moved"][j]) * x[j] for j in range(len(x)))
-            p = 1 / (1 + math.exp(-min(max(z, -14), 14)))
-            cell = int(min(max(z + mixing.BUCKETS / 2, 0), mixing.BUCKETS - 1))
-            final = min(max(p + now["missed"][cell] / (now["met"][cell] + mixing.BUCKET_PRIOR), 1e-6), 1 - 1e-6)
-            total[int(s.unit[i])] += math.log(final if y else 1 - final)
-            now["grad"] = [g + (y - p) * v for g, v in zip(now["grad"], x)]
-            now["next"].append((cell, y - p))
+            yield int(s.text[i]), int(tree.bits[at]), [*x, 0.3], weights[gate * 3 + min(depth // 4, 2) if of_words else gate].tolist()
+
+
+def slow_word_costs(own, tables, weights, s, words):
+    total = [0.0] * words
+    for t, y, x, w in bits_of(own, tables, weights, s, False):
+        p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x))))
+        total[t] += math.log(p if y else 1 - p)
+    return total
+
+
+def slow_text_costs(own, tables, weights, s, texts):
+    total, state, edges = [0.0] * texts, {}, block_edges(1 << 22).tolist()
+    for t, y, x, w in bits_of(own, tables, weights, s, True):
+        now = state.setdefault(t, {"at": 0, "edge": 0, "moved": [0.0] * len(x), "grad": [0.0] * len(x), "missed": Counter(), "met": Counter(), "next": [], "seen": 0})
+        if now["at"] == edges[now["edge"]]:  # a block is over
+            rate = mixing.RATE / (1 + now["seen"] / mixing.DECAY)
+            now["moved"] = [min(max(m + rate * g, -mixing.FARTHEST), mixing.FARTHEST) for m, g in zip(now["moved"], now["grad"])]
+            for cell, gap in now["next"]:
+                now["missed"][cell] += gap
+                now["met"][cell] += 1
+            now |= {"seen": now["at"], "grad": [0.0] * len(x), "next": [], "edge": now["edge"] + 1}
+        now["at"] += 1
+        z = sum((a + m) * b for a, m, b in zip(w, now["moved"], x))
+        p = 1 / (1 + math.exp(-z))
+        cell = int(min(max(z + mixing.BUCKETS / 2, 0), mixing.BUCKETS - 1))
+        final = p + now["missed"][cell] / (now["met"][cell] + mixing.BUCKET_PRIOR)
+        total[t] += math.log(final if y else 1 - final)
+        now["grad"] = [g + (y - p) * v for g, v in zip(now["grad"], x)]
+        now["next"].append((cell, y - p))
     return total
 
 
@@ -104,10 +112,22 @@ def test_costs_bit_by_bit():
     own, tables, weights = small_model()
     rng = np.random.default_rng(3)
     weights = tuple(w + rng.normal(0, 0.1, w.shape) for w in weights)
-    texts = [b"the cat sat on unusual mats and the dog did too".split() * 30, [], b"zebra the zebra".split(), b"did too on a mat".split() * 9]
-    found, letters, rest = streams(own, texts)
-    for s, of_words, w, units in ((found, True, weights[0], len(texts)), (letters, False, weights[1], len(rest))):
-        assert np.allclose(costs(own, tables, w, s, of_words, units), slow_costs(own, tables, w, s, of_words, units), rtol=1e-4)
+    texts = [b"the cat sat on unusual mats and the dog did too".split() * 60, [], b"zebra the zebra".split(), b"did too on a mat".split() * 9]
+    found, rest = streams(own, texts)
+    assert np.allclose(text_costs(own, tables, weights[0], found, len(texts)), slow_text_costs(own, tables, weights[0], found, len(texts)), rtol=1e-4)
+    assert np.allclose(word_costs(own, tables, weights[1], spelled(rest), len(rest)), slow_word_costs(own, tables, weights[1], spelled(rest), len(rest)), rtol=1e-4)
+
+
+def test_contexts_by_hand():
+    own, _, _ = small_model()
+    found, rest = streams(own, [b"the zebra sat".split(), [], b"the".split()])
+    the, sat, esc, end, h = own.index[b"the"], own.index.get(b"sat", own.escape), own.escape, own.end, lambda *v: int(mixed_up(*(np.array([x]) for x in v))[0])
+    assert found.symbol.tolist() == [the, esc, sat, end, end, the, end] and found.text.tolist() == [0, 0, 0, 0, 1, 2, 2] and rest[0] == b"zebra"
+    assert found.contexts[1].tolist() == [h(end), h(the), h(esc), h(sat), h(end), h(end), h(the)]
+    assert found.contexts[2].tolist() == [h(end, end), h(the, end), h(esc, the), h(sat, esc), h(end, end), h(end, end), h(the, end)]
+    letters = spelled([b"ab", b"a"])
+    assert letters.symbol.tolist() == [97, 98, 256, 97, 256] and letters.text.tolist() == [0, 0, 0, 1, 1]
+    assert letters.contexts[0].tolist() == [h(257, 257), h(97, 257), h(98, 97), h(257, 257), h(97, 257)]
 
 
 def test_fitting_lowers_the_cost():
@@ -160,9 +180,9 @@ def test_scores_by_hand_and_on_any_partitions(spark):
     assert all(n < mixing.LEAST for n in rest.values()) and once
     d = once / (once + 2 * twice)
     for i, t in rows:
-        found, letters, spelt = streams(model.own, [tokens_of(t)])
-        total = slow_costs(model.own, model.tables, model.weights[0], found, True, 1)[0] / math.log(10)
-        for w, c in zip(spelt, slow_costs(model.own, model.tables, model.weights[1], letters, False, len(spelt))):
+        found, spelt = streams(model.own, [tokens_of(t)])
+        total = slow_text_costs(model.own, model.tables, model.weights[0], found, 1)[0] / math.log(10)
+        for w, c in zip(spelt, slow_word_costs(model.own, model.tables, model.weights[1], spelled(spelt), len(spelt))):
             total += math.log10((max(rest.get(w, 0) - d, 0) + (d * len(rest) + 1) * math.exp(c)) / (sum(rest.values()) + 1))
         assert abs(got[i].score - total) < 1e-4 * abs(total) and abs(other[i] - total) < 1e-4 * abs(total)
 
