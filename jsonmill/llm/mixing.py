@@ -248,19 +248,24 @@ def add_counts(own: Words, s: Symbols, of_words: bool, counts: np.ndarray) -> No
         np.add.at(counts[k * size * 2 : (k + 1) * size * 2], (slot(c.take(which), hashed, size) * np.uint32(2) + bit).astype(np.intp), np.int32(1))
 
 
-def _packed(k: int, salt: int, of_words: bool, part: np.ndarray) -> pa.RecordBatch:
-    """A chunk of counts in the narrowest type that holds it."""
+KINDS = "of_words boolean, k long, salt int, width int, counts binary"
+
+
+def _packed(of_words: bool, k: int, salt: int, part: np.ndarray) -> pa.RecordBatch:
+    """A chunk of counts, compressed, in the narrowest type that holds it."""
     top = int(part.max())
-    kind = "<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<i8"
-    row = [pa.array([of_words]), pa.array([k]), pa.array([salt], pa.int32()), pa.array([part.astype(kind).tobytes()], pa.binary())]
-    return pa.RecordBatch.from_arrays(row, names=["of_words", "k", "salt", "counts"])
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 8
+    row = [of_words, k, salt, width, pa.compress(part.astype(f"<u{width}").tobytes(), "zstd", asbytes=True)]
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["of_words", "k", "salt", "width", "counts"])
 
 
-def _unpacked(data: bytes, size: int) -> np.ndarray:
-    return np.frombuffer(data, dtype={1: "<u1", 2: "<u2", 8: "<i8"}[len(data) // size])
+def _unpacked(b: pa.RecordBatch, chunks: tuple[int, int]) -> Iterator[tuple[tuple[bool, int, int], np.ndarray]]:
+    """(of_words, k, salt) and the counts of each row."""
+    for w, k, salt, width, x in zip(*(b.column(j).to_pylist() for j in range(5)), strict=True):
+        yield (w, k, salt), np.frombuffer(pa.decompress(x, width * chunks[0 if w else 1], "zstd", asbytes=True), dtype=f"<u{width}")
 
 
-def _table_batches(shared, of_words: bool):
+def _table_batches(shared, of_words: bool, salts: int):
     """Counts of the words in texts, or of the letters in the words of the vocabulary, each word once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,27 +281,26 @@ def _table_batches(shared, of_words: bool):
                 else:
                     s = spelled([w for w in b.column(0).slice(a, 50_000).to_pylist() if w != END])
                 add_counts(own, s, of_words, counts)
-        salt, step = TaskContext.get().partitionId() % 16, own.chunks[0 if of_words else 1]
+        salt, step = TaskContext.get().partitionId() % salts, own.chunks[0 if of_words else 1]
         for k in range(0, len(counts), step):
             if counts[k : k + step].any():
-                yield _packed(k, salt, of_words, counts[k : k + step])
+                yield _packed(of_words, k, salt, counts[k : k + step])
 
     return run
 
 
-def _sum_batches(words_chunk: int, letters_chunk: int):
+def _sum_batches(chunks: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by table, k and salt; one sum is held at a time."""
         now, total = None, None
         for b in batches:
-            for key, x in zip(zip(*(b.column(k).to_pylist() for k in range(3)), strict=True), b.column(3), strict=True):
+            for key, one in _unpacked(b, chunks):
                 if now is not None and now != key:
-                    yield _packed(now[1], now[2], now[0], total)
+                    yield _packed(*now, total)
                     total = None
-                one = _unpacked(x.as_py(), words_chunk if key[0] else letters_chunk)
                 total, now = one.astype(np.int64) if total is None else total + one, key
         if now is not None:
-            yield _packed(now[1], now[2], now[0], total)
+            yield _packed(*now, total)
 
     return run
 
@@ -316,11 +320,10 @@ def values(counts: np.ndarray) -> np.ndarray:
     return (np.clip(value, -4000, 4000).astype(np.int16) << 2) | ((n > 0).astype(np.int16) + (n > 2) + (n > 8))
 
 
-def _value_batches(words_chunk: int, letters_chunk: int):
+def _value_batches(chunks: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes = [words_chunk if w else letters_chunk for w in b.column(0).to_pylist()]
-            found = [values(_unpacked(x.as_py(), n)).astype("<i2").tobytes() for n, x in zip(sizes, b.column(3), strict=True)]
+            found = [values(x).astype("<i2").tobytes() for _, x in _unpacked(b, chunks)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], names=["of_words", "k", "part"])
 
     return run
@@ -477,19 +480,17 @@ class Model:
         return np.log10((c + SMOOTH) / (self.train_tokens + SMOOTH * (self.distinct + 1)))
 
 
-KINDS = "of_words boolean, k long, salt int, counts binary"
-
-
 def _table_parts(shared, texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Each task's counts of texts and vocabulary, by chunks of the tables."""
     few = max(2 * texts.sparkSession.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // 4)
-    parts = texts.coalesce(few).mapInArrow(releasing(_table_batches(shared, True)), KINDS)
-    return parts.unionByName(vocabulary.coalesce(few).mapInArrow(releasing(_table_batches(shared, False)), KINDS))
+    salts = int(few**0.5)
+    parts = texts.coalesce(few).mapInArrow(releasing(_table_batches(shared, True, salts)), KINDS)
+    return parts.unionByName(vocabulary.coalesce(few).mapInArrow(releasing(_table_batches(shared, False, salts)), KINDS))
 
 
 def _summed(own: Words, parts: DataFrame) -> DataFrame:
     """The sum of each chunk, first by salt, then whole."""
-    sums = _sum_batches(*own.chunks)
+    sums = _sum_batches(own.chunks)
     for by in (["of_words", "k", "salt"], ["of_words", "k"]):
         parts = parts.withColumn("salt", F.col("salt") if "salt" in by else F.lit(0)).repartition(*by).sortWithinPartitions("of_words", "k", "salt").mapInArrow(sums, KINDS)
     return parts
@@ -498,7 +499,7 @@ def _summed(own: Words, parts: DataFrame) -> DataFrame:
 def _tables(own: Words, sums: DataFrame) -> Tables:
     """The predictions, a bounded number of slots, on the driver."""
     flat = {of_words: np.zeros(own.kind(of_words)[1] * own.kind(of_words)[2], dtype=np.int16) for of_words in (True, False)}
-    for r in sums.mapInArrow(_value_batches(*own.chunks), "of_words boolean, k long, part binary").toLocalIterator():
+    for r in sums.mapInArrow(_value_batches(own.chunks), "of_words boolean, k long, part binary").toLocalIterator():
         part = np.frombuffer(r["part"], dtype="<i2")
         flat[r["of_words"]][r["k"] // 2 : r["k"] // 2 + len(part)] = part
     return Tables(*(np.split(flat[w], own.kind(w)[1]) for w in (True, False)))
