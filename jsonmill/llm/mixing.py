@@ -31,21 +31,21 @@ WORDS, LEAST = 1 << 18, 4
 END = b"\n"
 SMOOTH = 0.1
 
-#: Slots of a table of word or letter contexts at most, as powers of two; fewer tokens get fewer slots.
-WORD_SLOTS, LETTER_SLOTS = 22, 20
+#: Slots of the tables of word and letter contexts at most, as powers of two; fewer tokens get fewer slots.
+WORD_SLOTS, LETTER_SLOTS = (19, 21, 22), (20, 20, 20)
 #: The last of so many most frequent words is a context of its own.
 FREQUENT = 64
 LETTERS = 257
 #: How many letters before make a context.
-ORDERS = (2, 3, 4, 6)
+ORDERS = (2, 3, 5)
 #: What is added to both counts of a slot.
 PRIOR = 0.4
-#: Predictions are kept in these units, beside two bits for how often the slot was met.
-UNIT = 0.0125
+#: Predictions are kept in these units, in a byte with two bits for how often the slot was met.
+UNIT = 0.25
 CHUNK = 1 << 16
 
 #: One in so many training rows is kept from the tables until the weights are fitted on it.
-FIT_SHARE, FIT_ROUNDS = 32, 3
+FIT_SHARE, FIT_ROUNDS = 64, 3
 #: A text's own weights move after so many bits, later after each quarter of what was read.
 BLOCK = 64
 RATE, DECAY, FARTHEST = 0.004, 1000.0, 2.0
@@ -123,8 +123,8 @@ class Words:
     index: dict[bytes, int]
     words: Tree
     letters: Tree
-    word_slots: int
-    letter_slots: int
+    word_slots: tuple[int, ...]
+    letter_slots: tuple[int, ...]
 
     def plain(self) -> tuple:
         """As nothing but arrays and a dict, which a worker can read without this package on its path."""
@@ -142,18 +142,13 @@ class Words:
     def escape(self) -> int:
         return len(self.index) + 1
 
-    @property
-    def chunks(self) -> tuple[int, int]:
-        """Counts in a chunk of the tables of words and of letters."""
-        return min(CHUNK, self.word_slots), min(CHUNK, self.letter_slots)
-
-    def kind(self, of_words: bool) -> tuple[Tree, int, int]:
-        """Tree, number of tables and their slots."""
-        return (self.words, 3, self.word_slots) if of_words else (self.letters, len(ORDERS), self.letter_slots)
+    def kind(self, of_words: bool) -> tuple[Tree, tuple[int, ...]]:
+        """The tree and the slots of its tables."""
+        return (self.words, self.word_slots) if of_words else (self.letters, self.letter_slots)
 
 
-def slots_for(n: int, most: int) -> int:
-    return 1 << min(most, max(10, int(n).bit_length() + 3))
+def slots_for(n: int, most: tuple[int, ...]) -> tuple[int, ...]:
+    return tuple(1 << min(k, max(10, int(n).bit_length() + 3)) for k in most)
 
 
 def words_of(known: list[bytes], counts: np.ndarray, letters: np.ndarray) -> Words:
@@ -240,29 +235,31 @@ def _letter_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def add_counts(own: Words, s: Symbols, of_words: bool, counts: np.ndarray) -> None:
-    """Counts the bits of s in the tables: counts[(table * slots + slot) * 2 + bit]."""
-    tree, _, size = own.kind(of_words)
+    """Counts the bits of s in the tables, one behind the other: two counts for each slot."""
+    tree, sizes = own.kind(of_words)
     which, node, bit, _ = expand(tree, s.symbol)
-    hashed = node.astype(np.uint32) * np.uint32(0x85EBCA6B)
-    for k, c in enumerate(s.contexts):
-        np.add.at(counts[k * size * 2 : (k + 1) * size * 2], (slot(c.take(which), hashed, size) * np.uint32(2) + bit).astype(np.intp), np.int32(1))
+    hashed, at = node.astype(np.uint32) * np.uint32(0x85EBCA6B), 0
+    for c, size in zip(s.contexts, sizes, strict=True):
+        np.add.at(counts[at : at + 2 * size], (slot(c.take(which), hashed, size) * np.uint32(2) + bit).astype(np.intp), np.int32(1))
+        at += 2 * size
 
 
-KINDS = "of_words boolean, k long, salt int, width int, counts binary"
+KINDS = "of_words boolean, k long, salt int, width int, size int, counts binary"
 
 
 def _packed(of_words: bool, k: int, salt: int, part: np.ndarray) -> pa.RecordBatch:
     """A chunk of counts, compressed, in the narrowest type that holds it."""
     top = int(part.max())
     width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 8
-    row = [of_words, k, salt, width, pa.compress(part.astype(f"<u{width}").tobytes(), "zstd", asbytes=True)]
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["of_words", "k", "salt", "width", "counts"])
+    row = [of_words, k, salt, width, len(part), pa.compress(part.astype(f"<u{width}").tobytes(), "zstd", asbytes=True)]
+    kinds = (pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=["of_words", "k", "salt", "width", "size", "counts"])
 
 
-def _unpacked(b: pa.RecordBatch, chunks: tuple[int, int]) -> Iterator[tuple[tuple[bool, int, int], np.ndarray]]:
+def _unpacked(b: pa.RecordBatch) -> Iterator[tuple[tuple[bool, int, int], np.ndarray]]:
     """(of_words, k, salt) and the counts of each row."""
-    for w, k, salt, width, x in zip(*(b.column(j).to_pylist() for j in range(5)), strict=True):
-        yield (w, k, salt), np.frombuffer(pa.decompress(x, width * chunks[0 if w else 1], "zstd", asbytes=True), dtype=f"<u{width}")
+    for w, k, salt, width, size, x in zip(*(b.column(j).to_pylist() for j in range(6)), strict=True):
+        yield (w, k, salt), np.frombuffer(pa.decompress(x, width * size, "zstd", asbytes=True), dtype=f"<u{width}")
 
 
 def _table_batches(shared, of_words: bool, salts: int):
@@ -272,8 +269,7 @@ def _table_batches(shared, of_words: bool, salts: int):
         from pyspark import TaskContext
 
         own = Words.of(shared.value)
-        _, tables, size = own.kind(of_words)
-        counts = np.zeros(tables * size * 2, dtype=np.int32)
+        counts = np.zeros(2 * sum(own.kind(of_words)[1]), dtype=np.int32)
         for b in batches:
             for a in range(0, b.num_rows, TEXTS if of_words else 50_000):
                 if of_words:
@@ -281,28 +277,25 @@ def _table_batches(shared, of_words: bool, salts: int):
                 else:
                     s = spelled([w for w in b.column(0).slice(a, 50_000).to_pylist() if w != END])
                 add_counts(own, s, of_words, counts)
-        salt, step = TaskContext.get().partitionId() % salts, own.chunks[0 if of_words else 1]
-        for k in range(0, len(counts), step):
-            if counts[k : k + step].any():
-                yield _packed(of_words, k, salt, counts[k : k + step])
+        salt = TaskContext.get().partitionId() % salts
+        for k in range(0, len(counts), CHUNK):
+            if counts[k : k + CHUNK].any():
+                yield _packed(of_words, k, salt, counts[k : k + CHUNK])
 
     return run
 
 
-def _sum_batches(chunks: tuple[int, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by table, k and salt; one sum is held at a time."""
-        now, total = None, None
-        for b in batches:
-            for key, one in _unpacked(b, chunks):
-                if now is not None and now != key:
-                    yield _packed(*now, total)
-                    total = None
-                total, now = one.astype(np.int64) if total is None else total + one, key
-        if now is not None:
-            yield _packed(*now, total)
-
-    return run
+def _sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by table, k and salt; one sum is held at a time."""
+    now, total = None, None
+    for b in batches:
+        for key, one in _unpacked(b):
+            if now is not None and now != key:
+                yield _packed(*now, total)
+                total = None
+            total, now = one.astype(np.int64) if total is None else total + one, key
+    if now is not None:
+        yield _packed(*now, total)
 
 
 @dataclass
@@ -317,16 +310,13 @@ def values(counts: np.ndarray) -> np.ndarray:
     """A table's predictions from its counts of zeros and ones in turn."""
     n0, n1 = counts[0::2].astype(np.float32), counts[1::2].astype(np.float32)
     n, value = n0 + n1, np.round(np.log((n1 + PRIOR) / (n0 + PRIOR)) / UNIT)
-    return (np.clip(value, -4000, 4000).astype(np.int16) << 2) | ((n > 0).astype(np.int16) + (n > 2) + (n > 8))
-
+    return (np.clip(value, -31, 31).astype(np.int8) << 2) | ((n > 0).astype(np.int8) + (n > 2) + (n > 8))
 
-def _value_batches(chunks: tuple[int, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [values(x).astype("<i2").tobytes() for _, x in _unpacked(b, chunks)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], names=["of_words", "k", "part"])
 
-    return run
+def _value_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [values(x).tobytes() for _, x in _unpacked(b)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], names=["of_words", "k", "part"])
 
 
 # --- mixing -----------------------------------------------------------------------------------
@@ -338,15 +328,15 @@ def gates(of_words: bool) -> int:
 
 def inputs(own: Words, tables: Tables, s: Symbols, of_words: bool, which, node, depth) -> tuple[list[np.ndarray], np.ndarray]:
     """The predictions of every bit, the last one constant, and its gate: by how often its longer contexts were met, and the depth of a word's bit."""
-    tree, _, size = own.kind(of_words)
+    tree, sizes = own.kind(of_words)
     hashed = node.astype(np.uint32) * np.uint32(0x85EBCA6B)
-    found = [t.take(slot(c.take(which), hashed, size).astype(np.intp)) for t, c in zip(tables.words if of_words else tables.letters, s.contexts, strict=True)]
+    found = [t.take(slot(c.take(which), hashed, size).astype(np.intp)) for t, c, size in zip(tables.words if of_words else tables.letters, s.contexts, sizes, strict=True)]
     x = [tree.ones.take(node)] if of_words else []
     x += [(v >> 2).astype(np.float32) * np.float32(UNIT) for v in found]
     x.append(np.full(len(node), 0.3, dtype=np.float32))
     gate = (found[-1] & 3) * 4 + (found[-2] & 3)
     if of_words:
-        gate = gate * 3 + np.minimum(depth >> 2, 2).astype(np.int16)
+        gate = gate * 3 + np.minimum(depth >> 2, 2).astype(np.int8)
     return x, gate.astype(np.intp)
 
 
@@ -390,17 +380,26 @@ def text_costs(own: Words, tables: Tables, weights: np.ndarray, s: Symbols, text
             v *= x[j][a:z]
             score += v
         np.clip(score, -14, 14, out=score)
-        p = 1 / (1 + np.exp(-score))
-        cell = r * BUCKETS + np.clip(score + BUCKETS / 2, 0, BUCKETS - 1).astype(np.int32)
-        final = np.clip(p + (missed / met).take(cell), 1e-6, 1 - 1e-6)
-        logs[a:z] = np.log(1 - np.abs(y - final))
+        p = np.exp(-score)
+        p += 1
+        np.reciprocal(p, out=p)
+        score += BUCKETS / 2
+        np.clip(score, 0, BUCKETS - 1, out=score)
+        cell = r * BUCKETS
+        cell += score.astype(np.int8)
         gap = y - p
+        final = gap - (missed / met).take(cell)
+        np.abs(final, out=final)
+        np.subtract(1, final, out=logs[a:z])
         rate = RATE / (1 + seen[own_rows] / DECAY)
         for j in range(len(x)):
-            moved[j][own_rows] = np.clip(moved[j][own_rows] + rate * np.add.reduceat(gap * x[j][a:z], heads), -FARTHEST, FARTHEST)
+            np.multiply(gap, x[j][a:z], out=score)
+            moved[j][own_rows] = np.clip(moved[j][own_rows] + rate * np.add.reduceat(score, heads), -FARTHEST, FARTHEST)
         seen[own_rows] += sizes
         missed += np.bincount(cell, weights=gap, minlength=len(missed)).astype(np.float32)
         met += np.bincount(cell, minlength=len(met))
+    np.clip(logs, 1e-6, 1, out=logs)
+    np.log(logs, out=logs)
     return np.bincount(rows, weights=logs, minlength=texts)
 
 
@@ -488,21 +487,20 @@ def _table_parts(shared, texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return parts.unionByName(vocabulary.coalesce(few).mapInArrow(releasing(_table_batches(shared, False, salts)), KINDS))
 
 
-def _summed(own: Words, parts: DataFrame) -> DataFrame:
+def _summed(parts: DataFrame) -> DataFrame:
     """The sum of each chunk, first by salt, then whole."""
-    sums = _sum_batches(own.chunks)
     for by in (["of_words", "k", "salt"], ["of_words", "k"]):
-        parts = parts.withColumn("salt", F.col("salt") if "salt" in by else F.lit(0)).repartition(*by).sortWithinPartitions("of_words", "k", "salt").mapInArrow(sums, KINDS)
+        parts = parts.withColumn("salt", F.col("salt") if "salt" in by else F.lit(0)).repartition(*by).sortWithinPartitions("of_words", "k", "salt").mapInArrow(_sum_batches, KINDS)
     return parts
 
 
 def _tables(own: Words, sums: DataFrame) -> Tables:
     """The predictions, a bounded number of slots, on the driver."""
-    flat = {of_words: np.zeros(own.kind(of_words)[1] * own.kind(of_words)[2], dtype=np.int16) for of_words in (True, False)}
-    for r in sums.mapInArrow(_value_batches(own.chunks), "of_words boolean, k long, part binary").toLocalIterator():
-        part = np.frombuffer(r["part"], dtype="<i2")
+    flat = {of_words: np.zeros(sum(own.kind(of_words)[1]), dtype=np.int8) for of_words in (True, False)}
+    for r in sums.mapInArrow(_value_batches, "of_words boolean, k long, part binary").toLocalIterator():
+        part = np.frombuffer(r["part"], dtype=np.int8)
         flat[r["of_words"]][r["k"] // 2 : r["k"] // 2 + len(part)] = part
-    return Tables(*(np.split(flat[w], own.kind(w)[1]) for w in (True, False)))
+    return Tables(*(np.split(flat[w], np.cumsum(own.kind(w)[1])[:-1]) for w in (True, False)))
 
 
 def _fit_batches(shared, more, weights: np.ndarray, of_words: bool):
@@ -563,12 +561,12 @@ def train(docs: DataFrame, learned, text_col: str = "text", id_col: str = "doc_i
     vocabulary = counts.select("w", F.pmod(F.xxhash64("w"), F.lit(FIT_SHARE)).alias("part"))
     kept = materialize(texts.filter("part = 0").select("t"), "lm-fit")
     words_kept = vocabulary.filter("part = 0").select("w")
-    sums = materialize(_summed(own, _table_parts(shared, texts.filter("part <> 0").select("t"), vocabulary.filter("part <> 0").select("w"))), "lm-tables")
+    sums = materialize(_summed(_table_parts(shared, texts.filter("part <> 0").select("t"), vocabulary.filter("part <> 0").select("w"))), "lm-tables")
     tables = _tables(own, sums)
     more = spark.sparkContext.broadcast((tables.words, tables.letters))
     weights = _fit(kept, shared, more, True), _fit(words_kept, shared, more, False)
     more.unpersist()
-    tables = _tables(own, _summed(own, sums.unionByName(_table_parts(shared, kept, words_kept))))
+    tables = _tables(own, _summed(sums.unionByName(_table_parts(shared, kept, words_kept))))
     return Model(counts, int(size["n"]), int(size["v"]), own, shared, numbers, tables, weights, Rest(n_rest, discount, discount * v_rest + 1))
 
 

@@ -15,10 +15,10 @@ def small_model():
     counts = Counter(words)
     ranked = sorted(counts, key=lambda w: (-counts[w], w))[:6]
     own = words_of(ranked, np.array([*(counts[w] for w in ranked), 4, 3]), np.bincount(np.frombuffer(b"".join(counts), dtype=np.uint8), minlength=257) + 1)
-    in_words, in_letters = np.zeros(3 * own.word_slots * 2, dtype=np.int32), np.zeros(len(mixing.ORDERS) * own.letter_slots * 2, dtype=np.int32)
+    in_words, in_letters = (np.zeros(2 * sum(own.kind(of_words)[1]), dtype=np.int32) for of_words in (True, False))
     add_counts(own, streams(own, [words])[0], True, in_words)
     add_counts(own, spelled(sorted(counts)), False, in_letters)
-    tables = mixing.Tables([mixing.values(c) for c in np.split(in_words, 3)], [mixing.values(c) for c in np.split(in_letters, len(mixing.ORDERS))])
+    tables = mixing.Tables(*(np.split(mixing.values(c), np.cumsum(own.kind(w)[1])[:-1]) for c, w in ((in_words, True), (in_letters, False))))
     return own, tables, (start_weights(True), start_weights(False))
 
 
@@ -64,14 +64,14 @@ def test_texts_do_not_touch_each_other():
 
 def bits_of(own, tables, weights, s, of_words):
     """For each bit of s: its text or word, itself, the predictions and the weights, in plain numbers."""
-    tree, _, size = own.kind(of_words)
+    tree, sizes = own.kind(of_words)
     for i, sym in enumerate(s.symbol.tolist()):
         for depth, at in enumerate(range(int(tree.start[sym]), int(tree.start[sym + 1]))):
             node = int(tree.nodes[at])
             x, often = [float(tree.ones[node])] if of_words else [], []
             for k, c in enumerate(s.contexts):
                 h = np.array([node], dtype=np.uint32) * np.uint32(0x85EBCA6B)
-                v = int((tables.words if of_words else tables.letters)[k][slot(c[i : i + 1], h, size)[0]])
+                v = int((tables.words if of_words else tables.letters)[k][slot(c[i : i + 1], h, sizes[k])[0]])
                 x.append((v >> 2) * mixing.UNIT)
                 often.append(v & 3)
             gate = often[-1] * 4 + often[-2]
