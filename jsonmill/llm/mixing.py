@@ -13,13 +13,12 @@ the dictionary costs its spelling and its count among all training words.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +31,9 @@ END = b"\n"
 SMOOTH = 0.1
 
 #: Slots of the tables of word and letter contexts at most, as powers of two; fewer tokens get fewer slots.
-WORD_SLOTS, LETTER_SLOTS = (19, 21, 22), (20, 20, 20)
-#: The last of so many most frequent words is a context of its own.
-FREQUENT = 64
+WORD_SLOTS, LETTER_SLOTS = (22, 22), (20, 20, 20)
+#: The word before is a context if it is one of so many most frequent ones; else the last of the FREQUENT ones is.
+OWN, FREQUENT = 512, 64
 LETTERS = 257
 #: How many letters before make a context.
 ORDERS = (2, 3, 5)
@@ -118,29 +117,33 @@ def slot(context: np.ndarray, node: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass
 class Words:
-    """What coding needs: the dictionary, the trees of words and letters, and the sizes of their tables."""
+    """What coding needs: the dictionary, the trees of words and letters, and the slots of their tables."""
 
-    index: dict[bytes, int]
+    index: bytes  # the dictionary in order, as an Arrow stream
     words: Tree
     letters: Tree
     word_slots: tuple[int, ...]
     letter_slots: tuple[int, ...]
 
     def plain(self) -> tuple:
-        """As nothing but arrays and a dict, which a worker can read without this package on its path."""
+        """As nothing but arrays and bytes, which a worker can read without this package on its path."""
         return self.index, *(tuple(vars(t).values()) for t in (self.words, self.letters)), self.word_slots, self.letter_slots
 
     @classmethod
     def of(cls, plain: tuple) -> Words:
         return cls(plain[0], Tree(*plain[1]), Tree(*plain[2]), *plain[3:])
 
+    def known(self) -> pa.Array:
+        with pa.ipc.open_stream(self.index) as r:
+            return r.read_all().column(0).combine_chunks()
+
     @property
     def end(self) -> int:
-        return len(self.index)
+        return len(self.words.start) - 3
 
     @property
     def escape(self) -> int:
-        return len(self.index) + 1
+        return len(self.words.start) - 2
 
     def kind(self, of_words: bool) -> tuple[Tree, tuple[int, ...]]:
         """The tree and the slots of its tables."""
@@ -153,7 +156,10 @@ def slots_for(n: int, most: tuple[int, ...]) -> tuple[int, ...]:
 
 def words_of(known: list[bytes], counts: np.ndarray, letters: np.ndarray) -> Words:
     """counts: of the known words, of ends, of all other words; letters: of the bytes and of words' ends in the vocabulary."""
-    return Words({w: k for k, w in enumerate(known)}, huffman(counts), huffman(letters), slots_for(counts.sum(), WORD_SLOTS), slots_for(letters.sum(), LETTER_SLOTS))
+    table, out = pa.table({"w": pa.array(known, pa.large_binary())}), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as w:
+        w.write_table(table)
+    return Words(out.getvalue().to_pybytes(), huffman(counts), huffman(letters), slots_for(counts.sum(), WORD_SLOTS), slots_for(letters.sum(), LETTER_SLOTS))
 
 
 @dataclass
@@ -165,35 +171,60 @@ class Symbols:
     contexts: list[np.ndarray]
 
 
-def streams(own: Words, tokens: list[list[bytes]]) -> tuple[Symbols, list[bytes]]:
-    """The words of texts with their ends, and those outside the dictionary."""
-    sizes = np.array([len(t) + 1 for t in tokens], dtype=np.int64)
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has, and all of them; only A-Z are lowered, a null text has none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
+    words = lists.flatten()
+    real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    offsets = lists.offsets.to_numpy()
+    before = np.concatenate(([0], np.cumsum(real)))
+    return np.diff(before[offsets - offsets[0]]), words.filter(pa.array(real)).cast(pa.large_binary())
+
+
+def streams(own: Words, known: pa.Array, sizes: np.ndarray, words: pa.Array) -> tuple[Symbols, pa.Array]:
+    """The words of texts (of so many words each) with their ends, and those outside the dictionary; known: the dictionary in order."""
+    found = pc.index_in(words, value_set=known)
+    rest = words.filter(found.is_null())
+    sizes = sizes + 1
     n, text_ends = int(sizes.sum()), np.cumsum(sizes)
-    text = np.repeat(np.arange(len(tokens), dtype=np.int32), sizes)
+    text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     is_end = np.zeros(n, dtype=bool)
     is_end[text_ends - 1] = True
-    flat = list(chain.from_iterable(tokens))
     symbols = np.full(n, own.end, dtype=np.int64)
-    symbols[~is_end] = np.fromiter(map(own.index.get, flat, repeat(own.escape)), dtype=np.int64, count=len(flat))
-    rest = list(compress(flat, (symbols[~is_end] == own.escape).tolist()))
+    symbols[~is_end] = found.fill_null(own.escape).to_numpy(zero_copy_only=False)
     place, start = np.arange(n), np.repeat(text_ends - sizes, sizes)
     before = np.where(place > start, np.concatenate(([own.end], symbols))[:n], own.end)
     earlier = np.where(place > start + 1, np.concatenate(([own.end] * 2, symbols))[:n], own.end)
     # the last of the most frequent words before each place, within the text
     seen = np.maximum.accumulate(np.where(before < FREQUENT, place, -1)) if n else place
     recent = np.where(seen >= start, before[np.maximum(seen, 0)], FREQUENT) if n else place
-    words = Symbols(text, symbols, [mixed_up(recent), mixed_up(before), mixed_up(before, earlier)])
-    return words, rest
+    near = np.where(before < OWN, before, OWN + recent)
+    return Symbols(text, symbols, [mixed_up(near), mixed_up(before, earlier)]), rest
+
+
+def text_parts(s: Symbols, texts: int) -> Iterator[tuple[int, int, Symbols]]:
+    """s in parts of TEXTS texts: the first, the one behind the last, and their symbols."""
+    for a in range(0, texts, TEXTS):
+        z = min(a + TEXTS, texts)
+        i, j = np.searchsorted(s.text, [a, z])
+        yield a, z, Symbols(s.text[i:j] - np.int32(a), s.symbol[i:j], [c[i:j] for c in s.contexts])
+
+
+def _bytes(words: pa.Array) -> np.ndarray:
+    if not len(words):
+        return np.zeros(0, dtype=np.uint8)
+    offsets = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+    return np.frombuffer(words.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] else np.zeros(0, dtype=np.uint8)
 
 
-def spelled(words: list[bytes]) -> Symbols:
-    """The letters and ends of words."""
-    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+def spelled(words: pa.Array) -> Symbols:
+    """The letters and ends of words (large binary)."""
+    sizes = pc.binary_length(words).to_numpy(zero_copy_only=False) + 1
     ends = np.cumsum(sizes)
     letters = np.full(int(sizes.sum()), LETTERS - 1, dtype=np.int64)
     inside = np.ones(len(letters), dtype=bool)
     inside[ends - 1] = False
-    letters[inside] = np.frombuffer(b"".join(words), dtype=np.uint8)
+    letters[inside] = _bytes(words)
     at = np.arange(len(letters)) - np.repeat(ends - sizes, sizes)
     ahead = np.concatenate((np.full(ORDERS[-1], LETTERS), letters))
     past = [np.where(at >= k, ahead[ORDERS[-1] - k : len(ahead) - k], LETTERS) for k in range(1, ORDERS[-1] + 1)]
@@ -203,37 +234,59 @@ def spelled(words: list[bytes]) -> Symbols:
 # --- tables -----------------------------------------------------------------------------------
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").lower().split()
+#: Distinct words that a counting task holds.
+HELD = 500_000
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    parts: list[pa.Table] = []
+    held, merged = 0, 0
+
+    def merge() -> pa.Table:
+        return pa.concat_tables(parts).group_by("w").aggregate([("n", "sum")]).select(["w", "n_sum"]).rename_columns(["w", "n"])
+
     for b in batches:
-        for t in b.column(0):
-            counts.update(tokens_of(t.as_py()))
-            counts[END] += 1
-            if len(counts) > 500_000:
-                yield _counted(counts)
-    yield _counted(counts)
+        found = pc.value_counts(tokens_of(b.column(0))[1])
+        parts.append(pa.table({"w": pa.concat_arrays([found.field(0).cast(pa.binary()), pa.array([END], pa.binary())]), "n": pa.concat_arrays([found.field(1), pa.array([b.num_rows], pa.int64())])}))
+        held += len(found)
+        if held > max(HELD, 2 * merged):
+            parts = [merge()]
+            held = merged = parts[0].num_rows
+            if merged > HELD:
+                yield from parts[0].combine_chunks().to_batches()
+                parts, held, merged = [], 0, 0
+    if parts:
+        yield from merge().filter(pc.field("n") > 0).combine_chunks().to_batches()
 
 
-def _counted(counts: Counter) -> pa.RecordBatch:
-    out = pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
-    counts.clear()
-    return out
+def _vocabulary(b: pa.RecordBatch) -> pa.Array:
+    return b.column(0).filter(pc.not_equal(b.column(0), END)).cast(pa.large_binary())
 
 
 def _letter_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each byte is in the vocabulary, and the words' ends."""
     total = np.zeros(LETTERS, dtype=np.int64)
     for b in batches:
-        words = [w for w in b.column(0).to_pylist() if w != END]
-        total[:256] += np.bincount(np.frombuffer(b"".join(words), dtype=np.uint8), minlength=256)
+        words = _vocabulary(b)
+        total[:256] += np.bincount(_bytes(words), minlength=256)
         total[256] += len(words)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(LETTERS)), pa.array(total)], names=["k", "n"])
 
 
+def _stream_batches(own: Words, batches: Iterator[pa.RecordBatch], of_words: bool) -> Iterator[Symbols]:
+    """The words of texts, or the letters of the vocabulary, each word once, in parts."""
+    known = own.known()
+    for b in batches:
+        if of_words:
+            sizes, words = tokens_of(b.column(0))
+            for _, _, s in text_parts(streams(own, known, sizes, words)[0], b.num_rows):
+                yield s
+        else:
+            words = _vocabulary(b)
+            for a in range(0, len(words), 20_000):
+                yield spelled(words.slice(a, 20_000))
+
+
 def add_counts(own: Words, s: Symbols, of_words: bool, counts: np.ndarray) -> None:
     """Counts the bits of s in the tables, one behind the other: two counts for each slot."""
     tree, sizes = own.kind(of_words)
@@ -270,13 +323,8 @@ def _table_batches(shared, of_words: bool, salts: int):
 
         own = Words.of(shared.value)
         counts = np.zeros(2 * sum(own.kind(of_words)[1]), dtype=np.int32)
-        for b in batches:
-            for a in range(0, b.num_rows, TEXTS if of_words else 50_000):
-                if of_words:
-                    s = streams(own, [tokens_of(t) for t in b.column(0).slice(a, TEXTS).to_pylist()])[0]
-                else:
-                    s = spelled([w for w in b.column(0).slice(a, 50_000).to_pylist() if w != END])
-                add_counts(own, s, of_words, counts)
+        for s in _stream_batches(own, batches, of_words):
+            add_counts(own, s, of_words, counts)
         salt = TaskContext.get().partitionId() % salts
         for k in range(0, len(counts), CHUNK):
             if counts[k : k + CHUNK].any():
@@ -414,7 +462,7 @@ def word_costs(own: Words, tables: Tables, weights: np.ndarray, s: Symbols, word
 
 
 def start_weights(of_words: bool) -> np.ndarray:
-    k = 5 if of_words else len(ORDERS) + 1
+    k = len(WORD_SLOTS) + 2 if of_words else len(ORDERS) + 1
     out = np.full((gates(of_words), k), 0.25)
     out[:, -1] = 0
     return out
@@ -507,13 +555,8 @@ def _fit_batches(shared, more, weights: np.ndarray, of_words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, tables = Words.of(shared.value), Tables(*more.value)
         total: np.ndarray | float = 0.0
-        for b in batches:
-            for a in range(0, b.num_rows, TEXTS if of_words else 20_000):
-                if of_words:
-                    s = streams(own, [tokens_of(t) for t in b.column(0).slice(a, TEXTS).to_pylist()])[0]
-                else:
-                    s = spelled([w for w in b.column(0).slice(a, 20_000).to_pylist() if w != END])
-                total = total + newton_sums(own, tables, weights, s, of_words)
+        for s in _stream_batches(own, batches, of_words):
+            total = total + newton_sums(own, tables, weights, s, of_words)
         if not isinstance(total, float):
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["k", "v"])
 
@@ -570,9 +613,11 @@ def train(docs: DataFrame, learned, text_col: str = "text", id_col: str = "doc_i
     return Model(counts, int(size["n"]), int(size["v"]), own, shared, numbers, tables, weights, Rest(n_rest, discount, discount * v_rest + 1))
 
 
-def log10_probabilities(own: Words, tables: Tables, weights: tuple[np.ndarray, np.ndarray], found: Symbols, rest: list[bytes], texts: int) -> tuple[np.ndarray, np.ndarray]:
+def log10_probabilities(own: Words, tables: Tables, weights: tuple[np.ndarray, np.ndarray], found: Symbols, rest: pa.Array, texts: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each text its words, an escape for those outside the dictionary, and of each of these its spelling."""
-    return text_costs(own, tables, weights[0], found, texts) / np.log(10), word_costs(own, tables, weights[1], spelled(rest), len(rest)) / np.log(10)
+    by_text = [text_costs(own, tables, weights[0], s, z - a) for a, z, s in text_parts(found, texts)]
+    by_word = [word_costs(own, tables, weights[1], spelled(rest.slice(a, 20_000)), len(rest.slice(a, 20_000))) for a in range(0, len(rest), 20_000)]
+    return np.concatenate([np.zeros(0), *by_text]) / np.log(10), np.concatenate([np.zeros(0), *by_word]) / np.log(10)
 
 
 def _score_batches(shared, more):
@@ -581,33 +626,32 @@ def _score_batches(shared, more):
 
         own, (in_words, in_letters, weights, base) = Words.of(shared.value), more.value
         tables = Tables(in_words, in_letters)
-        row = TaskContext.get().partitionId() << 40
-        for b in batches:
-            for a in range(0, b.num_rows, TEXTS):
-                part = b.slice(a, TEXTS)
-                tokens = [tokens_of(t) for t in part.column(1).to_pylist()]
-                n = len(tokens)
-                found, rest = streams(own, tokens)
-                m = len(rest)
-                scores, spelling = log10_probabilities(own, tables, weights, found, rest, n)
-                rows, outside = np.arange(row, row + n), found.symbol == own.escape
-                plain = np.bincount(found.text, weights=base[found.symbol], minlength=n)
-                inner = np.bincount(found.text[~outside], minlength=n) - 1
-                row += n
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate((rows, rows[found.text[outside]]))),
-                        # a text's own row gets a key that no word has
-                        pa.array([b"\n%d" % r for r in rows.tolist()] + rest, pa.binary()),
-                        pa.concat_arrays([part.column(0).cast(pa.int64()), pa.nulls(m, pa.int64())]),
-                        pa.array([len(t) + 1 for t in tokens] + [None] * m, pa.int64()),
-                        pa.concat_arrays([pa.array(inner, pa.int64()), pa.nulls(m, pa.int64())]),
-                        pa.concat_arrays([pa.array(plain, pa.float64()), pa.nulls(m, pa.float64())]),
-                        pa.array(np.concatenate((scores, spelling))),
-                        pa.array([sum(map(len, t)) + len(t) + 1 for t in tokens] + [None] * m, pa.int64()),
-                    ],
-                    names=["row", "w", "id", "n_tokens", "inner", "plain", "cost", "n_bytes"],
-                )
+        row, known = TaskContext.get().partitionId() << 40, own.known()
+        for part in batches:
+            n = part.num_rows
+            sizes, words = tokens_of(part.column(1))
+            found, rest = streams(own, known, sizes, words)
+            m = len(rest)
+            scores, spelling = log10_probabilities(own, tables, weights, found, rest, n)
+            rows, outside = np.arange(row, row + n), found.symbol == own.escape
+            plain = np.bincount(found.text, weights=base[found.symbol], minlength=n)
+            inner = np.bincount(found.text[~outside], minlength=n) - 1
+            n_bytes = sizes + 1 + np.bincount(np.repeat(np.arange(n), sizes), weights=pc.binary_length(words).to_numpy(zero_copy_only=False), minlength=n).astype(np.int64)
+            row += n
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate((rows, rows[found.text[outside]]))),
+                    # a text's own row gets a key that no word has
+                    pa.concat_arrays([pa.array([b"\n%d" % r for r in rows.tolist()], pa.binary()), rest.cast(pa.binary())]),
+                    pa.concat_arrays([part.column(0).cast(pa.int64()), pa.nulls(m, pa.int64())]),
+                    pa.concat_arrays([pa.array(sizes + 1, pa.int64()), pa.nulls(m, pa.int64())]),
+                    pa.concat_arrays([pa.array(inner, pa.int64()), pa.nulls(m, pa.int64())]),
+                    pa.concat_arrays([pa.array(plain, pa.float64()), pa.nulls(m, pa.float64())]),
+                    pa.array(np.concatenate((scores, spelling))),
+                    pa.concat_arrays([pa.array(n_bytes, pa.int64()), pa.nulls(m, pa.int64())]),
+                ],
+                names=["row", "w", "id", "n_tokens", "inner", "plain", "cost", "n_bytes"],
+            )
 
     return run
 

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,14 +11,26 @@ from jsonmill.llm import mixing, queries
 from jsonmill.llm.mixing import Symbols, add_counts, block_edges, expand, gates, huffman, log10_probabilities, mixed_up, newton_step, newton_sums, score, slot, spelled, start_weights, streams, text_costs, tokens_of, train, word_costs, words_of
 
 
+def array(words):
+    return pa.array(words, pa.large_binary())
+
+
+def own_streams(own, texts):
+    return streams(own, own.known(), np.array([len(t) for t in texts], dtype=np.int64), array([w for t in texts for w in t]))
+
+
+def index(own):
+    return {w: k for k, w in enumerate(own.known().to_pylist())}
+
+
 def small_model():
     words = [w.encode() for w in "the cat sat on a mat and the dog did too".split()] * 3 + [b"unusual"]
     counts = Counter(words)
     ranked = sorted(counts, key=lambda w: (-counts[w], w))[:6]
     own = words_of(ranked, np.array([*(counts[w] for w in ranked), 4, 3]), np.bincount(np.frombuffer(b"".join(counts), dtype=np.uint8), minlength=257) + 1)
     in_words, in_letters = (np.zeros(2 * sum(own.kind(of_words)[1]), dtype=np.int32) for of_words in (True, False))
-    add_counts(own, streams(own, [words])[0], True, in_words)
-    add_counts(own, spelled(sorted(counts)), False, in_letters)
+    add_counts(own, own_streams(own, [words])[0], True, in_words)
+    add_counts(own, spelled(array(sorted(counts))), False, in_letters)
     tables = mixing.Tables(*(np.split(mixing.values(c), np.cumsum(own.kind(w)[1])[:-1]) for c, w in ((in_words, True), (in_letters, False))))
     return own, tables, (start_weights(True), start_weights(False))
 
@@ -37,17 +50,17 @@ def test_trees():
 @pytest.mark.parametrize("of_words", [True, False])
 def test_a_symbol_has_probability_one_in_all(of_words):
     own, tables, weights = small_model()
-    n = len(own.index) + 2 if of_words else mixing.LETTERS
+    n = own.escape + 1 if of_words else mixing.LETTERS
     zeros = np.zeros(1, dtype=np.int32)
     for c in (0, 12345):
-        contexts = [np.full(1, c, dtype=np.uint32)] * (3 if of_words else len(mixing.ORDERS))
+        contexts = [np.full(1, c, dtype=np.uint32)] * len(own.kind(of_words)[1])
         cost = text_costs if of_words else word_costs
         total = sum(math.exp(cost(own, tables, weights[0 if of_words else 1], Symbols(zeros, np.array([k]), contexts), 1)[0]) for k in range(n))
         assert abs(total - 1) < 1e-3
 
 
 def both(own, tables, weights, texts):
-    found, rest = streams(own, texts)
+    found, rest = own_streams(own, texts)
     a, b = log10_probabilities(own, tables, weights, found, rest, len(texts))
     return a + np.bincount(found.text[found.symbol == own.escape], weights=b, minlength=len(texts))
 
@@ -113,26 +126,27 @@ def test_costs_bit_by_bit():
     rng = np.random.default_rng(3)
     weights = tuple(w + rng.normal(0, 0.1, w.shape) for w in weights)
     texts = [b"the cat sat on unusual mats and the dog did too".split() * 60, [], b"zebra the zebra".split(), b"did too on a mat".split() * 9]
-    found, rest = streams(own, texts)
+    found, rest = own_streams(own, texts)
     assert np.allclose(text_costs(own, tables, weights[0], found, len(texts)), slow_text_costs(own, tables, weights[0], found, len(texts)), rtol=1e-4)
     assert np.allclose(word_costs(own, tables, weights[1], spelled(rest), len(rest)), slow_word_costs(own, tables, weights[1], spelled(rest), len(rest)), rtol=1e-4)
 
 
 def test_contexts_by_hand():
     own, _, _ = small_model()
-    found, rest = streams(own, [b"the zebra sat".split(), [], b"the".split()])
-    the, sat, esc, end, h = own.index[b"the"], own.index.get(b"sat", own.escape), own.escape, own.end, lambda *v: int(mixed_up(*(np.array([x]) for x in v))[0])
-    assert found.symbol.tolist() == [the, esc, sat, end, end, the, end] and found.text.tolist() == [0, 0, 0, 0, 1, 2, 2] and rest[0] == b"zebra"
-    assert found.contexts[1].tolist() == [h(end), h(the), h(esc), h(sat), h(end), h(end), h(the)]
-    assert found.contexts[2].tolist() == [h(end, end), h(the, end), h(esc, the), h(sat, esc), h(end, end), h(end, end), h(the, end)]
-    letters = spelled([b"ab", b"a"])
+    found, rest = own_streams(own, [b"the zebra sat".split(), [], b"the".split()])
+    known, esc, end, h = index(own), own.escape, own.end, lambda *v: int(mixed_up(*(np.array([x]) for x in v))[0])
+    the, sat = known[b"the"], known.get(b"sat", own.escape)
+    assert found.symbol.tolist() == [the, esc, sat, end, end, the, end] and found.text.tolist() == [0, 0, 0, 0, 1, 2, 2] and rest.to_pylist()[0] == b"zebra"
+    assert found.contexts[0].tolist() == [h(end), h(the), h(esc), h(sat), h(end), h(end), h(the)]
+    assert found.contexts[1].tolist() == [h(end, end), h(the, end), h(esc, the), h(sat, esc), h(end, end), h(end, end), h(the, end)]
+    letters = spelled(array([b"ab", b"a"]))
     assert letters.symbol.tolist() == [97, 98, 256, 97, 256] and letters.text.tolist() == [0, 0, 0, 1, 1]
     assert letters.contexts[0].tolist() == [h(257, 257), h(97, 257), h(98, 97), h(257, 257), h(97, 257)]
 
 
 def test_fitting_lowers_the_cost():
     own, tables, weights = small_model()
-    s = streams(own, [b"the cat sat on a mat and the dog did too".split() * 20])[0]
+    s = own_streams(own, [b"the cat sat on a mat and the dog did too".split() * 20])[0]
     w, losses = weights[0], []
     for _ in range(4):
         sums = newton_sums(own, tables, w, s, True)
@@ -174,15 +188,15 @@ def test_scores_by_hand_and_on_any_partitions(spark):
     model = train(docs, F.col("doc_id") % 4 != 0)
     got = {r.doc_id: r for r in score(docs, model).collect()}
     other = {r.doc_id: r.score for r in score(docs.repartition(7), model).collect()}
-    counts = Counter(w for i, t in rows if i % 4 for w in tokens_of(t))
-    rest = {w: n for w, n in counts.items() if w not in model.own.index}
+    counts = Counter(w for i, t in rows if i % 4 for w in t.lower().encode().split())
+    rest = {w: n for w, n in counts.items() if w not in index(model.own)}
     once, twice = (sum(n == k for n in counts.values()) for k in (1, 2))
     assert all(n < mixing.LEAST for n in rest.values()) and once
     d = once / (once + 2 * twice)
     for i, t in rows:
-        found, spelt = streams(model.own, [tokens_of(t)])
+        found, spelt = own_streams(model.own, [t.lower().encode().split()])
         total = slow_text_costs(model.own, model.tables, model.weights[0], found, 1)[0] / math.log(10)
-        for w, c in zip(spelt, slow_word_costs(model.own, model.tables, model.weights[1], spelled(spelt), len(spelt))):
+        for w, c in zip(spelt.to_pylist(), slow_word_costs(model.own, model.tables, model.weights[1], spelled(spelt), len(spelt))):
             total += math.log10((max(rest.get(w, 0) - d, 0) + (d * len(rest) + 1) * math.exp(c)) / (sum(rest.values()) + 1))
         assert abs(got[i].score - total) < 1e-4 * abs(total) and abs(other[i] - total) < 1e-4 * abs(total)
 
@@ -197,4 +211,6 @@ def test_odd_rows(spark):
     nothing = train(docs.limit(0), F.lit(True))
     assert score(docs.limit(0), nothing).count() == 0
     assert all(r.n_known == 0 and r.score < 0 for r in score(docs, nothing).collect())
-    assert tokens_of(None) == []
+    sizes, words = tokens_of(pa.array([None, " a\x0bB \u00c9\u00a0\x1c ", "", "\t\n", "z"]))
+    assert sizes.tolist() == [0, 3, 0, 0, 1] and words.to_pylist() == [b"a", b"b", "\u00c9\u00a0\x1c".encode(), b"z"]
+    assert tokens_of(pa.array([], pa.string()))[0].tolist() == []
