@@ -1,10 +1,12 @@
 """Secret scans with one combined deterministic automaton.
 
-The rules' regular expressions become one NFA over bytes, subset construction
-and minimisation make it deterministic, and the result is a transition array
-over byte classes.  One pass over a batch of texts, many stretches of text in
-step, tells which rules can match where; for those texts each rule's own
-automaton (made the same way) finds the exact spans.
+The beginnings of all rules' matches, expressions of fixed length, become one
+NFA over bytes; subset construction and minimisation make it deterministic, and
+the result is a transition array over byte classes.  One pass over the bytes,
+many stretches in step, gives every place where a match of any rule can begin.
+From these places a second automaton of all rules, anchored, reads the ends;
+it stops where an earlier walk has shown that nothing more is accepted, so the
+work stays in proportion to the text.
 """
 
 from __future__ import annotations
@@ -18,34 +20,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import releasing, small_batches
+
 
 @dataclass(frozen=True)
 class Rule:
-    """full: the expression to match, leftmost and longest.  hint: one that occurs wherever a span that passes does.
+    """full: the expression to match, leftmost and longest.  starts: expressions of fixed length, one of which begins every match.
 
-    least: bytes that a match must have after `lead` (an expression for its start) is taken off.
+    least: bytes that a match must have after `lead` (an expression for its start) is taken off; shorter ones are dropped.
     """
 
     kind: str
     full: str
-    hint: str
+    starts: tuple[str, ...]
     least: int = 0
     lead: str = ""
 
 
-_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
+_KEYS = ("password", "passwd", "secret", "token", "api_key", "apikey")
+_ASSIGN = rf"""(?i:{"|".join(_KEYS)})["']?\x20*[:=]\x20*["']?"""
 
 #: The three base rules, in the order in which ties of spans are listed, then formats that issuers publish.
 RULES = (
-    Rule("assign", _ASSIGN + "[A-Za-z0-9+/_.=-]+", _ASSIGN + "[A-Za-z0-9+/_.=-]", 6, _ASSIGN),
-    Rule("access", "AKIA[A-Z0-9]+", "AKIA[A-Z0-9]", 20),
-    Rule("hex", "[0-9a-f]+", "[0-9a-f]{12}", 24),
-    Rule("github", "gh[opsur]_[A-Za-z0-9]{36,}", "gh[opsur]_[A-Za-z0-9]"),
-    Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", "xox[abprs]-"),
-    Rule("google", "AIza[A-Za-z0-9_-]{35,}", "AIza"),
-    Rule("stripe", "[rs]k_live_[A-Za-z0-9]{16,}", "[rs]k_live_"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r"eyJ[A-Za-z0-9_-]"),
-    Rule("pem", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", "-----BEGIN "),
+    Rule("assign", _ASSIGN + "[A-Za-z0-9+/_.=-]+", tuple(f"(?i:{k})" for k in _KEYS), 6, _ASSIGN),
+    Rule("access", "AKIA[A-Z0-9]{16,}", ("AKIA[A-Z0-9]",)),
+    Rule("hex", "[0-9a-f]{24,}", ("[0-9a-f]{12}",)),
+    Rule("github", "gh[opsur]_[A-Za-z0-9]{36,}", ("gh[opsur]_[A-Za-z0-9]",)),
+    Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", ("xox[abprs]-[A-Za-z0-9-]",)),
+    Rule("google", "AIza[A-Za-z0-9_-]{35,}", ("AIza[A-Za-z0-9_-]",)),
+    Rule("stripe", "[rs]k_live_[A-Za-z0-9]{16,}", ("[rs]k_live_[A-Za-z0-9]",)),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", ("eyJ[A-Za-z0-9_-]",)),
+    Rule("pem", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", ("-----BEGIN [A-Z]",)),
 )
 BASE = ("assign", "access", "hex")
 
@@ -70,6 +75,22 @@ class _Nfa:
             raise ValueError(f"unread: {pattern[at:]!r}")
         return self._build(tree)
 
+    def length(self, pattern: str) -> int:
+        """The bytes of every match of a pattern of fixed length."""
+
+        def size(tree) -> int:
+            if tree[0] == "set":
+                return 1
+            if tree[0] == "seq":
+                return sum(map(size, tree[1]))
+            if tree[0] == "or" and len(found := {size(x) for x in tree[1]}) == 1:
+                return found.pop()
+            if tree[0] == "rep" and tree[2] == tree[3]:
+                return tree[2] * size(tree[1])
+            raise ValueError(f"not of fixed length: {pattern!r}")
+
+        return size(self._choice(pattern, 0, False)[0])
+
     def _choice(self, p: str, at: int, fold: bool):
         options = []
         while True:
@@ -169,11 +190,12 @@ class _Nfa:
 
 @dataclass
 class Dfa:
-    """table[state, class of byte] is the next state; state 0 is the start; accepts[state] has a bit for each pattern."""
+    """table[state, class of byte] is the next state; state 0 is the start; sets[accepts[state]] are the patterns it accepts, sets[0] none."""
 
     classes: np.ndarray
     table: np.ndarray
     accepts: np.ndarray
+    sets: list[tuple[int, ...]]
 
     @property
     def dead(self) -> int | None:
@@ -190,7 +212,7 @@ def compile_patterns(patterns: list[str], anywhere: bool) -> Dfa:
     for k, p in enumerate(patterns):
         a, b = nfa.add(p)
         nfa.edges[root].append((None, a))
-        finals[b] = 1 << k
+        finals[b] = k
     if anywhere:
         nfa.edges[root].append((frozenset(range(256)), root))
     sets = {s for e in nfa.edges for s, _ in e if s is not None}
@@ -219,11 +241,12 @@ def compile_patterns(patterns: list[str], anywhere: bool) -> Dfa:
             row.append(number[nxt])
         rows.append(row)
     table = np.array(rows, dtype=np.int32)
-    accepts = np.array([sum({finals[x] for x in s if x in finals}) for s in order], dtype=np.int32)
-    return _minimal(classes, table, accepts)
+    sets: dict[tuple[int, ...], int] = {(): 0}
+    accepts = np.array([sets.setdefault(tuple(sorted(finals[x] for x in s if x in finals)), len(sets)) for s in order], dtype=np.int32)
+    return _minimal(classes, table, accepts, list(sets))
 
 
-def _minimal(classes: np.ndarray, table: np.ndarray, accepts: np.ndarray) -> Dfa:
+def _minimal(classes: np.ndarray, table: np.ndarray, accepts: np.ndarray, sets: list[tuple[int, ...]]) -> Dfa:
     """Blocks of states are split by accepted patterns, then by the blocks their moves lead to, until none splits."""
     block = np.unique(accepts, return_inverse=True)[1]
     while True:
@@ -237,96 +260,117 @@ def _minimal(classes: np.ndarray, table: np.ndarray, accepts: np.ndarray) -> Dfa
     name = np.array([seen[b] for b in range(len(seen))])
     at = np.zeros(len(seen), dtype=np.int64)
     at[name[block[::-1]]] = np.arange(len(block))[::-1]
-    return Dfa(classes, name[block[table[at]]].astype(np.int32), accepts[at])
+    return Dfa(classes, name[block[table[at]]].astype(np.int32), accepts[at], sets)
 
 
 # --- scanning ---------------------------------------------------------------------------------
 
-STRETCH = 2048
-LONGEST = 1 << 20
+#: Lanes that a batch is cut into, and the bytes of one.
+LANES, SHORTEST, LONGEST = 1024, 256, 8192
+#: Walks that end so many bytes after their last match are remembered.
+TAIL = 8
 
 
 class Scanner:
-    """The combined automaton and each rule's own."""
+    """The automaton of all beginnings, and the anchored one of all rules."""
 
     def __init__(self, rules: tuple[Rule, ...] = RULES) -> None:
         self.rules = rules
-        self.all = compile_patterns([r.hint for r in rules], anywhere=True)
-        self.own = [compile_patterns([r.full], anywhere=False) for r in rules]
-        self.lead = [compile_patterns([r.lead], anywhere=False) if r.lead else None for r in rules]
-        k = self.all.table.shape[1]
-        self.flat = (self.all.table * k).ravel().astype(np.int32)
-        self.mask = np.repeat(self.all.accepts, k).astype(np.int32)
-        back = (self.all.table == 0).all(axis=0)  # bytes that lead to the start from everywhere
-        self.resets = back[self.all.classes]
-        self.steps = [
-            (d.classes.tobytes(), d.table.tolist(), (d.accepts != 0).tolist(), d.dead, np.isin(np.arange(256), np.flatnonzero(d.table[0][d.classes] != d.dead)))
-            for d in self.own
-        ]
-        self.lead_steps = [d and (d.classes.tobytes(), d.table.tolist(), (d.accepts != 0).tolist(), d.dead) for d in self.lead]
-
-    def hints(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """A bit for each rule that may match, per text; texts are data[offsets[i]:offsets[i + 1]]."""
-        out = np.zeros(len(offsets) - 1, dtype=np.int32)
+        starts = [(k, p) for k, r in enumerate(rules) for p in r.starts]
+        self.of = np.array([k for k, _ in starts])
+        self.size = np.array([_Nfa().length(p) for _, p in starts])
+        self.first = compile_patterns([p for _, p in starts], anywhere=True)
+        k = self.first.table.shape[1]
+        self.flat = (self.first.table * k).ravel().astype(np.int32)
+        self.hit = np.repeat(self.first.accepts, k).astype(np.int32)
+        whole = compile_patterns([r.full for r in rules], anywhere=False)
+        self.whole = whole.classes.tobytes(), whole.table.tolist(), [whole.sets[x] for x in whole.accepts.tolist()], whole.dead
+        leads = [compile_patterns([r.lead], anywhere=False) if r.lead else None for r in rules]
+        self.leads = [d and (d.classes.tobytes(), d.table.tolist(), (d.accepts != 0).tolist(), d.dead) for d in leads]
+
+    def beginnings(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, place and rule of all that can begin a match, in order; texts are data[offsets[i]:offsets[i + 1]].
+
+        A state depends on as many bytes as the longest beginning has, so each
+        lane reads that many before its own.
+        """
         low, high = int(offsets[0]), int(offsets[-1])
-        if low == high:
-            return out
-        data = data[low:high]
-        bounds = np.union1d(offsets - low, np.flatnonzero(self.resets[data]) + 1)
-        cuts = np.unique(bounds[np.searchsorted(bounds, np.arange(0, high - low, STRETCH))])
-        cuts = np.append(cuts, high - low) if cuts[-1] != high - low else cuts
-        starts, lengths = cuts[:-1], np.diff(cuts)
-        order = np.argsort(-lengths, kind="stable")
-        starts, lengths = starts[order], lengths[order]
-        found = np.zeros(len(starts), dtype=np.int32)
-        found[lengths > LONGEST] = (1 << len(self.rules)) - 1  # too long to go in step: the exact scan takes it whole
-        skip = int((lengths > LONGEST).sum())
-        s, n = starts[skip:].copy(), -lengths[skip:]
-        kinds, state, acc = self.all.classes[data], np.zeros(len(s), dtype=np.int32), np.zeros(len(s), dtype=np.int32)
-        for t in range(-int(n[0]) if len(n) else 0):
-            a = int(np.searchsorted(n, -t, side="left"))  # stretches longer than t
-            st = self.flat[state[:a] + kinds[s[:a] + t]]
-            state[:a] = st
-            acc[:a] |= self.mask[st]
-        found[skip:] = acc
-        for k in np.flatnonzero(found):
-            a = int(np.searchsorted(offsets - low, starts[k], side="right")) - 1
-            b = int(np.searchsorted(offsets - low, starts[k] + lengths[k], side="left"))
-            out[a:b] |= found[k]
+        n, back = high - low, int(self.size.max())
+        lane = min(max(n // LANES, SHORTEST), LONGEST)
+        lanes = -(-n // lane)
+        kinds = np.zeros(back + lanes * lane, dtype=np.uint8)
+        kinds[back : back + n] = self.first.classes[data[low:high]]
+        kinds = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(kinds, back + lane)[::lane].T) if n else np.zeros((0, 0), dtype=np.uint8)
+        state, found = np.zeros(lanes, dtype=np.int32), []
+        for t in range(len(kinds)):
+            state = self.flat.take(state + kinds[t])
+            if t >= back:
+                sets = self.hit.take(state)
+                at = np.flatnonzero(sets)
+                if len(at):
+                    found.append((at * lane + (t - back + 1), sets[at]))
+        ends = np.concatenate([np.zeros(0, dtype=np.int64), *(x for x, _ in found)])
+        sets = np.concatenate([np.zeros(0, dtype=np.int64), *(x for _, x in found)])
+        rows = [np.zeros((2, 0), dtype=np.int64)]
+        for k in np.unique(sets):
+            own = ends[sets == k]
+            rows += [np.stack([own - self.size[p], np.full(len(own), self.of[p])]) for p in self.first.sets[k]]
+        at, rule = np.concatenate(rows, axis=1)
+        size = np.concatenate([np.zeros(0, dtype=np.int64), *(np.full((sets == k).sum(), self.size[p]) for k in np.unique(sets) for p in self.first.sets[k])])
+        text = np.searchsorted(offsets - low, at, side="right") - 1
+        inside = (at >= 0) & (at + size <= n) & (at + size <= (offsets - low)[np.minimum(text + 1, len(offsets) - 1)])
+        text, at, rule = text[inside], at[inside], rule[inside]
+        order = np.lexsort((rule, at))
+        text, at, rule = text[order], at[order], rule[order]
+        return text, at - (offsets - low)[text], rule
+
+    def spans(self, text: bytes, begins: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(start, number of the rule, end) in bytes, by start, then rule; begins: places and rules in order."""
+        classes, table, accepts, dead = self.whole
+        out, done = [], [0] * len(self.rules)
+        trail: np.ndarray | None = None  # states from which nothing more is accepted, by place
+        k = 0
+        while k < len(begins):
+            at, wanted = begins[k][0], set()
+            while k < len(begins) and begins[k][0] == at:
+                if at >= done[begins[k][1]]:
+                    wanted.add(begins[k][1])
+                k += 1
+            if not wanted:
+                continue
+            state, ends, last, states = 0, {}, at, []
+            for i in range(at, len(text)):
+                state = table[state][classes[text[i]]]
+                if state == dead or (trail is not None and trail[i] == state):
+                    break
+                states.append(state)
+                if accepts[state]:
+                    last = i + 1
+                    for rule in accepts[state]:
+                        ends[rule] = last
+            if at + len(states) - last > TAIL:
+                if trail is None:
+                    trail = np.full(len(text), -1, dtype=np.int32)
+                trail[last : at + len(states)] = states[last - at :]
+            for rule in sorted(wanted & ends.keys()):
+                done[rule] = end = ends[rule]
+                begin = self._lead(rule, text, at, end) if self.leads[rule] else at
+                if end - begin >= self.rules[rule].least:
+                    out.append((at, rule, end))
         return out
 
-    @staticmethod
-    def _longest(steps: tuple, text: bytes, at: int) -> int:
-        """The end of the longest match that starts at `at`, or -1."""
-        classes, table, accepts, dead = steps[:4]
-        state, end = 0, -1
-        for k in range(at, len(text)):
-            state = table[state][classes[text[k]]]
+    def _lead(self, rule: int, text: bytes, at: int, most: int) -> int:
+        """The end of the longest lead of the match."""
+        classes, table, accepts, dead = self.leads[rule]
+        state, end = 0, at
+        for i in range(at, most):
+            state = table[state][classes[text[i]]]
             if state == dead:
                 break
             if accepts[state]:
-                end = k + 1
+                end = i + 1
         return end
 
-    def spans(self, text: bytes, hint: int) -> list[tuple[int, int, int]]:
-        """(start, number of the rule, end) in bytes, by start, then rule."""
-        out, array = [], np.frombuffer(text, dtype=np.uint8)
-        for k, rule in enumerate(self.rules):
-            if not hint >> k & 1:
-                continue
-            done = 0
-            for at in np.flatnonzero(self.steps[k][4][array]).tolist():
-                if at < done:
-                    continue
-                end = self._longest(self.steps[k], text, at)
-                if end < 0:
-                    continue
-                done = end
-                begin = self._longest(self.lead_steps[k], text[:end], at) if self.lead_steps[k] else at
-                if end - begin >= rule.least:
-                    out.append((at, k, end))
-        return sorted(out)
-
 
 def _scan_batches(scanner: Scanner) -> Callable:
     rules = scanner.rules
@@ -337,17 +381,16 @@ def _scan_batches(scanner: Scanner) -> Callable:
             n = len(texts)
             offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, dtype=np.int64)
             data = np.frombuffer(texts.buffers()[2], dtype=np.uint8) if n and texts.buffers()[2] else np.zeros(0, dtype=np.uint8)
-            found: list[list[dict]] = []
-            for i, hint in enumerate(scanner.hints(data, offsets).tolist()):
-                rows = []
-                if hint:
-                    text = data[offsets[i] : offsets[i + 1]].tobytes()
-                    at, chars = 0, 0
-                    for s, k, e in scanner.spans(text, hint):
-                        chars += len(text[at:s].decode("utf-8", "replace"))
-                        at = s
-                        rows.append({"kind": rules[k].kind, "start": chars, "end": chars + len(text[s:e].decode("utf-8", "replace"))})
-                found.append(rows)
+            found: list[list[dict]] = [[] for _ in range(n)]
+            text, places, which = scanner.beginnings(data, offsets)
+            cuts = np.flatnonzero(np.diff(text, prepend=-1, append=n)).tolist() if len(text) else []
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                i = int(text[a])
+                own, at, chars = data[offsets[i] : offsets[i + 1]].tobytes(), 0, 0
+                for s, k, e in scanner.spans(own, list(zip(places[a:z].tolist(), which[a:z].tolist(), strict=True))):
+                    chars += len(own[at:s].decode("utf-8", "replace"))
+                    at = s
+                    found[i].append({"kind": rules[k].kind, "start": chars, "end": chars + len(own[s:e].decode("utf-8", "replace"))})
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], names=["id", "spans"])
 
@@ -358,13 +401,16 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id_col and spans (kind, start, end in code points, end exclusive; by start, then rule) per input row.
 
     Null and empty texts have no spans; null and repeated ids stay rows of their
-    own; other input columns are ignored; texts are read whole.
-    The automata are compiled once, on the driver, and their arrays sent along.
+    own; other input columns are ignored; an empty table gives none; texts are
+    read whole, in time that grows with their length.  There may be any number
+    of rules.  The automata are compiled once, on the driver, and their arrays
+    sent along.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     return (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-        .mapInArrow(_scan_batches(Scanner(rules)), f"id {kind}, spans array<struct<kind:string,start:long,end:long>>")
+        .mapInArrow(releasing(_scan_batches(Scanner(rules))), f"id {kind}, spans array<struct<kind:string,start:long,end:long>>")
         .select(F.col("id").alias(id_col), "spans")
     )
 

@@ -1,23 +1,30 @@
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 
 from jsonmill.llm import queries
-from jsonmill.llm.secrets import BASE, RULES, Scanner, compile_patterns, digest, secret_spans
+from jsonmill.llm.secrets import BASE, RULES, Rule, Scanner, compile_patterns, digest, secret_spans
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""")
 
 
+#: The base rules as the contract words them, with what their matches must have.
+WORDED = {"access": ("AKIA[A-Z0-9]+", 20), "hex": ("[0-9a-f]+", 24)}
+
+
 def brute(text):
     """All spans by Python's own engine."""
     out = []
     for k, rule in enumerate(RULES):
-        for m in re.finditer(rule.full, text):
+        full, least = WORDED.get(rule.kind, (rule.full, rule.least))
+        for m in re.finditer(full, text):
             if rule.kind == "assign":
                 if len(ASSIGN.fullmatch(m[0])[2]) < 6:
                     continue
-            elif len(m[0]) < rule.least:
+            elif len(m[0]) < least:
                 continue
             out.append((m.start(), k, m.end()))
     return [(RULES[k].kind, a, b) for a, k, b in sorted(out)]
@@ -67,7 +74,33 @@ def test_automaton_against_re(pattern):
 def test_minimisation_merges_states():
     d = compile_patterns(["abx|cbx"], anywhere=False)
     assert len(d.table) == 5  # start, after a or c, after b, end, dead
-    assert Scanner().all.table.shape[0] < 4000
+    assert Scanner().first.table.shape[0] < 4000
+
+
+def test_many_rules_in_one_pass(spark):
+    rules = tuple(Rule(f"r{k}", f"k{k:02d}[a-f]+", (f"k{k:02d}",)) for k in range(70))
+    text = " ".join(f"xk{k:02d}abcz" for k in range(70)) + "k01k02ab"
+    got = secret_spans(spark.createDataFrame([(1, text)], "doc_id long, text string"), rules=rules).first().spans
+    want = sorted((m.start(), k, m.end()) for k, r in enumerate(rules) for m in re.finditer(r.full, text))
+    assert [(s.start, s.kind, s.end) for s in got] == [(a, f"r{k}", e) for a, k, e in want] and len(want) == 71
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    texts = ["eyJ" * 300_000, "a" * 1_000_000, "ghp_" * 200_000, "token" * 150_000 + "= abcdefgh", "password" + " " * 500_000, "-----BEGIN " * 90_000, "eyJa.eyJb" * 100_000, "AKIA" * 200_000, "é" * 300_000 + "token=abcdefgh"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secret_spans(docs).collect()}
+    assert time.time() - began < 60
+    assert all(got[i] == brute(t) for i, t in enumerate(texts) if i in (1, 2, 3, 4, 5, 7, 8))
+    assert got[0] == [] and got[1] == [("hex", 0, 1_000_000)] and got[8] == [("assign", 300_000, 300_014)]
+
+
+def test_beginnings_do_not_cross_texts():
+    scanner = Scanner()
+    parts = [b"tok", b"en=abcdefgh", b"", b"password=1234567", b"f" * 20, b"f" * 24]
+    data, offsets = np.frombuffer(b"".join(parts), dtype=np.uint8), np.cumsum([0, *map(len, parts)])
+    text, at, rule = scanner.beginnings(data, offsets)
+    assert list(zip(text.tolist(), at.tolist(), rule.tolist())) == [(3, 0, 0), *((4, k, 2) for k in range(9)), *((5, k, 2) for k in range(13))]
 
 
 def test_odd_rows(spark):
