@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import strict
 from ..strict import FAST, STD, Options
 from .exact import column
-from .rewrite import html_escape
+from .rewrite import html_escape, line_escape, lower_hex
 
-__all__ = ["FAST", "STD", "Options", "marshal", "marshal_exact", "marshal_indent", "object_of", "sort_map_keys"]
+__all__ = ["FAST", "STD", "Options", "marshal", "marshal_any", "marshal_exact", "marshal_in", "marshal_indent", "marshal_to", "object_of", "sort_map_keys"]
 
 
 def sort_map_keys(m: Column) -> Column:
@@ -25,13 +26,36 @@ def sort_map_keys(m: Column) -> Column:
 def marshal(value: Column, options: Options = STD) -> Column:
     """Compact JSON of a struct, array, map or VARIANT, inside whole-stage code.
 
-    For values without floats: Spark prints 1.0 where 1 is wanted, and upper-case
-    hex in escapes of control characters; marshal_exact has neither fault.  Null
-    fields are written.  Maps must come through sort_map_keys.
+    For values without floats, which Spark prints as 1.0 where 1 is wanted: one
+    that holds any, or one whose zero fields are to be left out, ends the query
+    with an error.  marshal_in takes every type.  Null fields are written.  Maps
+    must come through sort_map_keys.
     """
     text = F.substring(F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"}), 6, 1 << 30)
-    text = F.left(text, F.length(text) - 1)
-    return (html_escape(text) if options.escape_html else text).alias("marshal")
+    text = lower_hex(F.left(text, F.length(text) - 1))
+    text = html_escape(text) if options.escape_html else line_escape(text)
+    kind = F.typeof(value)  # a constant: the branch that is not taken costs nothing
+    needs_exact = kind.rlike(r"\b(float|double)\b") | (F.lit(options.omit_zero_struct_fields) & kind.contains("struct<"))
+    return F.when(needs_exact, F.raise_error(F.concat(F.lit("marshal_in is needed for "), kind)).cast("string")).otherwise(text).alias("marshal")
+
+
+#: Types that to_json writes as wanted.
+_NATIVE = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.StringType, T.BinaryType)
+
+
+def _native(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_native(f.dataType) for f in kind.fields)
+    return _native(kind.elementType) if isinstance(kind, T.ArrayType) else isinstance(kind, _NATIVE)
+
+
+def marshal_in(df: DataFrame, value: Column, options: Options = STD) -> Column:
+    """JSON of any column of df: its type, which analysis knows, chooses marshal or marshal_exact."""
+    kind = df.select(value.alias("v")).schema["v"].dataType
+    if isinstance(kind, T.VariantType):
+        return marshal_any(value, options)
+    plain = _native(kind) and not options.omit_zero_struct_fields
+    return marshal(value, options) if plain else marshal_exact(value, kind, options)
 
 
 def marshal_to(prefix: Column, value: Column, options: Options = STD) -> Column:
@@ -39,9 +63,26 @@ def marshal_to(prefix: Column, value: Column, options: Options = STD) -> Column:
     return F.concat(prefix, marshal(value, options))
 
 
-def marshal_any(v: Column) -> Column:
-    """JSON of a VARIANT: keys sorted."""
-    return F.when(v.isNotNull(), F.to_json(v))
+_PART = re.compile(r'"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*')
+
+
+def _any_text(json: str) -> str:
+    """Spark's text of a VARIANT with numbers in their shortest form and small hex digits."""
+
+    def fix(m: re.Match) -> str:
+        t = m[0]
+        if t[0] == '"':
+            return re.sub(r"\\(?:u00[01][A-F]|.)", lambda e: e[0].lower() if e[0][1] == "u" else e[0], t)
+        return t if t.lstrip("-").isdigit() else strict.float_text(float(t))
+
+    return _PART.sub(fix, json)
+
+
+def marshal_any(v: Column, options: Options = STD) -> Column:
+    """JSON of a VARIANT: keys sorted, numbers that are no integers as doubles in their shortest form."""
+    text = F.to_json(v)
+    text = F.when(v.isNotNull(), column(_any_text, "string")(text))
+    return html_escape(text) if options.escape_html else line_escape(text)
 
 
 def _plain(x: Any, kind: T.DataType) -> Any:
@@ -116,23 +157,38 @@ def marshal_indent(value: Column, schema: T.DataType | str, prefix: str = "", by
     return column(lambda j: strict.indent(j.encode(), p, b).decode(), "string")(marshal_exact(value, schema, options)).alias("marshal")
 
 
-def object_of(*fields: tuple, options: Options = STD) -> Column:
+_ZERO = r'(?:null|false|-?0(?:\.0+)?(?:[eE][+-]?[0-9]+)?|"")'
+_ZERO_STRUCT = r'^\{(?:"(?:[^"\\]|\\.)*+":(?:' + _ZERO + r'|(?=\{))|[,{}])*+$'
+
+
+def _omitted(col: Column, rule: list[str]) -> Column:
+    """Whether the rule leaves the field out, by the type and value of the column."""
+    kind, json = F.typeof(col), F.to_json(F.struct(col.alias("v")), {"ignoreNullFields": "false"})
+    text = F.substring(json, F.lit(6), F.length(json) - 6)  # what stands between {"v": and }
+    zero = ~kind.isin("variant") & text.rlike(f"^{_ZERO}$")
+    if "omitempty" in rule:
+        return col.isNull() | zero | (kind.startswith("array<") & (text == "[]")) | (kind.startswith("map<") & (text == "{}"))
+    # a struct is zero if all its fields are, also those of structs in it; an empty map or array in it is no zero
+    return col.isNull() | zero | (kind.startswith("struct<") & text.rlike(_ZERO_STRUCT) & ~text.contains("{}"))
+
+
+def object_of(*fields: tuple, options: Options = STD, df: DataFrame | None = None) -> Column:
     """JSON of an object built field by field: (name, column), or (name, column, rule).
 
     Rules: 'omitempty' leaves the field out if it is null, false, 0, '' or an
-    empty array or map; 'omitzero' if it is null or the zero of its type (empty
-    collections stay); 'string' writes the value inside a string.
+    empty array or map (a struct never is empty); 'omitzero' if it is null or
+    the zero of its type, for a struct all fields zero (empty collections stay);
+    'string' writes the value inside a string.  df, the rows that the columns
+    belong to, is needed for floats and other types that marshal cannot write.
     """
     parts = []
     for name, col, *rule in fields:
         key = F.lit(strict.quote(name, options.escape_html) + ":")
-        text = marshal(col, options)
+        text = marshal_in(df, col, options) if df is not None else marshal(col, options)
         if "string" in rule:
             text = F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
         entry = F.concat(key, F.coalesce(text, F.lit("null")))
-        if "omitempty" in rule:
-            entry = F.when(F.coalesce(text, F.lit("null")).isin("null", "false", "0", '""', "[]", "{}", '"0"'), None).otherwise(entry)
-        elif "omitzero" in rule:
-            entry = F.when(F.coalesce(text, F.lit("null")).isin("null", "false", "0", '""', '"0"'), None).otherwise(entry)
+        if "omitempty" in rule or "omitzero" in rule:
+            entry = F.when(_omitted(col, rule), None).otherwise(entry)
         parts.append(entry)
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))

@@ -78,8 +78,10 @@ raw = path_exact
 
 
 def first_key(json: Column, key: str) -> Column:
-    """The first field of that name, as VARIANT."""
-    return F.try_parse_json(path_exact(json, "".join("\\" + c if c in ".\\" else c for c in key))) if not strict.is_wild(key) else None
+    """The first field of that name, as VARIANT; null for a name with a wildcard, which a path cannot spell."""
+    if strict.is_wild(key):
+        return F.lit(None).cast("variant")
+    return F.try_parse_json(path_exact(json, "".join("\\" + c if c in ".\\" else c for c in key)))
 
 
 # --- values -----------------------------------------------------------------------------------

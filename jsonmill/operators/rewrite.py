@@ -29,6 +29,13 @@ def indent(json: Column, prefix: str = "", by: str = "\t") -> Column:
     return result(lambda j: strict.indent(as_bytes(j), p, b))(json)
 
 
+def line_escape(json: Column) -> Column:
+    """The two line separators, which are escaped in every string that is written."""
+    for a, b in HTML[3:]:
+        json = F.replace(json, F.lit(a), F.lit(b))
+    return json
+
+
 def html_escape(json: Column) -> Column:
     """Neither parsed nor checked: five replacements."""
     for a, b in HTML:
@@ -36,9 +43,25 @@ def html_escape(json: Column) -> Column:
     return json
 
 
+def lower_hex(json: Column) -> Column:
+    """Escapes of control characters, which Spark writes with capital letters, with small ones."""
+    fixed = json
+    for k in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):
+        # an escaped backslash before the u is no escape of a control character
+        fixed = F.regexp_replace(fixed, rf"(?<!\\)((?:\\\\)*)\\u00{k:02X}", rf"$1\\u00{k:02x}")
+    return F.when(json.rlike(r"\\u00[01][A-F]"), fixed).otherwise(json)
+
+
 def quote(text: Column, html: bool = True) -> Column:
-    """A string literal of a STRING or BINARY."""
-    return column(lambda t: strict.quote(t if isinstance(t, str) else bytes(t), html), "string")(text)
+    """A string literal of a STRING, inside whole-stage code; quote_bytes takes BINARY."""
+    json = F.to_json(F.array(text.cast("string")))
+    out = lower_hex(F.substring(json, F.lit(2), F.length(json) - 2))
+    return F.when(text.isNotNull(), html_escape(out) if html else line_escape(out))
+
+
+def quote_bytes(data: Column, html: bool = True) -> Column:
+    """A string literal of a BINARY; each byte that is no UTF-8 becomes the six characters of U+FFFD's escape."""
+    return column(lambda t: strict.quote(bytes(t), html), "string")(data)
 
 
 def unquote(literal: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import registry
 from ..operators import decode, encode, iterate, navigate, rewrite, validate
-from ..session import configure
+from ..session import configure, shared_folder
 from ..sources import ndjson
 from ..streaming.carry import carry_forward, carry_forward_stream
 
@@ -34,8 +33,7 @@ def query(sql: str | None = None):
 
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new folder that all executors can write to."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/jsonmill-{tag}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/jsonmill-{tag}-{uuid.uuid4().hex}"
 
 
 def props(table) -> DataFrame:
@@ -258,6 +256,39 @@ def marshal_floats(spark, table):
     return table("orders").select("o_orderkey", encode.marshal_exact(v, "p double, n string").alias("doc"))
 
 
+@query(
+    """SELECT l_orderkey, l_linenumber, '{"q":' || l_quantity::BIGINT || ',"half":' || (l_quantity::BIGINT // 2) || (CASE WHEN l_quantity::BIGINT % 2 = 1 THEN '.5' ELSE '' END)
+    || ',"s":"' || l_returnflag || '\\u001f\\u003c"}' AS doc FROM lineitem"""
+)
+def marshal_by_type(spark, table):
+    rows = table("lineitem").withColumn("q", F.round("l_quantity").cast("bigint").cast("double"))
+    v = F.struct("q", (F.col("q") / 2).alias("half"), F.concat("l_returnflag", F.lit("\x1f<")).alias("s"))
+    return rows.select("l_orderkey", "l_linenumber", encode.marshal_in(rows, v).alias("doc"))
+
+
+@query(
+    """SELECT event_id, '{' || concat_ws(',', CASE WHEN event_id % 2 = 1 THEN '"f":1' END, '"s":"0"', CASE WHEN event_id % 3 > 0 THEN '"z":{"x":' || event_id % 3 || '}' END) || '}' AS doc FROM events"""
+)
+def omit_by_type(spark, table):
+    e = F.col("event_id")
+    rows = table("events").select("event_id", (e % 2).cast("double").alias("f"), F.lit("0").alias("s"), F.struct((e % 3).alias("x")).alias("z"), F.lit(0.0).alias("zero"))
+    return rows.select("event_id", encode.object_of(*[(c, F.col(c), "omitzero") for c in ("f", "s", "z", "zero")], df=rows).alias("doc"))
+
+
+@query("SELECT event_id, event_id % 4 < 2 AS good FROM events")
+def deep_documents(spark, table):
+    depth = F.element_at(F.array(*map(F.lit, (3, 1500, 10_001, 700))), (F.col("event_id") % 4 + 1).cast("int"))
+    doc = F.concat(F.repeat(F.lit("["), depth), F.repeat(F.lit("]"), depth), F.when(F.col("event_id") % 4 == 3, "]").otherwise(""))
+    good, bad = ndjson.good_and_bad(table("events").select("event_id", doc.alias("doc")), "doc")
+    return good.select("event_id", F.lit(True).alias("good")).unionByName(bad.select("event_id", F.lit(False).alias("good")))
+
+
+@query("SELECT c_custkey AS custkey, '\"' || replace(replace(replace(c_name, '#', '\\u0000'), 'C', '\\u003c'), 'r', '\\\\') || '\"' AS literal FROM customer")
+def quote_names(spark, table):
+    name = F.replace(F.replace(F.replace("c_name", F.lit("#"), F.lit("\0")), F.lit("C"), F.lit("<")), F.lit("r"), F.lit("\\"))
+    return table("customer").select(F.col("c_custkey").alias("custkey"), rewrite.quote(name).alias("literal"))
+
+
 @query("""SELECT event_id, '{' || concat_ws(',', CASE WHEN event_id % 2 <> 0 THEN '"a":' || (event_id % 2) END, CASE WHEN event_id % 3 = 0 THEN '"b":"x"' END, '"c":[]', '"q":"' || event_id || '"') || '}' AS doc FROM events""")
 def omit_rules(spark, table):
     e = F.col("event_id")

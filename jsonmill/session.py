@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: duplicate keys must not make a document invalid; the zone fixes timestamps.
@@ -19,6 +22,24 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
+
+    Only a local session (tests, trials) that names none gets a temporary one;
+    on a cluster every executor would write to its own disk, so that is an error.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path:
+        made = spark.sparkContext._jsc.sc().getCheckpointDir()
+        path = made.get() if made.isDefined() else None
+    if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="jsonmill-")
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
 def session(app: str = "jsonmill", master: str | None = None) -> SparkSession:
     b = SparkSession.builder.appName(app)
     if master:

@@ -1,5 +1,6 @@
 """Column operators, sources and streams on Spark; every query against its SQL."""
 
+import decimal
 import json
 import os
 import shutil
@@ -15,8 +16,9 @@ from jsonmill import strict
 from jsonmill.functions import registry
 from jsonmill.operators import decode, encode, iterate, navigate, rewrite, validate
 from jsonmill.plans import queries as plans
-from jsonmill.session import configure
+from jsonmill.session import configure, shared_folder
 from jsonmill.sources import ndjson
+from jsonmill.streaming.carry import carry_forward, carry_forward_stream
 
 from .test_strict import INVALID, VALID
 
@@ -196,3 +198,79 @@ def test_sources(spark, tmp_path):
 def test_edits_keep_all_other_bytes(spark):
     doc = '{ "a" : 1.50 , "b" : [ 1 ] }'
     assert one(spark, doc, rewrite.set_path(J, "b.-1", F.lit("é<"))["value"], rewrite.delete_path(J, "a")["value"], rewrite.set_path(J, "a.x", F.lit(1))["error"]) == ('{ "a" : 1.50 , "b" : [ 1,"é\\u003c" ] }', '{ "b" : [ 1 ] }', "a number has no member 'x'")
+
+
+def test_marshal_by_type(spark):
+    kind = "d double, s string, m map<string,int>, n struct<f:float>"
+    df = spark.createDataFrame([(1e21, "\x1f\x0b\\u001F<", {"b": 1, "a": 2}, (1.0,)), (1.0, "", None, None)], kind)
+    got = [r[0] for r in df.select(encode.marshal_in(df, F.struct(*df.columns))).collect()]
+    assert got == ['{"d":1e+21,"s":"\\u001f\\u000b\\\\u001F\\u003c","m":{"a":2,"b":1},"n":{"f":1}}', '{"d":1,"s":"","m":null,"n":null}']
+    assert df.select(encode.marshal(F.col("s"))).first()[0] == '"\\u001f\\u000b\\\\u001F\\u003c"'
+    for bad in (encode.marshal(F.col("d")), encode.marshal(F.col("n"))):
+        with pytest.raises(Exception, match="marshal_in"):
+            df.select(bad).collect()
+    free = [r[0] for r in spark.createDataFrame([('{"b":1,"a":1e21,"c":"<1.0\\u001f","d":[1.0,-0.5,1e2,12345678901234567890]}',)], "j string").select(encode.marshal_any(F.parse_json("j"))).collect()]
+    assert free == ['{"a":1e+21,"b":1,"c":"\\u003c1.0\\u001f","d":[1,-0.5,100,12345678901234567890]}']
+
+
+def test_omitted_fields(spark):
+    kind = "s string, d double, z struct<x:int,y:struct<q:string>>, a array<int>, m map<string,int>, i int, b boolean, e decimal(5,2)"
+    rows = [("0", 0.0, (0, ("",)), [], {}, 0, False, 0), ("", -0.0, (1, ("",)), None, None, None, None, None), ("false", 0.5, (None, (None,)), [0], {"k": 0}, 7, True, 1)]
+    rows = [(*r[:7], None if r[7] is None else decimal.Decimal(r[7])) for r in rows]
+    df = spark.createDataFrame(rows, kind)
+    of = lambda rule: [r[0] for r in df.select(encode.object_of(*[(c, F.col(c), rule) for c in df.columns], df=df)).collect()]
+    assert of("omitempty") == ['{"s":"0","z":{"x":0,"y":{"q":""}}}', '{"z":{"x":1,"y":{"q":""}}}', '{"s":"false","d":0.5,"z":{"x":null,"y":{"q":null}},"a":[0],"m":{"k":0},"i":7,"b":true,"e":1.00}']
+    assert of("omitzero") == ['{"s":"0","a":[],"m":{}}', '{"z":{"x":1,"y":{"q":""}}}', '{"s":"false","d":0.5,"a":[0],"m":{"k":0},"i":7,"b":true,"e":1.00}']
+    text = df.select(encode.object_of(("s", F.col("s"), "string", "omitempty"), ("i", F.col("i"), "string", "omitempty"))).collect()
+    assert [r[0] for r in text] == ['{"s":"\\"0\\""}', "{}", '{"s":"\\"false\\"","i":"7"}']
+
+
+def test_quote_equals_the_exact_one(spark):
+    texts = ["", "a", 'q"\\', "\x00\x0b\x1e\x1f\x7f\b\f\n\r\t", "<&>\u2028\u2029", "\\u001F", "\\\\u001F\x1f\x1f", "é𝄞/"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for html in (True, False):
+        assert [r[0] for r in df.select(rewrite.quote(F.col("t"), html)).collect()] == [strict.quote(t, html) for t in texts]
+    raw = spark.createDataFrame([(bytearray(b"a\xe6\x97<"),), (None,)], "b binary")
+    assert [r[0] for r in raw.select(rewrite.quote_bytes(F.col("b"))).collect()] == [strict.quote(b"a\xe6\x97<", True), None]
+
+
+def test_deep_documents(spark):
+    deep = lambda n: "[" * n + "]" * n
+    rows = [(1, deep(900)), (2, deep(1001)), (3, deep(10_000)), (4, deep(10_001)), (5, "[1]]"), (6, None), (7, "{}"), (8, deep(1500) + "x")]
+    good, bad = ndjson.good_and_bad(spark.createDataFrame(rows, "id int, value string"))
+    assert sorted(r.id for r in good.collect()) == [1, 2, 3, 7]
+    faults = {r.id: r.message for r in bad.collect()}
+    assert faults.keys() == {4, 5, 6, 8} and faults[6] is None and all(faults[k] for k in (4, 5, 8))
+
+
+def test_parse_takes_the_value_out_of_its_check(spark):
+    docs = ["null", " 1 ", '"a"', '{"a":[1,null]}', "[1]]", "1,2", "", "[]", "{} x", None]
+    got = spark.createDataFrame([(d,) for d in docs], "j string").select(F.to_json(validate.parse(F.col("j"))), navigate.kind(validate.parse(F.col("j")))).collect()
+    assert [r[0] for r in got] == ["null", "1", '"a"', '{"a":[1,null]}', None, None, None, "[]", None, None]
+    assert [r[1] for r in got][:2] == ["null", "number"]
+
+
+def test_stream_carries_as_the_batch_does(spark, tmp_path):
+    docs = ['{"k":7}', '{"k":"x"}', '{"k":[1]}', '{"k":null}', "NaN", '{"j":"a"}', '{"k":9007199254740993,"j":null}', "{}", '{"j":null}', '{"k":1.5}']
+    rows = [(n % 2, n, d) for n, d in enumerate(docs * 2)]
+    fields, clears = {"k": "bigint", "j": "string"}, ("j",)
+    spark.createDataFrame(rows[:9], "u int, n int, doc string").coalesce(1).write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame(rows[9:], "u int, n int, doc string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    all_rows = spark.read.parquet(f"{tmp_path}/in")
+    want = sorted(tuple(r) for r in carry_forward(all_rows, "doc", fields, [F.col("n")], ["u"], clears).select("u", "n", "k", "j").collect())
+    stream = carry_forward_stream(spark.readStream.schema(all_rows.schema).parquet(f"{tmp_path}/in"), "doc", fields, "u", "n", clears)
+    q = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("u", "n", "k", "j").collect()) == want
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Fake:
+        def __init__(self, master, path=None):
+            self.conf, self.sparkContext = {"spark.checkpoint.dir": path} if path else {}, self
+            self.master, self._jsc, self.sc, self.getConf = master, self, lambda: self, lambda: {}
+            self.getCheckpointDir = lambda: type("None_", (), {"isDefined": lambda s: False})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Fake("spark://host:7077"))
+    assert shared_folder(Fake("spark://host:7077", "hdfs://a/b/")) == "hdfs://a/b"
