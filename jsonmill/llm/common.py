@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: The white space that ends a word: space and the controls 9 to 13.
 WS = r"[\x20\x09-\x0D]+"
 
@@ -17,20 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share.  Only where the session names none (tests, local runs) is one made."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = made.get() if made.isDefined() else None
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="jsonmill-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

@@ -68,7 +68,8 @@ def find_hits(
     spans are the [start, end) word positions that windows cover, merged and in
     order.  Null texts have no words; items whose text is null or has no word
     hit nothing; items without an id hit, but are not in n_items and items; null and repeated ids stay rows of their own; equal items
-    share their windows; other input columns are ignored.
+    share their windows; other input columns are ignored; an empty table gives
+    none; without benchmark windows nothing is hit.
     """
     wins = item_windows(benchmark, item_col, item_text_col, window).persist()
     rows = wins.count()
@@ -188,7 +189,11 @@ def find_hits(
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the contaminated ones, columns unchanged.  Rows that share an id go together, null ids too."""
+    """docs without the contaminated ones, columns unchanged.
+
+    Rows that share an id go together, null ids too.  Null texts stay; an empty
+    table stays empty; an empty benchmark removes nothing.
+    """
     bad = fresh(docs, "bad")
     hits = materialize(find_hits(docs, benchmark, id_col, text_col).filter("n_hit > 0").select(F.col(id_col).alias(bad)).distinct(), "contaminated")
     return docs.join(broadcast_if_small(hits), docs[id_col].eqNullSafe(F.col(bad)), "left_anti")

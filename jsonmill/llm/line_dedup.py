@@ -46,6 +46,23 @@ def boilerplate(
     )
 
 
+def _without_lines(docs: DataFrame, host_col: str, text_col: str, max_ratio: float, min_pages: int) -> tuple[DataFrame, str, str]:
+    """docs with two columns at the end, and their names: the lines of each text (null for a null text), and those that stay."""
+    keys = materialize(boilerplate(docs, host_col, text_col, max_ratio, min_pages), "line-dedup")
+    host, own = fresh(docs, "bp_host"), fresh(docs, "bp_keys")
+    per_host = keys.groupBy(F.col("host").alias(host)).agg(F.collect_set("key").alias(own))
+    if keys.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
+        per_host = F.broadcast(per_host)
+    joined = docs.join(per_host, docs[host_col].eqNullSafe(F.col(host)), "left")
+    parts = fresh(joined, "parts")
+    left = fresh(joined, "left")
+    has_word = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
+    kept = F.filter(F.col(parts), lambda x: ~(has_word(x) & F.coalesce(F.array_contains(own, _key(x)), F.lit(False))))
+    out = joined.withColumn(parts, F.split(F.col(text_col), "\n"))
+    out = out.withColumn(left, F.when(F.col(own).isNull(), F.col(parts)).otherwise(kept))
+    return out.drop(host, own), parts, left
+
+
 def line_dedup(
     docs: DataFrame,
     host_col: str = "source",
@@ -58,26 +75,34 @@ def line_dedup(
     Every row stays, also one whose text is dropped whole (it gets the empty
     text).  A null text stays null; lines without a word are never dropped; a
     null host is a host of its own; repeated rows count as pages of their own;
-    other columns pass through unchanged, and a column of the input named like
-    an added one is replaced.
+    an empty table gives an empty result; other columns pass through unchanged,
+    and a column of the input named like an added one, in any case of letters,
+    is replaced.
     """
-    keys = materialize(boilerplate(docs, host_col, text_col, max_ratio, min_pages), "line-dedup")
-    per_host = keys.groupBy(F.col("host").alias("__bp_host")).agg(F.collect_set("key").alias("__bp_keys"))
-    if keys.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
-        per_host = F.broadcast(per_host)
-    parts, host = fresh(docs, "parts"), docs[host_col]
-    joined = docs.join(per_host, host.eqNullSafe(F.col("__bp_host")), "left")
-    has_word = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
-    kept = F.filter(
-        F.col(parts), lambda x: ~(has_word(x) & F.coalesce(F.array_contains("__bp_keys", _key(x)), F.lit(False)))
-    )
-    out = joined.withColumn(parts, F.split(F.col(text_col), "\n"))
-    left = fresh(out, "left")
-    out = out.withColumn(left, F.when(F.col("__bp_keys").isNull(), F.col(parts)).otherwise(kept))
+    out, parts, left = _without_lines(docs, host_col, text_col, max_ratio, min_pages)
     return out.select(
-        *[c for c in docs.columns if c not in (text_col, "n_lines", "n_lines_dropped", "text_before")],
+        *[c for c in docs.columns if c.lower() not in (text_col.lower(), "n_lines", "n_lines_dropped", "text_before")],
         F.array_join(F.col(left), "\n").alias(text_col),
         F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size(parts) - F.size(left), F.lit(0)).cast("long").alias("n_lines_dropped"),
         F.col(text_col).alias("text_before"),
     )
+
+
+def drop_lines(
+    docs: DataFrame,
+    host_col: str = "source",
+    text_col: str = "text",
+    size_col: str = "n_chars",
+    max_ratio: float = 0.03,
+    min_pages: int = 5,
+) -> DataFrame:
+    """docs without the boilerplate lines, in the same columns.
+
+    As line_dedup, but no column is added or replaced: the text is cleaned, and
+    size_col, if there is one, follows where a text lost a line.
+    """
+    out, parts, left = _without_lines(docs, host_col, text_col, max_ratio, min_pages)
+    kinds, text = dict(docs.dtypes), F.array_join(F.col(left), "\n")
+    size = F.when(F.size(left) < F.size(parts), F.char_length(text).cast(kinds[size_col])).otherwise(F.col(size_col)) if size_col in kinds else None
+    return out.select(*[text.alias(c) if c == text_col else size.alias(c) if c == size_col else F.col(f"`{c}`") for c in docs.columns])

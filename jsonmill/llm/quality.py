@@ -29,12 +29,12 @@ def _line_words(line: Column) -> Column:
     return F.size(split_words(line, WS))
 
 
-def line_fails(line: Column) -> Column:
+def line_fails(line: Column, boilerplate: str = BOILERPLATE) -> Column:
     """Whether a line that has a word breaks a rule.
 
     Punctuation: more than one symbol or more than one exclamation mark for two
     words, or no word that ends a sentence.  Navigation: three separators or more.
-    Boilerplate: a phrase of the list.
+    Boilerplate: a match of the expression, by default phrases of English pages.
     """
     n = _line_words(line)
     symbols = F.regexp_count(line, F.lit(SYMBOLS))
@@ -44,11 +44,11 @@ def line_fails(line: Column) -> Column:
         | ((n > 1) & (shouts * 2 > n))
         | ~line.rlike(SENTENCE_END)
         | (F.regexp_count(line, F.lit(SEPARATORS)) >= 3)
-        | line.rlike(BOILERPLATE)
+        | line.rlike(boilerplate)
     )
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost_percent: int = 30) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost_percent: int = 30, boilerplate: str = BOILERPLATE) -> DataFrame:
     """One row per input row: figures, the verdict and the cleaned text.
 
     Returns id_col, n_words, word_chars, n_symbols, n_dup_lines,
@@ -69,6 +69,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
         "all_lines",
         F.size("w").alias("n"),
         F.filter("all_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
+        F.transform("all_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]") & line_fails(x, boilerplate)).alias("fails"),
         F.when(
             F.size("w") > REPEAT_WINDOW,
             F.transform(
@@ -82,9 +83,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
         "t",
         "w",
         "n",
-        "all_lines",
         "lines",
-        F.filter("lines", line_fails).alias("failed"),
+        F.filter("all_lines", lambda x, i: F.get(F.col("fails"), i)).alias("failed"),
+        F.filter("all_lines", lambda x, i: ~F.get(F.col("fails"), i)).alias("stay"),
         # equal hashes are a rare hint; only such texts take the exact way
         F.when(
             F.size("h") > F.size(F.array_distinct("h")),
@@ -119,17 +120,14 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max
         F.size("lines").cast("long").alias("n_lines"),
         F.size("failed").cast("long").alias("n_lines_failed"),
         F.size(split_words(F.array_join("failed", "\n"), WS)).cast("long").alias("n_words_lost"),
-        "all_lines",
-        "failed",
+        F.array_join("stay", "\n").alias("clean_text"),
     )
     bad = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     lost = 100 * F.col("n_words_lost") > max_lost_percent * F.col("n_words")
     return s5.select(
         F.col("id").alias(id_col),
-        *[c for c in s5.columns if c not in ("id", "all_lines", "failed")],
+        *[c for c in s5.columns if c not in ("id", "clean_text")],
         bad.alias("base_failed"),
         (~bad & ~lost).alias("kept"),
-        F.when(F.size("failed") == 0, F.array_join("all_lines", "\n"))
-        .otherwise(F.array_join(F.filter("all_lines", lambda x: ~F.array_contains("failed", x)), "\n"))
-        .alias("clean_text"),
+        "clean_text",
     )

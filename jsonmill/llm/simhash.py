@@ -101,41 +101,54 @@ def group_bits(both: np.ndarray, n: int, m: int) -> list[list[int]]:
     return parts
 
 
-def estimated_cost(part: list[int], t: int, p: np.ndarray, n: int) -> float:
-    """Probes and candidate pairs of one part at threshold t, the bits taken as independent."""
+#: Fingerprints, those with the least hash, whose pairs are counted for the estimate.
+SAMPLE = 2048
+
+
+def estimated_cost(part: list[int], t: int, p: np.ndarray, n: int, sample: np.ndarray | None = None) -> float:
+    """Probes and candidate pairs of one part at threshold t.
+
+    The share of candidates is counted over the sample's pairs, as the bits of a
+    part belong together; without a sample they are taken as independent.
+    """
     if t < 0:
         return 0.0
+    probes = sum(comb(len(part), k) for k in range(t + 1))
+    if sample is not None and len(sample) > 1:
+        x = sample & np.uint64(sum(1 << b for b in part))
+        near = sum(int((np.bitwise_count(x[k + 1 :] ^ x[k]) <= t).sum()) for k in range(len(x) - 1))
+        return 40.0 * n * probes + n * (n - 1) * (near + 1) / (len(x) * (len(x) - 1) + 2)
     at_most = np.zeros(t + 1)
     at_most[0] = 1.0
     for b in part:
         q = 2 * p[b] * (1 - p[b])
         at_most[1:] = at_most[1:] * (1 - q) + at_most[:-1] * q
         at_most[0] *= 1 - q
-    probes = sum(comb(len(part), k) for k in range(t + 1))
     return 40.0 * n * probes + n * (n - 1) / 2 * at_most.sum()
 
 
-def allocate(parts: list[list[int]], p: np.ndarray, n: int, radius: int = RADIUS) -> tuple[float, list[int]]:
+def allocate(parts: list[list[int]], p: np.ndarray, n: int, radius: int = RADIUS, sample: np.ndarray | None = None) -> tuple[float, list[int]]:
     """The thresholds >= -1 with sum radius - m + 1 at the least estimated cost, by dynamic programming."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for part in parts:
+        cost = {t: estimated_cost(part, t, p, n, sample) for t in range(-1, radius + 1)}
         now: dict[int, tuple[float, list[int]]] = {}
         for s, (c, ts) in best.items():
             for t in range(-1, radius + 1):
-                x = (c + estimated_cost(part, t, p, n), [*ts, t])
+                x = (c + cost[t], [*ts, t])
                 if s + t not in now or x[0] < now[s + t][0]:
                     now[s + t] = x
         best = now
     return best[radius - len(parts) + 1]
 
 
-def plan_parts(both: np.ndarray, n: int, radius: int = RADIUS) -> list[tuple[list[int], int]]:
+def plan_parts(both: np.ndarray, n: int, radius: int = RADIUS, sample: np.ndarray | None = None) -> list[tuple[list[int], int]]:
     """(bits, threshold) of the cheapest partitioning into 2 to radius + 2 parts, parts at -1 left out."""
     p = np.diag(both) / max(n, 1)
     found = []
     for m in range(2, radius + 3):
         parts = group_bits(both, n, m)
-        cost, ts = allocate(parts, p, n, radius)
+        cost, ts = allocate(parts, p, n, radius, sample)
         found.append((cost, m, [(a, t) for a, t in zip(parts, ts, strict=True) if t >= 0]))
     return min(found, key=lambda x: x[:2])[2]
 
@@ -250,7 +263,8 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     A bucket gives a spanning forest of its links, not all of its pairs.
     """
     n = nodes.count()
-    parts = plan_parts(bit_counts(nodes), n, radius)
+    some = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
+    parts = plan_parts(bit_counts(nodes), n, radius, np.array([r["fp"] for r in some], dtype="<i8").view("<u8"))
     rows = nodes.select("id", "fp").mapInArrow(_probe_batches(parts), "part int, value long, id long, fp long, is_index boolean")
     rows = rows.withColumn("sub", F.lit(0))
     hot = materialize(
@@ -322,7 +336,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each group of near-duplicates, that with the least id; rows without an id stay."""
+    """docs with one row of each group of near-duplicates, that with the least id; columns unchanged.
+
+    Rows without an id stay.  Of rows that repeat the kept id one stays, that
+    with the least hash of its text (equal texts: any).  Null and empty texts
+    are duplicates of each other; an empty table stays empty.
+    """
     found = materialize(near_duplicates(docs, id_col, text_col, radius).select(F.col(id_col).cast("long").alias("id"), "component_id"), "near-dup")
     gone = fresh(docs, "gone")
     drop = materialize(found.filter("id <> component_id").select(F.col("id").alias(gone)).distinct(), "near-dup-gone")
@@ -335,5 +354,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     from pyspark.sql import Window
 
     repeated = out.join(again, out[id_col] == F.col(gone), "left_semi")
-    first = repeated.withColumn(n, F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))).filter(F.col(n) == 1).drop(n)
+    first = repeated.withColumn(n, F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col))).filter(F.col(n) == 1).drop(n)
     return out.join(again, out[id_col] == F.col(gone), "left_anti").unionByName(first)

@@ -19,7 +19,7 @@ n AS (SELECT r, count(DISTINCT i + k) AS n FROM d, range(5) AS q(k) GROUP BY r),
 a AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(length(array_to_string(w, '')), 0)::BIGINT AS word_chars,
   len(regexp_extract_all(t, '{SYMBOLS}'))::BIGINT AS n_symbols,
   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
-  len(lines)::BIGINT AS n_lines, len(failed)::BIGINT AS n_lines_failed,
+  len(lines)::BIGINT AS n_lines, len(failed)::BIGINT AS n_lines_failed, coalesce(length(array_to_string(list_filter(string_split(t, chr(10)), lambda x: NOT list_contains(failed, x)), chr(10))), 0)::BIGINT AS clean_chars,
   coalesce(list_sum(list_transform(failed, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))), 0)::BIGINT AS n_words_lost
   FROM f LEFT JOIN n USING (r))
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,

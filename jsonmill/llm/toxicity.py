@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -173,12 +173,27 @@ def training_ids(labels: DataFrame, id_col: str = "doc_id", label_col: str = "to
     return own.groupBy(F.col(id_col).alias("label_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic")).orderBy(F.xxhash64("label_id"), "label_id").limit(rows)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS) -> Model:
-    """The model from the bounded training sample; without labels of both kinds the built-in one."""
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    rows: int = FIT_ROWS,
+    seeds: Sequence[str] = tuple(SEEDS),
+    exceptions: tuple[str, ...] = EXCEPTIONS,
+) -> Model:
+    """The model from the bounded training sample; without labels of both kinds the seeds with one weight.
+
+    seeds and exceptions are the lexicon to start from, in any languages; the
+    built-in ones are English.  Null ids and labels teach nothing; an id with
+    several labels is toxic if one of them says so.
+    """
     small_batches(docs.sparkSession)
     ids = F.broadcast(training_ids(labels, id_col, label_col, rows))  # `rows` pairs of numbers at most
-    sample = materialize(docs.join(ids, docs[id_col] == ids["label_id"]).select(F.col(text_col).alias("t"), "toxic"), "toxicity-sample")
-    model = Model()
+    own = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t"))
+    sample = materialize(own.join(ids, F.col("doc") == F.col("label_id")).select("t", "toxic"), "toxicity-sample")
+    model = Model(dict.fromkeys(seeds, UNSEEN_WEIGHT), exceptions=exceptions)
     sent = sample.mapInArrow(releasing(_count_batches(model)), "kind string, word string, toxic int, n long")
     of = lambda y: F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0))
     counts = materialize(sent.groupBy("kind", "word").agg(of(1).alias("k1"), of(0).alias("k0")), "toxicity-counts")
@@ -186,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n1, n0 = texts.get("t", (0, 0))
     if not n1 or not n0:
         return model
-    folded = {fold(w): w for w in SEEDS}
+    folded = {fold(w): w for w in seeds}
     for r in counts.filter("kind = 'w'").collect():  # at most one row for each seed
         model.weights[folded[r["word"]]] = min(8.0, float(np.log((r["k1"] + 0.5) / (n1 + 1)) - np.log((r["k0"] + 0.5) / (n0 + 1))))
     model.weights = {k: w for k, w in model.weights.items() if w > 0.5}
@@ -247,7 +262,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows that score 0.5 or more, columns unchanged."""
+    """docs without the rows that score 0.5 or more, columns unchanged.
+
+    Null and empty texts and rows without an id stay if clean text does;
+    repeated rows are judged each; an empty table stays empty; columns of any
+    name pass through.
+    """
     model = fit(docs, labels, id_col, text_col)
     names = [f"c{k}" for k in range(len(docs.columns))]
     scored = docs.toDF(*names).mapInArrow(

@@ -28,7 +28,8 @@ TYPES = {"warcinfo", "response", "resource", "request", "metadata", "revisit", "
 DATE = "2024-01-01T00:00:00Z"
 ID_PREFIX = "urn:jsonmill:page:"
 
-RECORDS_PER_FILE = 2000
+#: Records of a file, and bytes of their payloads, at most: a file is read back whole.
+RECORDS_PER_FILE, BYTES_PER_FILE = 2000, 1 << 28
 #: The table of payloads that occur more than once is sent to all executors only up to so many rows.
 BROADCAST_ROWS = 500_000
 
@@ -126,7 +127,7 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
 
 
 #: Bytes of a gzip member that are decompressed at once.
-PIECE = 1 << 16
+FIRST_PIECE, PIECE = 1 << 10, 1 << 16
 
 
 def _inflate(data: bytes, at: int, want: int | None = None) -> tuple[bytes, int, str | None]:
@@ -134,9 +135,11 @@ def _inflate(data: bytes, at: int, want: int | None = None) -> tuple[bytes, int,
 
     With `want` it ends at the first byte that brings so much content.
     """
-    d, out, size, view = zlib.decompressobj(31), [], 0, memoryview(data)
+    d, out, size, view, step = zlib.decompressobj(31), [], 0, memoryview(data), FIRST_PIECE
     while at < len(data) and not d.eof:
-        before, piece = d.copy(), view[at : at + PIECE]
+        # pieces grow, so that a small member does not drag what follows along as unused data
+        before, piece = d.copy(), view[at : at + step]
+        step = min(4 * step, PIECE)
         try:
             got = d.decompress(piece)
             if want is None or size + len(got) < want:
@@ -249,8 +252,9 @@ def write_archives(
     largest id are responses and the others revisit it.  A null payload is
     empty, a null url leaves its field out, a null id is the smallest of all
     (and a response only if no row with that payload has an id); repeated rows
-    are records of their own.  Only digests are shuffled, never payloads, as
-    long as the repeated digests are few.
+    are records of their own; an empty table gives a folder without records.
+    Only digests are shuffled, never payloads, as long as the repeated digests
+    are few.  A file has as many records as BYTES_PER_FILE holds of the longest.
     """
     p = pages.select(
         F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload")
@@ -270,7 +274,8 @@ def write_archives(
         "id", "url", "payload", "top", (F.col("top").isNotNull() & ~F.col("id").eqNullSafe(F.col("top"))).alias("revisit")
     )
     text = rows.mapInArrow(_record_batches, "value binary").select(F.col("value").cast("string"))
-    text.write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    longest = p.agg(F.max(F.octet_length("payload"))).first()[0] or 1
+    text.write.option("lineSep", "\n").option("maxRecordsPerFile", max(1, min(RECORDS_PER_FILE, BYTES_PER_FILE // longest))).text(path)
 
 
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +303,11 @@ NAMES = ["file", "offset", "size", "gap_reason", "page_id", "record_type", "url"
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row per record, and per quarantined gap one with gap_reason and the bytes' offset and size."""
+    """A row per record, and per quarantined gap one with gap_reason and the bytes' offset and size.
+
+    An empty folder gives none; records() and gaps() tell the two apart.  Files
+    may be plain or gzip, of one record a member or many.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(
         _read_batches,
@@ -306,5 +315,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def records(read: DataFrame) -> DataFrame:
+    """The records of read_archives()."""
+    return read.filter("gap_reason IS NULL")
+
+
+def gaps(read: DataFrame) -> DataFrame:
+    """The quarantine log: file, offset, size and gap_reason of the bytes that were left out."""
+    return read.filter("gap_reason IS NOT NULL").select("file", "offset", "size", "gap_reason")
+
+
 def archive_path(spark: SparkSession) -> str:
     return fresh_path(spark, "warc")

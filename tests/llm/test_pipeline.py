@@ -78,3 +78,21 @@ def test_run_equals_the_stages(spark, stages):
     sf, out = stages
     count = lambda df: defaultdict(int, {r.doc_id: r["sum(length)"] for r in df.groupBy("doc_id").sum("length").collect()})
     assert count(corpus_pipeline.run(spark, sf)) == count(out[5])
+
+
+NAMES = "n_lines N_Lines_Dropped text_before __bp_keys __BP_host __parts __left host key id label_id Toxic score n_hits fp component_id __gone __n bad __bad row h iv items c0 t start offset".split()
+
+
+def test_columns_of_any_name_pass_through(spark):
+    rows = [(k, None if k == 3 else f"Menu of the site\nline {k} of its own, with the words {k * 7} and {k * 11}", f"s{k % 2}", k, *[f"{n}-{k}" for n in NAMES]) for k in range(24)]
+    rows.append((None, "Menu of the site", None, None, *[None] * len(NAMES)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in NAMES))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        got = out.collect()
+        assert got and all(r[n] == (None if r.doc_id is None else f"{n}-{r.doc_id}") for r in got for n in NAMES), name
+        if name == "line_dedup":
+            assert all(not r.text.startswith("Menu") and r.n_chars == len(r.text) for r in got if r.doc_id not in (3, None)) and len(got) == len(rows)
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
+    assert corpus_pipeline.packing(spark, docs, "/root/testdata/sf0.001").select("doc_id").distinct().count() == len(rows)
