@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from jsonmill.llm.common import materialize, table
 from jsonmill.llm.decontaminate import remove_documents
-from jsonmill.llm.line_dedup import line_dedup as drop_lines
+from jsonmill.llm.line_dedup import drop_lines
 from jsonmill.llm.packing import pack
 from jsonmill.llm.simhash import keep_one
 from jsonmill.llm.toxicity import remove_toxic
@@ -28,11 +28,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are boilerplate of their source go; every document stays, its n_chars follows its text."""
-    out = drop_lines(docs)
-    if "n_chars" in docs.columns:
-        size = F.char_length("text").cast(dict(docs.dtypes)["n_chars"])
-        out = out.withColumn("n_chars", F.when(F.col("n_lines_dropped") > 0, size).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return drop_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
