@@ -54,8 +54,8 @@ def for_each_member(df: DataFrame, json: Column, alias: str = "member") -> DataF
 
 def variant_members(df: DataFrame, v: str) -> DataFrame:
     """pos, key, value of a VARIANT's children without Python: keys sorted, the last of equal ones."""
-    df.createOrReplaceTempView("__jsonmill_members")
-    return df.sparkSession.sql(f"SELECT t.*, m.pos, m.key, m.value FROM __jsonmill_members t, LATERAL variant_explode(t.{v}) m")
+    name = v.replace("`", "``").replace("{", "{{").replace("}", "}}")
+    return df.sparkSession.sql("SELECT t.*, m.pos, m.key, m.value FROM {rows} t, LATERAL variant_explode(t.`" + name + "`) m", rows=df)
 
 
 def take_while(items: Column, holds) -> Column:

@@ -196,8 +196,7 @@ def tokens(spark, table):
 @query("SELECT event_id, unnest([0, 1, 2, 3])::BIGINT AS ord, unnest([0, 1, 1, 0])::BIGINT AS depth FROM events")
 def token_table(spark, table):
     iterate.register_udtf(spark)
-    props(table).createOrReplaceTempView("__jsonmill_props")
-    return spark.sql("SELECT event_id, CAST(t.ord AS bigint) AS ord, CAST(t.depth AS bigint) AS depth FROM __jsonmill_props, LATERAL json_tokens(props) t")
+    return spark.sql("SELECT event_id, CAST(t.ord AS bigint) AS ord, CAST(t.depth AS bigint) AS depth FROM {rows}, LATERAL json_tokens(props) t", rows=props(table))
 
 
 @query("SELECT event_id, unnest([props, event_id::VARCHAR, '\"a b\"', '[]']) AS value FROM events")

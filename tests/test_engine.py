@@ -274,3 +274,10 @@ def test_a_cluster_needs_a_shared_folder():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Fake("spark://host:7077"))
     assert shared_folder(Fake("spark://host:7077", "hdfs://a/b/")) == "hdfs://a/b"
+
+
+def test_variant_members_side_by_side(spark):
+    one = spark.createDataFrame([(1, '{"a":1}')], "id int, j string").select("id", F.parse_json("j").alias("odd {name}"))
+    two = spark.createDataFrame([(2, '[5,6]')], "id int, j string").select("id", F.parse_json("j").alias("v"))
+    a, b = iterate.variant_members(one, "odd {name}"), iterate.variant_members(two, "v")
+    assert [(r.id, r.key) for r in a.collect()] == [(1, "a")] and [(r.id, r.pos) for r in b.collect()] == [(2, 0), (2, 1)]
