@@ -274,12 +274,13 @@ def omit_by_type(spark, table):
     return rows.select("event_id", encode.object_of(*[(c, F.col(c), "omitzero") for c in ("f", "s", "z", "zero")], df=rows).alias("doc"))
 
 
-@query("SELECT event_id, event_id % 4 < 2 AS good FROM events")
+@query("SELECT s_suppkey AS suppkey, s_suppkey % 4 < 2 AS good FROM supplier")
 def deep_documents(spark, table):
-    depth = F.element_at(F.array(*map(F.lit, (3, 1500, 10_001, 700))), (F.col("event_id") % 4 + 1).cast("int"))
-    doc = F.concat(F.repeat(F.lit("["), depth), F.repeat(F.lit("]"), depth), F.when(F.col("event_id") % 4 == 3, "]").otherwise(""))
-    good, bad = ndjson.good_and_bad(table("events").select("event_id", doc.alias("doc")), "doc")
-    return good.select("event_id", F.lit(True).alias("good")).unionByName(bad.select("event_id", F.lit(False).alias("good")))
+    key = F.col("s_suppkey")
+    depth = F.element_at(F.array(*map(F.lit, (3, 1500, 10_001, 700))), (key % 4 + 1).cast("int"))
+    doc = F.concat(F.repeat(F.lit("["), depth), F.repeat(F.lit("]"), depth), F.when(key % 4 == 3, "]").otherwise(""))
+    good, bad = ndjson.good_and_bad(table("supplier").select(key.alias("suppkey"), doc.alias("doc")), "doc")
+    return good.select("suppkey", F.lit(True).alias("good")).unionByName(bad.select("suppkey", F.lit(False).alias("good")))
 
 
 @query("SELECT c_custkey AS custkey, '\"' || replace(replace(replace(c_name, '#', '\\u0000'), 'C', '\\u003c'), 'r', '\\\\') || '\"' AS literal FROM customer")
