@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from .. import strict
 from ..operators.encode import STD, Options, marshal
-from ..operators.exact import column
+from ..operators.exact import as_bytes, column
+from ..operators.rewrite import quote
 
 _ENCODERS: dict[str, Callable[[Column], Column]] = {}
 
@@ -25,7 +26,7 @@ def encode_as(name: str, value: Column) -> Column:
 
 
 def append_string(c: Column, options: Options = STD) -> Column:
-    return column(lambda t: strict.quote(t, options.escape_html), "string")(c)
+    return quote(c, options.escape_html)
 
 
 def append_int(c: Column) -> Column:
@@ -44,9 +45,19 @@ def append_bool(c: Column) -> Column:
     return F.when(c, "true").when(~c, "false")
 
 
-def marshaler(fn: Callable, returns: str = "string") -> Callable[..., Column]:
-    """A user's Python conversion, Arrow-batched; text it gives is compacted and checked by compact_exact."""
-    return column(fn, returns)
+def marshaler(fn: Callable, options: Options = STD) -> Callable[..., Column]:
+    """A user's conversion to JSON text, Arrow-batched; its text is checked, compacted and escaped, and ends the query if it is no document."""
+
+    def run(*args) -> str:
+        text = strict.compact(as_bytes(fn(*args)))
+        return strict.repair(strict.escape_html(text) if options.escape_html else text)
+
+    return column(run, "string")
+
+
+def text_marshaler(fn: Callable, options: Options = STD) -> Callable[..., Column]:
+    """A user's conversion to text, which is written as a string."""
+    return column(lambda *args: strict.quote(fn(*args), options.escape_html), "string")
 
 
 def struct_encoder(schema: str | T.StructType, options: Options = STD) -> Callable[[Column], Column]:

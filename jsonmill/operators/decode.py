@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import datetime
+import re
+from collections.abc import Callable, Collection, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -36,6 +38,7 @@ class Field:
 @dataclass(frozen=True)
 class Schema:
     fields: tuple[Field, ...] = field(default=())
+    name: str = ""
 
     def plan(self) -> list[Field]:
         """The fields that count: of one name the shallowest; then the one that is tagged; else none of them."""
@@ -68,8 +71,8 @@ class Schema:
         return T.StructType([T.StructField(f.name, T._parse_datatype_string(f.kind)) for f in self.plan()])
 
 
-def schema(*fields: tuple | Field) -> Schema:
-    return Schema(tuple(f if isinstance(f, Field) else Field(*f) for f in fields))
+def schema(*fields: tuple | Field, name: str = "") -> Schema:
+    return Schema(tuple(f if isinstance(f, Field) else Field(*f) for f in fields), name)
 
 
 def unmarshal(json: Column, ddl: str) -> Column:
@@ -81,24 +84,75 @@ def unmarshal(json: Column, ddl: str) -> Column:
     return F.when(is_valid(json), F.from_json(json, ddl, {"mode": "PERMISSIVE", "allowNonNumericNumbers": "false", "allowSingleQuotes": "false"}))
 
 
+def decode_value(v: Column, ddl: str) -> Column:
+    """A part of a parsed document, or all of it, as any type; null for a null VARIANT and what does not fit.
+
+    The text is not read again: only the part is written and decoded, inside
+    whole-stage code.  For the first misfit, give to_json of it to unmarshal_detail.
+    """
+    boxed = F.concat(F.lit('{"v":'), F.to_json(v), F.lit("}"))
+    return F.from_json(boxed, f"v {ddl}", {"mode": "PERMISSIVE", "allowNonNumericNumbers": "false"})["v"]
+
+
 def unknown_fields(json: Column, *names: str) -> Column:
     """The keys of an object that no name fits, in either case."""
     known = F.array(*[F.lit(n.lower()) for n in names])
     return F.filter(F.json_object_keys(json), lambda k: ~F.array_contains(known, F.lower(k)))
 
 
+_RFC3339 = re.compile(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)", re.A)
 _RANGES = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
 
 
+@dataclass(frozen=True)
+class Misfit:
+    """A value that does not fit: what it is, the type wanted, the path of struct fields, and the way to it (None: no position)."""
+
+    what: str
+    kind: str
+    names: str
+    trail: tuple[str | int, ...] | None
+    depth: int
+
+    def offset(self, data: bytes) -> int:
+        """After the value; of an object or array, after its bracket; 0 without a position."""
+        if self.trail is None:
+            return 0
+        at, end, plain = strict._skip(data, 0), len(data.rstrip(strict.WHITE)), strict._plain(data)
+        for part in self.trail:
+            for n, (key, a, z) in enumerate(strict.members(data, at, plain)):
+                # of equal keys the last was read
+                if n == part if key is None else strict.unquote(data[key[0] : key[1]]) == part:
+                    hit = a, z
+            at, end = hit
+        return at + 1 if data[at] in b"[{" else end
+
+
 class _Reader:
     """Walks a parsed tree along a type; the first misfit is kept and the rest still read."""
 
-    def __init__(self, disallow_unknown: bool = False) -> None:
+    def __init__(self, disallow_unknown: bool = False, hooks: Collection[str] = ()) -> None:
+        self.hooks = hooks
         self.error: str | None = None
+        self.misfit: Misfit | None = None
         self.disallow_unknown = disallow_unknown
-
-    def fail(self, what: str, path: str, kind: str) -> None:
-        self.error = self.error or f"cannot decode {what} into {f'field {path} of type ' if path else ''}{kind}"
+        self.trail: list[str | int] = []  # keys and positions down to where the reader is
+        self.names: list[str] = []  # the struct fields among them
+
+    def fail(self, what: str, path: str, kind: str, placed: bool = True) -> None:
+        if self.error is None:
+            self.error = f"cannot decode {what} into {f'field {path} of type ' if path else ''}{kind}"
+            self.misfit = Misfit(what, kind, ".".join(self.names), tuple(self.trail) if placed else None, len(self.names))
+
+    def child(self, key: str | int, v: Any, kind: T.DataType, path: str, string: bool = False, name: str | None = None) -> Any:
+        self.trail.append(key)
+        if name is not None:
+            self.names.append(name)
+        out = self.read(v, kind, path, string)
+        self.trail.pop()
+        if name is not None:
+            self.names.pop()
+        return out
 
     def read(self, v: Any, kind: T.DataType, path: str, string: bool = False) -> Any:
         if v is None:
@@ -149,7 +203,7 @@ class _Reader:
             except ValueError:
                 return self.fail("string", path, name)
         if isinstance(kind, T.ArrayType):
-            return [self.read(x, kind.elementType, path) for x in v] if isinstance(v, list) else self.fail(_what(v), path, name)
+            return [self.child(n, x, kind.elementType, path) for n, x in enumerate(v)] if isinstance(v, list) else self.fail(_what(v), path, name)
         if isinstance(kind, T.MapType):
             if not isinstance(v, dict):
                 return self.fail(_what(v), path, name)
@@ -158,18 +212,18 @@ class _Reader:
                 key: Any = k
                 if not isinstance(kind.keyType, T.StringType):
                     try:
-                        key = self.read(strict.Number(k), kind.keyType, path) if k.lstrip("-").isdigit() else self.fail(f"key {k!r}", path, name)
+                        key = self.read(strict.Number(k), kind.keyType, path) if k.lstrip("-").isdigit() else self.fail(f"key {k!r}", path, name, placed=False)
                     except ValueError:
-                        key = self.fail(f"key {k!r}", path, name)
+                        key = self.fail(f"key {k!r}", path, name, placed=False)
                     if key is None:
                         continue
-                out[key] = self.read(x, kind.valueType, f"{path}.{k}" if path else k)
+                out[key] = self.child(k, x, kind.valueType, f"{path}.{k}" if path else k)
             return out
         if isinstance(kind, T.StructType):
             return self.struct(v, [Field(f.name, f.dataType.simpleString()) for f in kind.fields], kind, path)
         if isinstance(kind, T.TimestampType):
             try:
-                return datetime.datetime.fromisoformat(v)
+                return datetime.datetime.fromisoformat(v) if _RFC3339.fullmatch(v) else self.fail(_what(v), path, name)
             except (TypeError, ValueError):
                 return self.fail(_what(v), path, name)
         return self.fail(_what(v), path, name)
@@ -189,7 +243,9 @@ class _Reader:
                     self.error = self.error or f"unknown field {key!r}"
                 continue
             f = fields[k]
-            out[f.name] = self.read(x, kind.fields[k].dataType, f"{path}.{f.name}" if path else f.name, f.string)
+            if f.name in self.hooks and not path:
+                continue
+            out[f.name] = self.child(key, x, kind.fields[k].dataType, f"{path}.{f.name}" if path else f.name, f.string, f.name)
         return out
 
 
@@ -202,35 +258,90 @@ def _what(v: Any) -> str:
     return "bool" if isinstance(v, bool) else "number" if isinstance(v, strict.Number) else "string" if isinstance(v, str) else "array" if isinstance(v, list) else "object"
 
 
-def unmarshal_exact(json: Column, target: Schema | str, disallow_unknown: bool = False) -> Column:
-    """struct<value, error>: the decoded struct and the first misfit.
+DETAIL = "what string, type string, struct string, field string, offset long"
 
-    Names fit exactly or else in either case; a misfit leaves its field null and
-    the others are read; text that is no document gives no value.
-    """
+
+def _hooked(data: bytes, hooks: Mapping[str, Callable[[str], Any]]) -> dict[str, Any]:
+    """What the hooks make of the raw text of their fields; a field that is not there is not asked for."""
+    at, plain, out = strict._skip(data, 0), strict._plain(data), {}
+    if data[at : at + 1] != b"{":
+        return out
+    folded = {_fold(n): n for n in hooks}
+    for key, a, z in strict.members(data, at, plain):
+        text = strict.unquote(data[key[0] : key[1]])
+        name = text if text in hooks else folded.get(_fold(text))
+        if name is not None:
+            out[name] = strict.repair(data[a:z])
+    return {n: hooks[n](raw) for n, raw in out.items()}
+
+
+def _decoder(target: Schema | str, disallow_unknown: bool, hooks: Mapping[str, Callable[[str], Any]], detail: bool) -> Callable[[Column], Column]:
     if isinstance(target, Schema):
-        fields, kind = target.plan(), target.struct()
+        fields, kind, title = target.plan(), target.struct(), target.name
     else:
         kind = T._parse_datatype_string(target)
-        fields = [Field(f.name, f.dataType.simpleString()) for f in kind.fields]
+        fields, title = [Field(f.name, f.dataType.simpleString()) for f in kind.fields], ""
 
     def run(rows: pd.Series) -> pd.DataFrame:
-        values, errors = [], []
+        out = []
         for j in rows:
-            value, error = None, None
+            value, error, more = None, None, (None,) * 5
             if j is not None:
+                data = j.encode() if isinstance(j, str) else bytes(j)
                 try:
-                    reader = _Reader(disallow_unknown)
-                    value = reader.struct(strict.decode(j.encode() if isinstance(j, str) else bytes(j), True), fields, kind, "")
-                    error = reader.error
+                    reader = _Reader(disallow_unknown, hooks)
+                    value = reader.struct(strict.decode(data, True), fields, kind, "")
+                    if hooks and value is not None:
+                        value |= _hooked(data, hooks)
+                    error, m = reader.error, reader.misfit
+                    if detail and m is not None:
+                        # the innermost struct's name: only the outermost has one
+                        more = (m.what, m.kind, title if m.depth == 1 else "", m.names, m.offset(data))
                 except strict.JsonError as e:
-                    error = e.message
-            values.append(value)
-            errors.append(error)
-        return pd.DataFrame({"value": pd.Series(values, dtype=object), "error": pd.Series(errors, dtype=object)})
+                    error, more = e.message, (None, None, None, None, e.offset)
+            out.append((value, error, *more))
+        names = ("value", "error", "what", "type", "struct", "field", "offset")[: 7 if detail else 2]
+        return pd.DataFrame({n: pd.Series([r[k] for r in out], dtype=object) for k, n in enumerate(names)})
 
     run.__annotations__ = {"rows": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(run, T.StructType([T.StructField("value", kind), T.StructField("error", T.StringType())]))(json)
+    more = T._parse_datatype_string(DETAIL).fields if detail else []
+    return F.pandas_udf(run, T.StructType([T.StructField("value", kind), T.StructField("error", T.StringType()), *more]))
+
+
+def unmarshal_exact(json: Column, target: Schema | str, disallow_unknown: bool = False, hooks: Mapping[str, Callable[[str], Any]] | None = None) -> Column:
+    """struct<value, error>: the decoded struct and the first misfit.
+
+    Names fit exactly or else in either case; a misfit leaves its field null and
+    the others are read; text that is no document gives no value.  hooks: fields
+    of the document's object that a function decodes from their raw text, 'null'
+    too; what it raises ends the query, other than a JsonError, which is the error.
+    """
+    return _decoder(target, disallow_unknown, hooks or {}, False)(json)
+
+
+def unmarshal_detail(json: Column, target: Schema | str, disallow_unknown: bool = False) -> Column:
+    """unmarshal_exact with the misfit in parts: struct<value, error, what, type, struct, field, offset>.
+
+    what: the kind of the JSON value, a number with its digits; type: the one
+    wanted; struct: the schema's name, '' if the misfit is in a struct within
+    it; field: its path of struct fields; offset: after the value, or after the
+    bracket of an object or array, 0 for a map's key.  Of text that is no
+    document only error and offset are told; of an unknown field only error.
+    """
+    return _decoder(target, disallow_unknown, {}, True)(json)
+
+
+def text_hook(fn: Callable[[str], Any]) -> Callable[[str], Any]:
+    """A hook for unmarshal_exact that is given the text of a string; null stays null, other values are the row's error."""
+
+    def run(raw: str) -> Any:
+        if raw == "null":
+            return None
+        if not raw.startswith('"'):
+            raise strict.TypeFault(f"cannot decode {strict.kind_at(raw.encode(), 0)} into text")
+        return fn(strict.unquote(raw.encode()))
+
+    return run
 
 
 def with_defaults(value: Column, **defaults: Any) -> Column:

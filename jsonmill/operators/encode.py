@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from .. import strict
 from ..strict import FAST, STD, Options
 from .exact import column
-from .rewrite import html_escape, line_escape, lower_hex
+from .rewrite import compact, html_escape, line_escape, lower_hex
 
 __all__ = ["FAST", "STD", "Options", "marshal", "marshal_any", "marshal_exact", "marshal_in", "marshal_indent", "marshal_to", "object_of", "sort_map_keys"]
 
@@ -172,19 +172,33 @@ def _omitted(col: Column, rule: list[str]) -> Column:
     return col.isNull() | zero | (kind.startswith("struct<") & text.rlike(_ZERO_STRUCT) & ~text.contains("{}"))
 
 
+_NUMBER = r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\z"
+
+
+def _checked(col: Column, text: Column, message: str) -> Column:
+    return F.when(col.isNull(), "null").when(text.isNotNull(), text).otherwise(F.raise_error(F.concat(F.lit(message), F.left(col, F.lit(80)))).cast("string"))
+
+
 def object_of(*fields: tuple, options: Options = STD, df: DataFrame | None = None) -> Column:
     """JSON of an object built field by field: (name, column), or (name, column, rule).
 
     Rules: 'omitempty' leaves the field out if it is null, false, 0, '' or an
     empty array or map (a struct never is empty); 'omitzero' if it is null or
     the zero of its type, for a struct all fields zero (empty collections stay);
-    'string' writes the value inside a string.  df, the rows that the columns
+    'string' writes the value inside a string; 'number' writes the digits that a
+    text holds (none: 0) and 'raw' the document that it holds, compacted, and
+    both end the query if it holds none.  df, the rows that the columns
     belong to, is needed for floats and other types that marshal cannot write.
     """
     parts = []
     for name, col, *rule in fields:
         key = F.lit(strict.quote(name, options.escape_html) + ":")
-        text = marshal_in(df, col, options) if df is not None else marshal(col, options)
+        if "number" in rule:
+            text = _checked(col, F.when(col == "", "0").when(col.rlike(_NUMBER), col), "invalid number literal: ")
+        elif "raw" in rule:
+            text = _checked(col, html_escape(compact(col)) if options.escape_html else line_escape(compact(col)), "invalid raw value: ")
+        else:
+            text = marshal_in(df, col, options) if df is not None else marshal(col, options)
         if "string" in rule:
             text = F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
         entry = F.concat(key, F.coalesce(text, F.lit("null")))

@@ -39,7 +39,7 @@ def _members(j):
         return None
     return [
         {"pos": n, "key": strict.unquote(data[k[0] : k[1]]) if k else None, "value": strict.repair(data[a:z])}
-        for n, (k, a, z) in enumerate(strict.members(data, e[0]))
+        for n, (k, a, z) in enumerate(strict.members(data, e[0], strict._plain(data)))
     ]
 
 

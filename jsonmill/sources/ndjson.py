@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import strict
+from ..operators import rewrite
+from ..operators.encode import STD, Options, marshal_in
 from ..operators.validate import is_valid
 
 
@@ -102,6 +104,17 @@ def write_lines(df: DataFrame, json: str, path: str, mode: str = "errorifexists"
     df.select(F.col(json).cast("string").alias("value")).write.mode(mode).text(path)
 
 
+def marshal_write(df: DataFrame, value: Column, path: str, options: Options = STD, separator: str = " ", indent: str | None = None, mode: str = "errorifexists") -> None:
+    """The JSON of a column of any type, one value after another without line ends: read_values reads it back.
+
+    indent: an element a line, by this text.
+    """
+    json = marshal_in(df, value, options)
+    if indent is not None:
+        json = rewrite.indent(json, by=indent)["value"]
+    df.select(json.alias("value")).write.mode(mode).option("lineSep", separator).text(path)
+
+
 def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """A streaming DataFrame of the lines that come into a folder."""
     reader = spark.readStream.format("text")

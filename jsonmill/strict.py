@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json as _json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -21,6 +21,7 @@ KINDS = ("invalid", "null", "bool", "number", "string", "array", "object")
 _SPACE = re.compile(rb"[ \t\n\r]*")
 _NUMBER = re.compile(rb"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
 _STRING = re.compile(rb'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"')
+_BRACKET = re.compile(rb'"(?:[^"\\]|\\.)*+"|[\[\]{}]', re.S)
 _LOOSE_STRING = re.compile(rb'"(?:[^"\\]|\\.)*+"', re.S)
 _LITERAL = {b"t": b"true", b"f": b"false", b"n": b"null"}
 
@@ -183,8 +184,53 @@ def tokens(data: bytes, at: int = 0, whole: bool = True, max_depth: int = MAX_DE
                 raise SyntaxFault(f"invalid character {_char(data, at)} after {'object key:value pair' if inside == 0x7B else 'array element'}", at + 1)
 
 
+def _refuse(word: str) -> None:
+    raise ValueError(word)
+
+
+class _Scanner:
+    """The standard library's scanner, over Latin-1 text, in which a character is a byte; made anew where it is sent to."""
+
+    def __init__(self) -> None:
+        self.scan = _json.JSONDecoder(parse_int=float, parse_constant=_refuse).scan_once
+
+    def __reduce__(self) -> tuple:
+        return _Scanner, ()
+
+
+_SCANNER = _Scanner()
+_PLAIN_DEPTH = 500
+
+
+def _plain(data: bytes) -> str | None:
+    """The document as Latin-1 text if the standard scanner takes it whole; None says nothing, the exact reader decides."""
+    if data.count(b"[") + data.count(b"{") > _PLAIN_DEPTH and _depth(data) > _PLAIN_DEPTH:
+        return None
+    text = data.decode("latin-1")
+    try:
+        end = _SCANNER.scan(text, _skip(data, 0))[1]
+    except (ValueError, StopIteration, RecursionError):
+        return None
+    return text if _skip(data, end) == len(data) else None
+
+
+def _depth(data: bytes) -> int:
+    """The nesting by brackets outside strings."""
+    deepest = now = 0
+    for m in _BRACKET.finditer(data):
+        b = m[0][0]
+        if b in b"[{":
+            now += 1
+            deepest = max(deepest, now)
+        elif b in b"]}":
+            now -= 1
+    return deepest
+
+
 def check(data: bytes) -> JsonError | None:
     """The first fault of a document, or None."""
+    if _plain(data) is not None:
+        return None
     try:
         for _ in tokens(data):
             pass
@@ -355,8 +401,24 @@ def kind_at(data: bytes, at: int) -> str:
     return {b"{": "object", b"[": "array", b'"': "string", b"t": "bool", b"f": "bool", b"n": "null"}.get(b, "number" if b and b in b"-0123456789" else "invalid")
 
 
-def members(data: bytes, at: int) -> Iterator[tuple[tuple[int, int] | None, int, int]]:
-    """(extent of the key or None, start, end) of each child of the container at `at`, in document order, duplicates too."""
+def members(data: bytes, at: int, plain: str | None = None) -> Iterator[tuple[tuple[int, int] | None, int, int]]:
+    """(extent of the key or None, start, end) of each child of the container at `at`, in document order, duplicates too.
+
+    plain: what _plain gave for the document, whose scalars and containers are then passed over in one step.
+    """
+    if plain is not None:
+        key, is_object = None, data[at] == 0x7B
+        at = _skip(data, at + 1)
+        while data[at] not in b"]}":
+            if is_object:
+                key = (at, _STRING.match(data, at).end())
+                at = _skip(data, _skip(data, key[1]) + 1)
+            end = _SCANNER.scan(plain, at)[1]
+            yield key, at, end
+            at = _skip(data, end)
+            if data[at] == 0x2C:
+                at = _skip(data, at + 1)
+        return
     base, key, start = None, None, -1
     for t in tokens(data, at, whole=False):
         if base is None:
@@ -375,6 +437,17 @@ def members(data: bytes, at: int) -> Iterator[tuple[tuple[int, int] | None, int,
                 key = None
 
 
+_PARTS: dict[str, tuple[str, ...]] = {}
+
+
+def _parts(path: str) -> tuple[str, ...]:
+    if path not in _PARTS:
+        if len(_PARTS) >= 1024:
+            _PARTS.clear()
+        _PARTS[path] = tuple(split_path(path))
+    return _PARTS[path]
+
+
 def split_path(path: str) -> list[str]:
     """The dotted parts with their escapes; '' is the root and a last dot is nothing."""
     if not path:
@@ -433,7 +506,7 @@ def glob_match(pattern: bytes, text: bytes) -> bool:
     return all(c == 0x2A for c in pattern[p:])
 
 
-def step(data: bytes, at: int, part: str) -> tuple[int, int] | None:
+def step(data: bytes, at: int, part: str, plain: str | None = None) -> tuple[int, int] | None:
     """The extent of the child that a path part names: the first field of that name or glob, or the element of that number."""
     kind = kind_at(data, at)
     if kind not in ("object", "array"):
@@ -442,13 +515,13 @@ def step(data: bytes, at: int, part: str) -> tuple[int, int] | None:
         n = 0 if is_wild(part) else part_index(unescape_part(part))
         if n is None:
             return None
-        for k, (_, a, z) in enumerate(members(data, at)):
+        for k, (_, a, z) in enumerate(members(data, at, plain)):
             if k == n:
                 return a, z
         return None
     wild, name = is_wild(part), unescape_part(part)
     pattern = name.encode() if wild else b""
-    for key, a, z in members(data, at):
+    for key, a, z in members(data, at, plain):
         text = unquote(data[key[0] : key[1]])
         if glob_match(pattern, text.encode()) if wild else text == name:
             return a, z
@@ -458,13 +531,13 @@ def step(data: bytes, at: int, part: str) -> tuple[int, int] | None:
 def find(data: bytes, path: str) -> tuple[int, int] | None:
     """The extent of the value at a path of a document, None if there is none or the document is invalid."""
     try:
-        at = _skip(data, 0)
-        end = value_end(data, at)
+        at, plain = _skip(data, 0), _plain(data)
+        end = len(data.rstrip(WHITE)) if plain is not None else value_end(data, at)
         if _skip(data, end) != len(data):
             return None
         here = (at, end)
-        for part in split_path(path):
-            got = step(data, here[0], part)
+        for part in _parts(path):
+            got = step(data, here[0], part, plain)
             if got is None:
                 return None
             here = got
@@ -526,7 +599,7 @@ def escape_html(data: bytes) -> bytes:
 # --- edits ------------------------------------------------------------------------------------
 
 
-def _build(parts: list[str], raw: bytes) -> bytes:
+def _build(parts: Sequence[str], raw: bytes) -> bytes:
     """The tail of a path that does not exist yet, around the value."""
     for k in range(len(parts) - 1, -1, -1):
         name = unescape_part(parts[k])
@@ -544,7 +617,7 @@ def set_raw(data: bytes, path: str, raw: bytes) -> bytes:
     """The document with the value at path replaced or put in; all other bytes stay."""
     if not path:
         raise JsonError("the path is empty")
-    parts = split_path(path)
+    parts = _parts(path)
     if any(is_wild(p) for p in parts):
         raise JsonError("a path with wildcards cannot be set")
     try:
@@ -554,17 +627,17 @@ def set_raw(data: bytes, path: str, raw: bytes) -> bytes:
     fault = check(raw)
     if fault:
         raise JsonError(f"the new value: {fault.message}", fault.offset)
-    fault = check(data)
+    plain = _plain(data)
+    fault = check(data) if plain is None else None
     if fault:
         raise fault
     raw = raw.strip(WHITE)
-    at = _skip(data, 0)
-    end = value_end(data, at)
+    at, end = _skip(data, 0), len(data.rstrip(WHITE))
     for k, part in enumerate(parts):
         kind, name = kind_at(data, at), unescape_part(part)
         if kind not in ("object", "array"):
             raise JsonError(f"a {kind} has no member {name!r}")
-        children = list(members(data, at))
+        children = list(members(data, at, plain))
         if kind == "array":
             n = len(children) if name == "-1" else part_index(name)
             if n is None or n > len(children):
@@ -585,10 +658,11 @@ def delete(data: bytes, path: str) -> bytes:
     """The document without the (first) member at path and one comma; as it is if there is none."""
     if not path:
         raise JsonError("the path is empty")
-    parts = split_path(path)
+    parts = _parts(path)
     if any(is_wild(p) for p in parts):
         raise JsonError("a path with wildcards cannot be deleted")
-    fault = check(data)
+    plain = _plain(data)
+    fault = check(data) if plain is None else None
     if fault:
         raise fault
     at = _skip(data, 0)
@@ -596,7 +670,7 @@ def delete(data: bytes, path: str) -> bytes:
         kind, name = kind_at(data, at), unescape_part(part)
         if kind not in ("object", "array"):
             return data
-        children = list(members(data, at))
+        children = list(members(data, at, plain))
         if kind == "array":
             n = len(children) - 1 if name == "-1" and k == len(parts) - 1 else part_index(name)
             hit = n if n is not None and 0 <= n < len(children) else None
@@ -676,8 +750,26 @@ def encode(x: Any, options: Options = STD, single: bool = False) -> str:
     raise JsonError(f"unsupported type: {type(x).__name__}")
 
 
+def _has_infinity(tree: Any) -> bool:
+    todo = [tree]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, float) and v in (float("inf"), float("-inf")):
+            return True
+        todo.extend(v.values() if isinstance(v, dict) else v if isinstance(v, list) else ())
+    return False
+
+
 def decode(data: bytes, use_number: bool = False) -> Any:
     """Nested dicts, lists and scalars; the last of equal keys counts; a number past the doubles is a TypeFault."""
+    if _plain(data) is not None and b"\\ud" not in data and b"\\uD" not in data:
+        kind = Number if use_number else float
+        try:
+            out = _json.JSONDecoder(parse_int=kind, parse_float=kind).decode(data.decode())
+            if use_number or not _has_infinity(out):
+                return out
+        except UnicodeDecodeError:
+            pass  # the exact reader repairs
     fault = check(data)
     if fault:
         raise fault
