@@ -9,12 +9,14 @@ from collections.abc import Callable, Collection, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import strict
+from .exact import as_bytes
 from .validate import is_valid
 
 MAX_EMBEDDING = 10
@@ -282,12 +284,16 @@ def _decoder(target: Schema | str, disallow_unknown: bool, hooks: Mapping[str, C
         kind = T._parse_datatype_string(target)
         fields, title = [Field(f.name, f.dataType.simpleString()) for f in kind.fields], ""
 
-    def run(rows: pd.Series) -> pd.DataFrame:
+    more = T._parse_datatype_string(DETAIL).fields if detail else []
+    whole = T.StructType([T.StructField("value", kind), T.StructField("error", T.StringType()), *more])
+    shape, names, maps = to_arrow_type(whole), whole.names, "map<" in kind.simpleString()
+
+    def run(rows: pa.Array) -> pa.Array:
         out = []
-        for j in rows:
-            value, error, more = None, None, (None,) * 5
+        for j in rows.to_pylist():
+            value, error, parts = None, None, (None,) * 5
             if j is not None:
-                data = j.encode() if isinstance(j, str) else bytes(j)
+                data = as_bytes(j)
                 try:
                     reader = _Reader(disallow_unknown, hooks)
                     value = reader.struct(strict.decode(data, True), fields, kind, "")
@@ -296,16 +302,25 @@ def _decoder(target: Schema | str, disallow_unknown: bool, hooks: Mapping[str, C
                     error, m = reader.error, reader.misfit
                     if detail and m is not None:
                         # the innermost struct's name: only the outermost has one
-                        more = (m.what, m.kind, title if m.depth == 1 else "", m.names, m.offset(data))
+                        parts = (m.what, m.kind, title if m.depth == 1 else "", m.names, m.offset(data))
                 except strict.JsonError as e:
-                    error, more = e.message, (None, None, None, None, e.offset)
-            out.append((value, error, *more))
-        names = ("value", "error", "what", "type", "struct", "field", "offset")[: 7 if detail else 2]
-        return pd.DataFrame({n: pd.Series([r[k] for r in out], dtype=object) for k, n in enumerate(names)})
+                    value, error, parts = None, e.message, (None, None, None, None, e.offset)
+            out.append(dict(zip(names, (_pairs(value, kind) if maps else value, error, *parts), strict=False)))
+        return pa.array(out, shape)
 
-    run.__annotations__ = {"rows": pd.Series, "return": pd.DataFrame}
-    more = T._parse_datatype_string(DETAIL).fields if detail else []
-    return F.pandas_udf(run, T.StructType([T.StructField("value", kind), T.StructField("error", T.StringType()), *more]))
+    run.__annotations__ = {"rows": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, whole)
+
+
+def _pairs(v: Any, kind: T.DataType) -> Any:
+    """The value with each map as Arrow takes it, a list of pairs."""
+    if v is None:
+        return None
+    if isinstance(kind, T.MapType):
+        return [(k, _pairs(x, kind.valueType)) for k, x in v.items()]
+    if isinstance(kind, T.ArrayType):
+        return [_pairs(x, kind.elementType) for x in v]
+    return {f.name: _pairs(v[f.name], f.dataType) for f in kind.fields} if isinstance(kind, T.StructType) else v
 
 
 def unmarshal_exact(json: Column, target: Schema | str, disallow_unknown: bool = False, hooks: Mapping[str, Callable[[str], Any]] | None = None) -> Column:
@@ -369,6 +384,6 @@ def any_tree(json: Column, use_number: bool = False) -> Column:
 
     struct<value, error, offset>.
     """
-    from .exact import as_bytes, result
+    from .exact import result
 
     return result(lambda j: strict.encode(strict.decode(as_bytes(j), use_number)).encode())(json)

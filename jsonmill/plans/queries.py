@@ -383,6 +383,92 @@ def first_key(spark, table):
     return table("region").select("r_regionkey", navigate.as_string(navigate.first_key(doc, "a.b")).alias("first"), navigate.as_string(navigate.get(F.try_parse_json(doc), "a.b")).alias("last"))
 
 
+# --- parts, hooks, options --------------------------------------------------------------------
+
+
+@query("SELECT o_custkey AS custkey, 'c' || o_custkey AS name, count(*)::BIGINT AS n, max(o_orderkey)::BIGINT AS last, true AS none FROM orders GROUP BY 1")
+def decode_value(spark, table):
+    v = F.try_parse_json("doc")
+    orders = decode.decode_value(navigate.path(v, "orders"), "array<struct<id bigint, status string>>")
+    return customers(table).select(
+        "custkey",
+        decode.decode_value(v, "struct<name string>")["name"].alias("name"),
+        decode.decode_value(navigate.path(v, "0"), "bigint").alias("n"),
+        F.array_max(F.transform(orders, lambda o: o["id"])).alias("last"),
+        decode.decode_value(navigate.path(v, "nope"), "bigint").isNull().alias("none"),
+    )
+
+
+@query(
+    """SELECT event_id, 'number ' || event_id || '.5' AS what, 'bigint' AS type, '' AS struct, 'in.n' AS field, (length(props) + 12 + length(event_id::VARCHAR))::BIGINT AS "offset" FROM events WHERE event_id % 2 = 0
+    UNION ALL SELECT event_id, 'array', 'bigint', 'doc', 'k', 6 FROM events WHERE event_id % 2 = 1"""
+)
+def decode_misfits(spark, table):
+    e = F.col("event_id")
+    doc = F.when(e % 2 == 0, F.concat(F.expr("left(props, length(props) - 1)"), F.lit(',"in":{"n":'), e, F.lit(".5}}"))).otherwise('{"k":[1]}')
+    target = decode.schema(("k", "bigint"), ("in", "struct<n bigint>"), name="doc")
+    return props(table).select("event_id", decode.unmarshal_detail(doc, target).alias("r")).select("event_id", "r.what", "r.type", "r.struct", "r.field", "r.offset")
+
+
+@query("SELECT n_nationkey, n_nationkey * 2 AS twice, lower(n_name) AS low, NULL::BIGINT AS none FROM nation")
+def decode_hooks(spark, table):
+    doc = F.to_json(F.struct(F.col("n_nationkey").alias("Twice"), F.col("n_name").alias("low"), F.lit(1).alias("other")))
+    hooks = {"twice": lambda raw: 2 * int(raw), "low": decode.text_hook(str.lower), "none": lambda raw: 1}
+    r = decode.unmarshal_exact(doc, "twice bigint, low string, none bigint", hooks=hooks)
+    return table("nation").select("n_nationkey", r.alias("r")).select(F.col("n_nationkey"), "r.value.*").select(F.col("n_nationkey"), F.col("twice").cast("int").alias("twice"), "low", "none")
+
+
+@query("""SELECT n_nationkey, '{"n":' || n_nationkey || ',"s":"\\u003c"}' AS json, '"' || n_name || '\\u0026"' AS text, n_nationkey::VARCHAR AS i, n_nationkey || '.5' AS f, CASE WHEN n_nationkey > 9 THEN 'true' ELSE 'false' END AS b, '"' || n_name || '"' AS s FROM nation""")
+def encode_hooks(spark, table):
+    k, name = F.col("n_nationkey"), F.col("n_name")
+    own = registry.marshaler(lambda n: f' {{ "n" : {n}, "s" : "<" }} ')
+    return table("nation").select(
+        "n_nationkey", own(k).alias("json"), registry.text_marshaler(lambda t: t + "&")(name).alias("text"),
+        registry.append_int(k).alias("i"), registry.append_float(k + 0.5).alias("f"), registry.append_bool(k > 9).alias("b"), registry.append_string(name).alias("s"),
+    )
+
+
+@query("""SELECT n_nationkey, '{"n":' || n_nationkey || '.50,"zero":0,"r":{"a":[1,"\\u003e"]},"none":null}' AS doc FROM nation""")
+def number_and_raw_fields(spark, table):
+    n = F.concat(F.col("n_nationkey"), F.lit(".50"))
+    doc = encode.object_of(("n", n, "number"), ("zero", F.lit(""), "number"), ("r", F.lit('{ "a" : [1, ">"] }'), "raw"), ("none", F.lit(None).cast("string"), "raw"))
+    return table("nation").select("n_nationkey", doc.alias("doc"))
+
+
+@query("""SELECT n_nationkey, '{"m":{"1":"x","10":"y","2":"' || n_name || '"}}' AS keys, CASE WHEN n_regionkey = 0 THEN '{"id":' || n_nationkey || '}' ELSE '{"id":' || n_nationkey || ',"r":' || n_regionkey || '}' END AS left_out FROM nation WHERE n_nationkey > 0""")
+def map_keys_and_zero_fields(spark, table):
+    rows = table("nation").filter("n_nationkey > 0")
+    m = F.create_map(F.lit(10), F.lit("y"), F.lit(2), F.col("n_name"), F.lit(1), F.lit("x"))
+    zero = encode.Options(omit_zero_struct_fields=True)
+    return rows.select(
+        "n_nationkey",
+        encode.marshal_in(rows, F.struct(m.alias("m"))).alias("keys"),
+        encode.marshal_in(rows, F.struct(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("r")), zero).alias("left_out"),
+    )
+
+
+@query("SELECT event_id, event_id AS big, CASE WHEN event_id < 128 THEN event_id END AS tiny, event_id / 2.0 AS half, event_id AS second, false AS after, event_id AS first FROM events")
+def numbers_read(spark, table):
+    e = F.col("event_id")
+    doc = F.concat(F.lit('{"tiny":'), e, F.lit(',"big":'), e, F.lit(',"half":'), e / 2, F.lit(',"pair":[0,'), e, F.lit("]}"))
+    rows = table("events").select("event_id", doc.alias("d"), F.concat(e, F.lit(" [")).alias("loose"))
+    r, v = decode.unmarshal_exact(F.col("d"), "tiny tinyint, big bigint"), validate.must_parse(F.col("d"))
+    pair = navigate.get(v, "pair")
+    return rows.select(
+        "event_id", r["value"]["big"].alias("big"), r["value"]["tiny"].cast("bigint").alias("tiny"), navigate.as_float(navigate.get(v, "half")).alias("half"),
+        navigate.as_int(navigate.index(pair, 1)).alias("second"), navigate.exists(navigate.index(pair, 2)).alias("after"), navigate.as_int(validate.scan(F.col("loose"))).alias("first"),
+    )
+
+
+@query("SELECT n_nationkey AS id, n_nationkey / 2.0 AS half, ((n_nationkey > 0 AND n_nationkey % 2 = 1)::INT)::BIGINT AS odd FROM nation")
+def marshal_write(spark, table):
+    path = scratch(spark, "written")
+    rows = table("nation")
+    k = F.col("n_nationkey")
+    ndjson.marshal_write(rows, F.struct(k.alias("id"), (k / 2).alias("half"), (k % 2).cast("bigint").alias("odd")), path, indent="  ")
+    return ndjson.read_values(spark, path).filter("error IS NULL").select(F.from_json("value", "id int, half double, odd bigint").alias("r")).select("r.*")
+
+
 # --- sources, sinks, streams ------------------------------------------------------------------
 
 

@@ -281,3 +281,43 @@ def test_variant_members_side_by_side(spark):
     two = spark.createDataFrame([(2, '[5,6]')], "id int, j string").select("id", F.parse_json("j").alias("v"))
     a, b = iterate.variant_members(one, "odd {name}"), iterate.variant_members(two, "v")
     assert [(r.id, r.key) for r in a.collect()] == [(1, "a")] and [(r.id, r.pos) for r in b.collect()] == [(2, 0), (2, 1)]
+
+
+def test_misfits_in_parts(spark):
+    target = decode.schema(("a", "int"), ("s", "struct<x:int,l:array<int>>"), ("m", "map<int,int>"), name="top")
+    rows = [
+        ('{"a":"é"}', ("string", "int", "top", "a", 9)), ('{"a":1,"A":[2]}', ("array", "int", "top", "a", 12)), (' {"s":{"l":[1, {"q":1}]}}', ("object", "int", "", "s.l", 16)),
+        ('{"s":{"x":1.5}}', ("number 1.5", "int", "", "s.x", 13)), ('{"m":{"x":1}}', ("key 'x'", "map<int,int>", "top", "m", 0)), ("[1]", ("array", "struct", "", "", 1)), ('{"a":null}', (None,) * 5),
+    ]
+    got = docs(spark, *[r[0] for r in rows]).select("id", decode.unmarshal_detail(J, target).alias("r")).orderBy("id").collect()
+    assert [tuple(g.r)[2:] for g in got] == [r[1] for r in rows]
+    value, error, *_, offset = one(spark, '{"a":1]', decode.unmarshal_detail(J, target))[0]
+    assert value is None and "invalid character" in error and offset == 7
+    value, error, what, *_ = one(spark, '{"a":1,"q":2}', decode.unmarshal_detail(J, target, True))[0]
+    assert value.a == 1 and "unknown field" in error and what is None
+
+
+def test_hooks(spark):
+    hooks = {"a": lambda raw: raw.upper(), "t": decode.text_hook(lambda t: t + "!")}
+    of = lambda doc: one(spark, doc, decode.unmarshal_exact(J, "a string, t string, n int", hooks=hooks))[0]
+    assert tuple(of('{"A":{"x":[1]},"t":"\\u0041","n":3}').value) == ('{"X":[1]}', "A!", 3)
+    assert tuple(of('{"a":null,"t":null}').value) == ("NULL", None, None) and tuple(of("{}").value) == (None, None, None)
+    assert of('{"t":1}').value is None and "number into text" in of('{"t":1}').error
+    with pytest.raises(Exception, match="unexpected end"):
+        docs(spark, "x").select(registry.marshaler(lambda t: "[1")(J)).collect()
+    for rule, bad in (("number", "01"), ("number", "1\n"), ("raw", "{"), ("raw", "1 2")):
+        with pytest.raises(Exception, match="invalid"):
+            docs(spark, bad).select(encode.object_of(("f", J, rule))).collect()
+
+
+def test_timestamps_are_rfc_3339(spark):
+    of = lambda t: one(spark, f'{{"t":"{t}"}}', decode.unmarshal_exact(J, "t timestamp"))[0]
+    assert of("2024-01-02T03:04:05+01:00").error is None and of("2024-01-02T03:04:05+01:00").value.t == of("2024-01-02T02:04:05Z").value.t
+    assert all(of(t).value.t is None and of(t).error for t in ("2024-01-02", "20240102T030405Z", "2024-01-02T03:04:05", "2024-W01-1T00:00:00Z"))
+
+
+def test_a_part_decodes_as_any_type(spark):
+    v = F.try_parse_json(F.lit('{"meta":{"page":1},"items":[{"x":1},{"x":2}],"n":7,"s":"a","z":null}'))
+    at = lambda p, kind: one(spark, "", decode.decode_value(navigate.path(v, p), kind))[0]
+    assert [r.x for r in at("items", "array<struct<x:int>>")] == [1, 2] and at("meta", "map<string,int>") == {"page": 1} and at("n", "int") == 7 and at("s", "string") == "a"
+    assert at("z", "int") is None and at("nope", "int") is None

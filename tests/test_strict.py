@@ -211,3 +211,24 @@ def test_numbers():
     with pytest.raises(JsonError):
         strict.encode(strict.Number("01"))
     assert strict.encode({"b": 1, "a": [None, True, b"hi", strict.Number("")]}) == '{"a":[null,true,"aGk=",0],"b":1}'
+
+
+def test_the_quick_way_agrees_with_the_token_walk(monkeypatch):
+    more = [b'{"a":NaN}', b"-Infinity", b"\xef\xbb\xbf1", b'"\xff\xfe"', b'{"\xe9":1,"k":[1,2,{}]}', b"[" * 600 + b"]" * 600, b'"' + b"[" * 600 + b'"', b"1" * 5000, b'"\\ud834\\udd1e \\ud834"', b'{"a":1,"a":{"b":[ 1 , 2 ]} , "c":""}', b"1e999"]
+    texts = [t.encode() if isinstance(t, str) else t for t in (*VALID, *INVALID)] + more
+
+    def results():
+        out = []
+        for t in texts:
+            row = [strict.valid(t), [strict.find(t, p) for p in ("", "a", "a.b.1", "k.2", "0", "*")]]
+            for f in (lambda: strict.decode(t, True), lambda: strict.decode(t), lambda: strict.set_raw(t, "k.-1", b"7"), lambda: strict.delete(t, "a")):  # noqa: B023
+                try:
+                    row.append(repr(f()))
+                except strict.JsonError as e:
+                    row.append((e.message, e.offset))
+            out.append(row)
+        return out
+
+    quick = results()
+    monkeypatch.setattr(strict, "_plain", lambda data: None)
+    assert quick == results()
