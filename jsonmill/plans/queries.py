@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import registry
 from ..operators import decode, encode, iterate, navigate, rewrite, validate
 from ..session import configure, shared_folder
-from ..sources import ndjson
+from ..sources import ndjson, ranges
 from ..streaming.carry import carry_forward, carry_forward_stream
 
 QUERIES: dict = {}
@@ -517,6 +517,30 @@ def value_offsets(spark, table):
     return both.select(F.from_json("value", "id bigint")["id"].alias("id"), (F.col("end") - F.col("start")).alias("size"), same.alias("whole"))
 
 
+@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
+def ranged_elements(spark, table):
+    """One array of all events in one file, read by many tasks."""
+    path = scratch(spark, "one-array")
+    doc = F.to_json(F.struct("event_id", "props", F.lit('"],[{\\').alias("noise")))
+    rows = table("events").coalesce(1).select(F.concat(F.when(F.monotonically_increasing_id() == 0, "[").otherwise(","), doc).alias("line"))
+    end = spark.sql("SELECT ']' AS line")
+    rows.unionByName(end).coalesce(1).write.text(path)
+    found = ranges.read_ranges(spark, path, elements=True, range_bytes=100_000).filter("error IS NULL")
+    r = F.from_json("value", "event_id bigint, props string")
+    return found.select(r.alias("r")).select("r.event_id", navigate.as_int(navigate.get_path(F.col("r.props"), "k")).alias("k"))
+
+
+@query("SELECT n_nationkey AS id, n_name AS name FROM nation")
+def stream_values(spark, table):
+    source, out, state = scratch(spark, "values-in"), scratch(spark, "values-out"), scratch(spark, "values-state")
+    doc = F.to_json(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")))
+    # a region's values in a line, with nothing between them
+    table("nation").groupBy("n_regionkey").agg(F.array_join(F.collect_list(doc), "").alias("value")).select("value").write.text(source)
+    rows = ndjson.stream_values(spark, source).filter("error IS NULL").select("value")
+    rows.writeStream.format("text").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return ndjson.read_lines(spark, out).select(F.from_json("value", "id int, name string").alias("r")).select("r.*")
+
+
 @query("SELECT event_type, count(*)::BIGINT AS n, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS k FROM events GROUP BY 1")
 def stream_lines(spark, table):
     source, out, state = scratch(spark, "in"), scratch(spark, "out"), scratch(spark, "state")

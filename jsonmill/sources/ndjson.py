@@ -85,7 +85,8 @@ def read_values(spark: SparkSession, path: str, elements: bool = False) -> DataF
 
     end is the offset after a value.  The values before a fault are delivered,
     then one row with the error.  elements: of one array its elements, one at a
-    time.  A file is read by one task; files of lines should use read_lines.
+    time.  A file is read by one task and must be less than 2 GiB; read_ranges
+    has no such limit, and files of lines should use read_lines.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(_value_batches(elements), "file string, ord long, start long, end long, value string, error string")
@@ -123,6 +124,15 @@ def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -
     return reader.load(path).filter(F.trim(F.col("value"), F.lit(" \t\r\n")) != "")
 
 
+def stream_values(spark: SparkSession, path: str, elements: bool = False, max_files: int | None = None) -> DataFrame:
+    """What read_values gives, of the files that come into a folder: values need no line ends between them."""
+    reader = spark.readStream.format("binaryFile")
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    files = reader.schema("path string, modificationTime timestamp, length long, content binary").load(path).select("path", "content")
+    return files.mapInArrow(_value_batches(elements), "file string, ord long, start long, end long, value string, error string")
+
+
 def stream_out(df: DataFrame, json: str, path: str, checkpoint: str):
     """Starts a query that appends documents, a line each."""
     return df.select(F.col(json).alias("value")).writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
