@@ -719,8 +719,36 @@ class Number(str):
     """Digits that are written as they are."""
 
 
+class _Literal(str):
+    pass
+
+
 def encode(x: Any, options: Options = STD, single: bool = False) -> str:
-    """Compact JSON of Python values; dict keys are text, sorted bytewise if asked."""
+    """Compact JSON of Python values, of any depth; dict keys are text, sorted bytewise if asked."""
+    out, todo = [], [x]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, _Literal):
+            out.append(v)
+        elif isinstance(v, dict):
+            keys = sorted(v, key=lambda k: str(k).encode()) if options.sort_map_keys else list(v)
+            parts: list[Any] = [_Literal("{")]
+            for n, k in enumerate(keys):
+                parts += [_Literal(("," if n else "") + quote(str(k), options.escape_html) + ":"), v[k]]
+            todo += reversed([*parts, _Literal("}")])
+        elif isinstance(v, (list, tuple)):
+            parts = [_Literal("[")]
+            for n, item in enumerate(v):
+                parts += [_Literal(","), item] if n else [item]
+            todo += reversed([*parts, _Literal("]")])
+        elif hasattr(v, "tolist"):
+            todo.append(v.tolist())
+        else:
+            out.append(_scalar(v, options, single))
+    return "".join(out)
+
+
+def _scalar(x: Any, options: Options, single: bool) -> str:
     if x is None:
         return "null"
     if isinstance(x, bool):
@@ -740,13 +768,6 @@ def encode(x: Any, options: Options = STD, single: bool = False) -> str:
         import base64
 
         return f'"{base64.b64encode(bytes(x)).decode()}"'
-    if isinstance(x, dict):
-        keys = sorted(x, key=lambda k: str(k).encode()) if options.sort_map_keys else list(x)
-        return "{" + ",".join(f"{quote(str(k), options.escape_html)}:{encode(x[k], options, single)}" for k in keys) + "}"
-    if isinstance(x, (list, tuple)):
-        return "[" + ",".join(encode(v, options, single) for v in x) + "]"
-    if hasattr(x, "tolist"):
-        return encode(x.tolist(), options, single)
     raise JsonError(f"unsupported type: {type(x).__name__}")
 
 

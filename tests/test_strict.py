@@ -232,3 +232,12 @@ def test_the_quick_way_agrees_with_the_token_walk(monkeypatch):
     quick = results()
     monkeypatch.setattr(strict, "_plain", lambda data: None)
     assert quick == results()
+
+
+def test_deep_trees_are_written_and_read():
+    for n in (499, 501, 9_999, 10_000):
+        text = b"[" * n + b"]" * n
+        assert strict.encode(strict.decode(text)).encode() == text
+        assert strict.find(text, "0.0") is not None and strict.compact(b" " + text) == text
+    assert strict.check(b"[" * 10_001 + b"]" * 10_001).message == "exceeded max depth"
+    assert strict.encode({"b": [1, {"y": None, "x": (True, b"hi")}], "a": strict.Number("1.50")}) == '{"a":1.50,"b":[1,{"x":[true,"aGk="],"y":null}]}'
