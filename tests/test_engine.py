@@ -243,6 +243,13 @@ def test_deep_documents(spark):
     assert faults.keys() == {4, 5, 6, 8} and faults[6] is None and all(faults[k] for k in (4, 5, 8))
 
 
+def test_deep_documents_of_a_small_file_are_many_tasks(spark, tmp_path):
+    spark.range(4001).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = plans.QUERIES["deep_documents"](spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() >= 9
+    assert {tuple(r) for r in got.filter("suppkey < 8 or suppkey = 4000").collect()} == {(k, k % 4 < 2) for k in (*range(8), 4000)}
+
+
 def test_parse_takes_the_value_out_of_its_check(spark):
     docs = ["null", " 1 ", '"a"', '{"a":[1,null]}', "[1]]", "1,2", "", "[]", "{} x", None]
     got = spark.createDataFrame([(d,) for d in docs], "j string").select(F.to_json(validate.parse(F.col("j"))), navigate.kind(validate.parse(F.col("j")))).collect()

@@ -241,3 +241,24 @@ def test_deep_trees_are_written_and_read():
         assert strict.find(text, "0.0") is not None and strict.compact(b" " + text) == text
     assert strict.check(b"[" * 10_001 + b"]" * 10_001).message == "exceeded max depth"
     assert strict.encode({"b": [1, {"y": None, "x": (True, b"hi")}], "a": strict.Number("1.50")}) == '{"a":1.50,"b":[1,{"x":[true,"aGk="],"y":null}]}'
+
+
+def test_check_passes_over_runs(monkeypatch):
+    """The faults of tokens(), without a token at a time."""
+    r, docs = random.Random(7), []
+    for _ in range(3000):
+        parts = r.choices(["[", "[[ [", '{"a":', '{ "]" : {"":', "]", "] ]", "}", "}]", ",", '1,"[",', '"b":2,', '"b"', " ", "01", "null", "{}", "[]"], k=r.randrange(1, 12))
+        docs.append("".join(parts).encode())
+    docs += [b"[" * 700 + b"]" * 701, b'[{"a":' * 6000, b"[ " * 10_001, b"[" * 2000 + b"]" * 1000 + b"}" * 1000, b'[{"a":' * 1500 + b"1" + b"}]" * 1500]
+
+    def slow(data: bytes):
+        try:
+            return list(strict.tokens(data)) and None
+        except strict.JsonError as e:
+            return e.message, e.offset
+
+    want = [slow(d) for d in docs]
+    monkeypatch.setattr(strict, "tokens", None)
+    got = [strict.check(d) for d in docs]
+    assert [e and (e.message, e.offset) for e in got] == want
+    assert want[-1] is None and sum(w is None for w in want) > 20
