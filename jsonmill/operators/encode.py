@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import base64
 import re
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,9 +144,132 @@ def encode_typed(v: Any, options: Options) -> str:
     return strict.encode(v, options)
 
 
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_LEAVES = (*_WHOLE, T.NullType, T.BooleanType, T.FloatType, T.DoubleType, T.DecimalType, T.StringType, T.BinaryType)
+
+
+def _arrow(kind: T.DataType) -> bool:
+    """Whether _texts takes the type: all but times and maps with keys of other types than text and whole numbers."""
+    if isinstance(kind, T.StructType):
+        return all(_arrow(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.MapType):
+        return isinstance(kind.keyType, (*_WHOLE, T.StringType)) and _arrow(kind.valueType)
+    return _arrow(kind.elementType) if isinstance(kind, T.ArrayType) else isinstance(kind, _LEAVES)
+
+
+def _each(a: pa.Array, fn: Any) -> pa.Array:
+    return pa.array([None if x is None else fn(x) for x in a.to_pylist()], pa.string())
+
+
+def _float_texts(a: pa.Array, single: bool) -> pa.Array:
+    if not pc.all(pc.is_finite(a), min_count=0).as_py():
+        strict.float_text(pc.filter(a, pc.invert(pc.is_finite(a)))[0].as_py())  # raises
+    text = a.cast(pa.string())
+    text = pc.if_else(pc.ends_with(text, ".0"), pc.utf8_slice_codeunits(text, 0, -2), text)
+    # Arrow turns to exponents sooner
+    far = pc.match_substring(text, "e")
+    if single:  # the float next to 1e-6 is less than that
+        far = pc.or_(far, pc.and_(pc.less(pc.abs(a.cast(pa.float64())), 1e-6), pc.not_equal(a, pa.scalar(0, a.type))))
+    far = pc.fill_null(far, False)
+    if pc.any(far, min_count=0).as_py():
+        own = a.filter(far).dictionary_encode()
+        text = pc.replace_with_mask(text, far, _each(own.dictionary, lambda x: strict.float_text(x, single)).take(own.indices))
+    return text
+
+
+_ESCAPED = sorted(strict._QUOTE.items(), key=lambda e: e[0] != 0x5C)  # the backslash first, as all others give some
+
+
+def _quoted_texts(a: pa.Array, html: bool) -> pa.Array:
+    try:
+        a.validate(full=True)
+    except pa.ArrowInvalid:  # no UTF-8
+        return _each(a.cast(pa.binary()), lambda t: strict.quote(t, html))
+    a = pa.concat_arrays([a.cast(pa.string())])
+    data = a.buffers()[2]
+    found = np.bincount(np.frombuffer(data, np.uint8), minlength=256) if data is not None and data.size else np.zeros(256)
+    for code, escape in (*_ESCAPED, *(strict.HTML if html else strict._LINES).items()):
+        if found[chr(code).encode()[0]]:
+            a = pc.replace_substring(a, chr(code), escape)
+    return pc.binary_join_element_wise('"', a, '"', "")
+
+
+def _zeros(a: pa.Array, kind: T.DataType) -> pa.Array:
+    """What _zero says of each value."""
+    if isinstance(kind, T.StructType):
+        out = pa.array(np.ones(len(a), bool))
+        for k, f in enumerate(kind.fields):
+            out = pc.and_(out, _zeros(pc.struct_field(a, [k]), f.dataType))
+    elif isinstance(kind, (*_WHOLE, T.FloatType, T.DoubleType)):
+        out = pc.equal(a, pa.scalar(0, a.type))
+    elif isinstance(kind, T.BooleanType):
+        out = pc.invert(a)
+    else:
+        out = pc.equal(a, "") if isinstance(kind, T.StringType) else pa.array(np.zeros(len(a), bool))
+    return pc.or_(pc.is_null(a), pc.fill_null(out, True))
+
+
+def _texts(a: pa.Array, kind: T.DataType, options: Options) -> pa.Array:
+    """The JSON of a column of values, all values of a type in one step."""
+    if isinstance(kind, T.StructType):
+        parts: list[Any] = []
+        for k, f in enumerate(kind.fields):
+            child, name = pc.struct_field(a, [k]), strict.quote(f.name, options.escape_html) + ":"
+            text = _texts(child, f.dataType, options)
+            if options.omit_zero_struct_fields:
+                parts.append(pc.if_else(_zeros(child, f.dataType), "", pc.binary_join_element_wise(name, text, ",", "")))
+            else:
+                parts += [("," if k else "{") + name, text]
+        if not parts:
+            out = pa.array(["{}"] * len(a), pa.string())
+        elif options.omit_zero_struct_fields:
+            out = pc.binary_join_element_wise("{", *parts, "")
+            out = pc.binary_join_element_wise(pc.if_else(pc.ends_with(out, ","), pc.utf8_slice_codeunits(out, 0, -1), out), "}", "")
+        else:
+            out = pc.binary_join_element_wise(*parts, "}", "")
+        out = pc.if_else(pc.is_valid(a), out, "null")
+    elif isinstance(kind, (T.ArrayType, T.MapType)):
+        bounds = a.offsets.to_numpy()
+        first, count = (int(bounds[0]), int(bounds[-1] - bounds[0])) if len(bounds) else (0, 0)
+        if isinstance(kind, T.ArrayType):
+            items = _texts(a.values.slice(first, count), kind.elementType, options)
+        else:
+            keys, items = a.keys.slice(first, count).cast(pa.string()), a.items.slice(first, count)
+            if options.sort_map_keys:
+                row = np.repeat(np.arange(len(a)), np.diff(bounds))
+                order = pc.sort_indices(pa.table({"row": row, "key": keys}), [("row", "ascending"), ("key", "ascending")])
+                keys, items = keys.take(order), items.take(order)
+            items = pc.binary_join_element_wise(_quoted_texts(keys, options.escape_html), _texts(items, kind.valueType, options), ":")
+        lists = pa.ListArray.from_arrays(pa.array(bounds - first, pa.int32()), items)
+        left, right = "[]" if isinstance(kind, T.ArrayType) else "{}"
+        out = pc.if_else(pc.is_valid(a), pc.binary_join_element_wise(left, pc.binary_join(lists, ","), right, ""), "null")
+    elif isinstance(kind, T.NullType):
+        out = pa.nulls(len(a), pa.string())
+    elif isinstance(kind, T.BooleanType):
+        out = pc.if_else(a, "true", "false")
+    elif isinstance(kind, (T.FloatType, T.DoubleType)):
+        out = _float_texts(a, isinstance(kind, T.FloatType))
+    elif isinstance(kind, T.StringType):
+        out = _quoted_texts(a, options.escape_html)
+    elif isinstance(kind, T.BinaryType):
+        out = _each(a, lambda x: f'"{base64.b64encode(x).decode()}"')
+    else:
+        out = a.cast(pa.string())
+        if isinstance(kind, T.DecimalType) and pc.any(pc.match_substring(out, "E"), min_count=0).as_py():
+            out = _each(a, lambda x: format(x, "f"))
+    return pc.fill_null(out, "null")
+
+
 def marshal_exact(value: Column, schema: T.DataType | str, options: Options = STD) -> Column:
     """JSON of any column of the given type: shortest floats, sorted map keys, base64 of BINARY; NaN and infinities end the query."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    if _arrow(kind):
+
+        def texts(values: pa.Array) -> pa.Array:
+            return _texts(values, kind, options)
+
+        texts.__annotations__ = {"values": pa.Array, "return": pa.Array}
+        return F.arrow_udf(texts, "string")(value).alias("marshal")
 
     def run(batch: pd.DataFrame) -> pd.Series:
         rows = batch["v"] if "v" in batch else pd.Series([None] * len(batch))

@@ -10,6 +10,7 @@ import sys
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import __spark_entry__
 from jsonmill import strict
@@ -213,6 +214,28 @@ def test_marshal_by_type(spark):
     assert free == ['{"a":1e+21,"b":1,"c":"\\u003c1.0\\u001f","d":[1,-0.5,100,12345678901234567890]}']
 
 
+def test_marshal_exact_of_columns_as_of_rows(spark):
+    kind = "a bigint, b array<struct<x:double,y:string>>, c map<string,float>, d decimal(38,18), e struct<f:boolean,g:binary,h:struct<i:int,s:string>>, k map<int,array<string>>, l array<double>"
+    small = decimal.Decimal("1E-18")
+    rows = [
+        (1, [(1.0, 'q"\\\n\x1f<\u2028é𝄞'), (-0.0, ""), None, (1e21, None)], {"b": 1e-6, "a<": 0.1}, small, (True, b"ab", (0, "")), {10: ["x", None], 9: []}, [0.5, None]),
+        (None, [], {}, decimal.Decimal("1.5"), (False, None, None), {}, [1e-7, 123456789012345680000.0, 1e15, 1e-5]),
+        (0, None, None, None, None, None, None),
+        (-5, [(9.99e-7, "plain")], {"": None}, -small, (None, b"", (5, "s")), {-1: None}, []),
+    ]
+    df = spark.createDataFrame(rows, kind).coalesce(1)
+    of = T._parse_datatype_string(kind)
+    for options in (encode.STD, encode.FAST, encode.Options(omit_zero_struct_fields=True)):
+        want = [encode.encode_typed(encode._plain(r, of), options) for r in (r.asDict() for r in df.collect())]
+        assert [r[0] for r in df.select(encode.marshal_exact(F.struct(*df.columns), kind, options)).collect()] == want
+    assert [r[0] for r in df.select(encode.marshal_exact(F.col("l"), "array<double>")).collect()] == ["[0.5,null]", "[1e-7,123456789012345680000,1000000000000000,0.00001]", "null", "[]"]
+    assert [r[0] for r in df.select(encode.marshal_exact(F.col("a"), "bigint")).collect()] == ["1", "null", "0", "-5"]
+    raw = spark.sql("SELECT CAST(X'61E6973C' AS STRING) AS s, X'00' AS b")
+    assert raw.select(encode.marshal_exact(F.col("s"), "string")).first()[0] == strict.quote(b"a\xe6\x97<", True)
+    with pytest.raises(Exception, match="unsupported value: nan"):
+        df.select(encode.marshal_exact(F.lit(float("nan")), "double")).collect()
+
+
 def test_omitted_fields(spark):
     kind = "s string, d double, z struct<x:int,y:struct<q:string>>, a array<int>, m map<string,int>, i int, b boolean, e decimal(5,2)"
     rows = [("0", 0.0, (0, ("",)), [], {}, 0, False, 0), ("", -0.0, (1, ("",)), None, None, None, None, None), ("false", 0.5, (None, (None,)), [0], {"k": 0}, 7, True, 1)]
