@@ -8,6 +8,7 @@ import subprocess
 import sys
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -201,6 +202,28 @@ def test_edits_keep_all_other_bytes(spark):
     assert one(spark, doc, rewrite.set_path(J, "b.-1", F.lit("é<"))["value"], rewrite.delete_path(J, "a")["value"], rewrite.set_path(J, "a.x", F.lit(1))["error"]) == ('{ "a" : 1.50 , "b" : [ 1,"é\\u003c" ] }', '{ "b" : [ 1 ] }', "a number has no member 'x'")
 
 
+def test_set_path_of_columns_as_of_rows(spark, monkeypatch):
+    flat = ['{"k": 76}', ' { "a" : "x,\\"k\\":1" ,\n"k":true , "k":2 } ', "{ }", '{"é":1,"n":null}', '{"k":"{"}', '{"a":"\\u006b"}', '{"k":null,"new":-1.5e3}']
+    other = ['{"\\u006b":1}', '{"k":{"x":[1]}}', "[1,2]", '{"k":01}', "", '{"k":1}}', "7", None]
+    rows = [(d, r) for d in flat + other for r in ('"é\\u003c"', " 1\n", '{"z":[1]}', "tru", None)]
+    df = spark.createDataFrame(rows, "j string, r string").coalesce(1)
+
+    def want(path, d, r):
+        try:
+            return None if d is None or r is None else strict.set_raw(d.encode(), path, r.encode()).decode(), None, None
+        except strict.JsonError as e:
+            return None, e.message, e.offset
+
+    paths = ("k", "new.x.-1", "k.x", "é", "k.1", "new.3", "", "a*", "1", 'q"')
+    got = df.select(*[rewrite.set_raw_path(F.col("j"), p, F.col("r")).alias(f"p{n}") for n, p in enumerate(paths)]).collect()
+    for n, p in enumerate(paths):
+        assert [tuple(g[n]) for g in got] == [want(p, d, r) for d, r in rows], p
+    monkeypatch.setattr(strict, "set_raw", None)  # objects of scalars are set without the row code
+    for p in ("k", "new.x.-1", "k.x"):
+        done = rewrite._set(p, True).func(pa.array(flat), pa.array(["1"] * len(flat))).to_pylist()
+        assert all((r["value"] is None) != (r["error"] is None) for r in done)
+
+
 def test_marshal_by_type(spark):
     kind = "d double, s string, m map<string,int>, n struct<f:float>"
     df = spark.createDataFrame([(1e21, "\x1f\x0b\\u001F<", {"b": 1, "a": 2}, (1.0,)), (1.0, "", None, None)], kind)
