@@ -508,11 +508,13 @@ def array_elements(spark, table):
 def lines_in_order(spark, table):
     path = scratch(spark, "ordered")
     rows = table("events").select("event_id", F.to_json(F.struct("event_id")).alias("doc"))
-    # one file, so that the order of its lines is known; it is read in blocks of Spark's choice
-    rows.coalesce(1).sortWithinPartitions("event_id").select("doc").write.text(path)
+    # a file per range of events, so that the order of its lines is known and no task sorts more than a range
+    parts = tasks_of(rows, 200_000)
+    rows.repartitionByRange(parts, "event_id").sortWithinPartitions("event_id").select("doc").write.text(path)
     back = ndjson.in_order(spark, path).withColumn("event_id", F.from_json("value", "event_id bigint")["event_id"])
     w = Window.partitionBy("file", "block").orderBy("seq")
-    return back.select("event_id", F.coalesce(F.lag("event_id").over(w) < F.col("event_id"), F.lit(True)).alias("in_order"))
+    # as many tasks as files: few blocks meet in one
+    return back.select("event_id", "file", "block", "seq").repartition(parts, "file", "block").select("event_id", F.coalesce(F.lag("event_id").over(w) < F.col("event_id"), F.lit(True)).alias("in_order"))
 
 
 @query("SELECT n_nationkey AS id, (length('{\"id\":' || n_nationkey || '}'))::BIGINT AS size, true AS whole FROM nation")

@@ -20,12 +20,20 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return df.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).filter(F.trim(F.col("value"), F.lit(" \t\r\n")) != "")
 
 
+#: About so many bytes of text are sorted by one task.
+SORTED_BYTES = 4 << 20
+
+
 def in_order(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of read_lines with seq, sorted as they stand in the files: by file, block and place in the block."""
-    df = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq")
-    )
-    return df.filter(F.trim(F.col("value"), F.lit(" \t\r\n")) != "").orderBy("file", "block", "seq")
+    """The lines of read_lines with seq, sorted as they stand in the files: by file, block and place in the block.
+
+    Tasks grow in number with the bytes of the files, not in size.
+    """
+    text = spark.read.text(path)
+    tasks = -(-int(text._jdf.queryExecution().analyzed().stats().sizeInBytes()) // SORTED_BYTES) or 1
+    df = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"))
+    # ranges follow one another, so sorted ranges are sorted as a whole
+    return df.filter(F.trim(F.col("value"), F.lit(" \t\r\n")) != "").repartitionByRange(tasks, "file", "block", "seq").sortWithinPartitions("file", "block", "seq")
 
 
 def good_and_bad(lines: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:

@@ -296,6 +296,31 @@ def test_deep_documents_of_a_small_file_are_many_tasks(spark, tmp_path):
     assert {tuple(r) for r in got.filter("suppkey < 8 or suppkey = 4000").collect()} == {(k, k % 4 < 2) for k in (*range(8), 4000)}
 
 
+def test_lines_in_order_by_ranges(spark, tmp_path, monkeypatch):
+    spark.range(450_000).select(((F.col("id") * 7919) % 450_000).alias("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(plans, "scratch", lambda spark, tag: f"{tmp_path}/{tag}")
+    got = plans.QUERIES["lines_in_order"](spark, str(tmp_path))
+    # 200,000 rows for a task that sorts, and a file of each
+    assert len([f for f in os.listdir(f"{tmp_path}/ordered") if f.endswith(".txt")]) == 3
+    assert got.agg(F.count(F.lit(1)), F.countDistinct("event_id"), F.bool_and("in_order")).first() == (450_000, 450_000, True)
+
+
+def test_in_order_over_files_and_blocks(spark, tmp_path, monkeypatch):
+    lines = [f"{n:05d}" + "x" * (n % 40) for n in range(3000)]
+    for k in range(3):
+        (tmp_path / f"f{k}.txt").write_text("\n \n".join(lines[k * 1000 : k * 1000 + 1000]))
+    monkeypatch.setattr(ndjson, "SORTED_BYTES", 10_000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        rows = ndjson.in_order(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() >= 7
+        got = rows.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.value for r in got] == lines
+    assert len({(r.file, r.block) for r in got}) > 6
+
+
 def test_parse_takes_the_value_out_of_its_check(spark):
     docs = ["null", " 1 ", '"a"', '{"a":[1,null]}', "[1]]", "1,2", "", "[]", "{} x", None]
     got = spark.createDataFrame([(d,) for d in docs], "j string").select(F.to_json(validate.parse(F.col("j"))), navigate.kind(validate.parse(F.col("j")))).collect()
